@@ -124,13 +124,13 @@ def activity_feed(jobs: DataFrame, audit: DataFrame, n: int = 6) -> DataFrame:
     ``n`` before the union.
     """
     def newest(df: DataFrame) -> DataFrame:
-        return df.orderBy(F.desc("at"), "id").limit(n)
+        return df.orderBy(F.desc("happened_at"), "id").limit(n)
 
     ran = jobs.filter(F.year("last_run") > 2000).select(
         F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("id"),
         job_action(F.col("status")).alias("action"),
         F.col("name").alias("target"),
-        F.col("last_run").alias("at"),
+        F.col("last_run").alias("happened_at"),
         F.coalesce("status", F.lit("pending")).alias("status"),
         job_severity(F.col("status")).alias("status_type"),
         F.lit("job").alias("type"),
@@ -143,7 +143,7 @@ def activity_feed(jobs: DataFrame, audit: DataFrame, n: int = 6) -> DataFrame:
         F.concat(F.lit("log-"), F.col("id").cast("string")).alias("id"),
         audit_text(F.col("action"), F.col("entity")).alias("action"),
         F.coalesce(filled("details"), filled("username"), F.lit(AUDIT_TARGET_OTHER)).alias("target"),
-        F.col("created_at").alias("at"),
+        F.col("created_at").alias("happened_at"),
         F.lit("completed").alias("status"),
         audit_severity(F.col("action")).alias("status_type"),
         F.lit("log").alias("type"),

@@ -44,13 +44,15 @@ def document_upsert(
     aggregate: repeated documents of a heavy key shrink to one value per field
     before anything is shuffled. Target fields rank before incoming ones.
     """
-    source_order = [quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)]
-    no_order = [F.lit(None).cast(source.schema[c].dataType).alias(f"o{i}") for i, c in enumerate(order_by)]
+    source_order = [quoted(c) for c in order_by]
+    no_order = [F.lit(None).cast(source.schema[c].dataType) for c in order_by]
 
     def as_fields(df: DataFrame, side: int, order: list[Column]) -> DataFrame:
         key = quoted(doc)[key_field]
         # Documents that tie on the order still apply one after the other, as wholes.
-        rank = F.struct(F.lit(side).alias("side"), *order, F.xxhash64(F.to_json(quoted(doc))).alias("tie"))
+        parts = {"side": F.lit(side), **{f"o{i}": o for i, o in enumerate(order)}}
+        parts["tie"] = F.xxhash64(F.to_json(quoted(doc)))
+        rank = F.named_struct(*[x for name, col in parts.items() for x in (F.lit(name), col)])
         return df.filter(key.isNotNull()).select(
             key.alias("key"), rank.alias("rank"), F.explode(quoted(doc)).alias("field", "value")
         )

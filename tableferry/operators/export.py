@@ -12,6 +12,14 @@ from tableferry.functions.names import quoted
 from tableferry.functions.text import flat_text
 
 
+# Times with their full precision.
+TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
+
+
 def export_records(df: DataFrame, path: str, format: str, single_file: bool = False) -> None:
     """Write ``csv``, ``json``, ``jsonl`` or ``parquet``; nothing to write is an error.
 
@@ -28,11 +36,11 @@ def export_records(df: DataFrame, path: str, format: str, single_file: bool = Fa
     if format == "csv":
         flat_text(df).write.option("header", True).option("escape", '"').csv(path)
     elif format == "jsonl":
-        df.write.option("ignoreNullFields", "false").json(path)
+        df.write.options(**TIMES).json(path)
     elif format == "parquet":
         df.write.parquet(path)
     else:
-        objects = df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+        objects = df.select(F.to_json(F.struct("*"), {"pretty": "true", **TIMES}).alias("value"))
         objects.mapInPandas(_as_array, "value string").write.text(path)
 
 

@@ -13,12 +13,13 @@ its key, but a heavy key need not be walked in one task:
    each slice the window that is open when it begins.
 3. Each slice is then walked again by itself, and now the true openings are known.
 
-Slices of one key are independent tasks in 1 and 3; step 2 sees only the steps.
+Slices of one key are spread over all tasks in 1 and 3. Step 2 sees only the
+steps, and streams over them with one number of state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS_PER_SLICE = 32
-NONE = -(2**62)
+NEVER = -(2**62)
 
 
 def throttle(
@@ -40,90 +41,148 @@ def throttle(
 ) -> DataFrame:
     """The events with a column ``allowed``. ``order_by`` orders events of the same instant."""
     window = window_seconds * 1_000_000
-    slice_micros = window * windows_per_slice
-    timed = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "__slice", F.floor(F.col("__us") / slice_micros)
+    length = window * windows_per_slice
+    timed = events.withColumn("__k", F.col(key).cast("string")).withColumn(
+        "__us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
-    key_type = events.schema[key].dataType.simpleString()
-
     # Instants, not events: what happens at one instant happens in one window.
-    instants = timed.select(F.col(key).alias("k"), "__slice", "__us").distinct()
+    instants = timed.groupBy(F.col("__k").alias("k"), F.col("__us").alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    instants = instants.withColumn("slice", F.floor(F.col("us") / length))
 
-    def sum_up(group: pd.DataFrame) -> pd.DataFrame:
-        times, last = last_openings(np.sort(group["__us"].to_numpy()), window)
-        return pd.DataFrame({"k": group["k"].iloc[0], "slice": group["__slice"].iloc[0], "upto": times, "last": last})
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches):
+            yield slice_steps(part, window, length)
 
-    steps = instants.groupBy("k", "__slice").applyInPandas(
-        sum_up, f"k {key_type}, slice bigint, upto bigint, last bigint"
-    )
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return open_at_begin(batches, window)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches):
+            yield slice_openings(part, window, length)
 
-    def carry(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["slice", "upto"])
-        slices, openings, open_at = [], [], NONE
-        for number, part in group.groupby("slice", sort=True):
-            slices.append(number)
-            openings.append(open_at)
-            at = np.searchsorted(part["upto"].to_numpy(), open_at + window, side="right")
-            if at < len(part):
-                open_at = int(part["last"].iloc[at])
-        return pd.DataFrame({"k": group["k"].iloc[0], "slice": slices, "open_at": openings})
-
-    carried = steps.groupBy("k").applyInPandas(carry, f"k {key_type}, slice bigint, open_at bigint")
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(left["__us"].to_numpy())
-        starts = openings_after(times, int(right["open_at"].iloc[0]), window)
-        return pd.DataFrame(
-            {"k": left["k"].iloc[0], "slice": left["__slice"].iloc[0], "us": times, "opened": starts}
-        )
-
-    opened = (
-        instants.groupBy("k", "__slice")
-        .cogroup(carried.groupBy("k", "slice"))
-        .applyInPandas(walk, f"k {key_type}, slice bigint, us bigint, opened bigint")
+    def in_order(df: DataFrame, by: list[str], *rest: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, *rest)
+
+    steps = in_order(instants.select("k", "slice", "us"), ["k", "slice"], "us").mapInPandas(
+        sum_up, "k string, slice bigint, upto bigint, last bigint"
     )
-    # How many events of the same window came at earlier instants, from counts per instant.
-    per_instant = timed.groupBy(F.col(key).alias("k"), F.col("__us").alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("k", "opened").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = opened.join(per_instant, ["k", "us"]).select(
-        "k", "us", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
+    carried = in_order(steps, ["k"], "slice", "upto").mapInPandas(carry, "k string, slice bigint, open_at bigint")
+    same_slice = F.col("i.k").eqNullSafe(F.col("c.k")) & (F.col("i.slice") == F.col("c.slice"))
+    known = instants.alias("i").join(carried.alias("c"), same_slice).select("i.*", "c.open_at")
+    opened = in_order(known, ["k", "slice"], "us").mapInPandas(
+        walk, "k string, us bigint, n bigint, opened bigint"
     )
-    same = Window.partitionBy(key, "__us").orderBy(*(order_by or [key]))
+    before = Window.partitionBy("k", "opened").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = opened.select("k", "us", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    same = Window.partitionBy("__k", "__us").orderBy(*(order_by or [key]))
     return (
         timed.withColumn("__same", F.row_number().over(same))
-        .join(ranked, (F.col(key).eqNullSafe(F.col("k"))) & (F.col("__us") == F.col("us")))
+        .join(ranked, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__us") == F.col("us")))
         .select(*events.columns, (F.col("earlier") + F.col("__same") <= max_rate).alias("allowed"))
     )
 
 
-def last_openings(times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the first opening at each of the sorted ``times``: the last opening that follows.
-
-    Neighbours with the same answer are kept as one step, at the latest of them.
-    Only openings in the first window of the slice can be the first after an
-    earlier one, but later instants matter when the slice starts with a pause.
+def group_starts(part: pd.DataFrame) -> np.ndarray:
+    """Where a new (key, slice) begins in ordered rows."""
+    keys, slices = part["k"].to_numpy(dtype=object), part["slice"].to_numpy()
+    return np.append(True, (keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1]))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same ordered rows, cut so that no (key, slice) is split."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if len(held) > 1:
+            first, last = held[0].iloc[0], batch.iloc[-1]
+            if first["k"] == last["k"] and first["slice"] == last["slice"]:
+                continue
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
+        cut = int(np.flatnonzero(group_starts(rows))[-1])
+        if cut:
+            yield rows.iloc[:cut].reset_index(drop=True)
+        held = [rows.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Line:
+    """The instants of many slices on one line, each slice too far from the next for a window to reach."""
+
+    def __init__(self, part: pd.DataFrame, window: int, length: int):
+        starts = group_starts(part)
+        self.group = np.cumsum(starts) - 1
+        self.first = np.flatnonzero(starts)
+        self.end = np.append(self.first[1:], len(part))
+        self.begin = part["slice"].to_numpy() * length
+        self.us = part["us"].to_numpy()
+        self.span = length + window + 1
+        self.at = self.group * self.span + (self.us - self.begin)
+        # The instant that opens the next window if this one opens a window; the slice's end if none does.
+        self.follow = np.searchsorted(self.at, self.at + window, side="right")
+
+
+def slice_steps(part: pd.DataFrame, window: int, length: int) -> pd.DataFrame:
+    """Each slice's steps: ``last`` follows when the first instant after the open window is at most ``upto``.
+
+    A window open when the slice begins ends within one ``window``, so the
+    first opening is an instant up to then or the next one after.
     """
-    follow = np.searchsorted(times, times + window, side="right")
-    at = np.arange(len(times))
-    jump = np.where(follow < len(times), follow, at)
+    line = _Line(part, window, length)
+    end = line.end[line.group]
+    index = np.arange(len(part))
+    jump = np.where(line.follow < end, line.follow, index)
     while True:
         further = jump[jump]
         if np.array_equal(further, jump):
             break
         jump = further
-    last = times[jump]
-    edge = np.append(last[1:] != last[:-1], True)
-    return times[edge], last[edge]
-
-
-def openings_after(times: np.ndarray, open_at: int, window: int) -> np.ndarray:
-    """The opening of the window each of the sorted ``times`` falls into."""
-    opened = np.empty(len(times), dtype="int64")
-    done = int(np.searchsorted(times, open_at + window, side="right"))
-    opened[:done] = open_at
-    while done < len(times):
-        start = times[done]
-        end = int(np.searchsorted(times, start + window, side="right"))
-        opened[done:end] = start
-        done = end
-    return opened
+    last = line.us[jump]
+    reach = np.searchsorted(line.at, np.arange(len(line.first)) * line.span + window, side="right")
+    can_be_first = index <= np.minimum(reach, line.end - 1)[line.group]
+    rows = np.flatnonzero(can_be_first)
+    edge = np.append((last[rows][1:] != last[rows][:-1]) | (line.group[rows][1:] != line.group[rows][:-1]), True)
+    kept = rows[edge]
+    return pd.DataFrame(
+        {"k": part["k"].to_numpy()[kept], "slice": part["slice"].to_numpy()[kept], "upto": line.us[kept], "last": last[kept]}
+    )
+
+
+def open_at_begin(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Ordered steps to the opening of the window that is open when each slice begins."""
+    key, number, open_at, settled, started = None, None, NEVER, False, False
+    for batch in batches:
+        keys, slices, openings = [], [], []
+        rows = zip(batch["k"], batch["slice"], batch["upto"], batch["last"])
+        for k, s, upto, last in rows:
+            if not started or k != key:
+                key, number, open_at, started = k, None, NEVER, True
+            if s != number:
+                number, settled = s, False
+                keys.append(k)
+                slices.append(s)
+                openings.append(open_at)
+                end = open_at + window
+            if not settled and upto > end:
+                open_at, settled = last, True
+        yield pd.DataFrame({"k": keys, "slice": slices, "open_at": openings})
+
+
+def slice_openings(part: pd.DataFrame, window: int, length: int) -> pd.DataFrame:
+    """The opening of the window each instant falls into, given the one open when its slice begins."""
+    line = _Line(part, window, length)
+    open_at = part["open_at"].to_numpy()
+    still_open = line.us <= open_at + window
+    front = line.first + np.add.reduceat(still_open, line.first)
+    opens = np.zeros(len(part), dtype=bool)
+    end = line.end
+    while len(front):
+        inside = front < end
+        front, end = front[inside], end[inside]
+        opens[front] = True
+        front = line.follow[front]
+    at_or_before = np.maximum.accumulate(np.where(opens, np.arange(len(part)), -1))
+    opened = np.where(still_open, open_at, line.us[np.maximum(at_or_before, 0)])
+    return pd.DataFrame({"k": part["k"], "us": part["us"], "n": part["n"], "opened": opened})

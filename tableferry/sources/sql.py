@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -32,7 +33,11 @@ def incremental_extract(spark: SparkSession, query: str, checkpoint: Any = None)
     The value is bound with its own type, so the comparison in the query stays
     a plain range predicate that the scan can use.
     """
-    bound, found = CHECKPOINT_PLACEHOLDER.subn(":ca_pointer", query)
+    # A time without a zone stays one: it then compares with either kind of column
+    # without a cast around the column, which would hide it from the scan.
+    naive = isinstance(checkpoint, datetime) and checkpoint.tzinfo is None
+    marker = "cast(:ca_pointer as timestamp_ntz)" if naive else ":ca_pointer"
+    bound, found = CHECKPOINT_PLACEHOLDER.subn(marker, query)
     if not found:
         return spark.sql(query)
     return spark.sql(bound, args={"ca_pointer": CHECKPOINT_START if checkpoint is None else checkpoint})
@@ -44,6 +49,16 @@ def describe_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
 
 
+def query_metadata(df: DataFrame) -> DataFrame:
+    """``(position, name, type, row_count)`` of a result; the rows are counted where they are."""
+    fields = [
+        F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"))
+        for i, f in enumerate(df.schema)
+    ]
+    counted = df.agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select(F.explode(F.array(*fields)).alias("f"), "row_count").select("f.*", "row_count")
+
+
 def query_preview(df: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """The first rows of an ad-hoc result and its typed columns. The whole result goes to a sink."""
     return df.limit(limit), describe_columns(df)
