@@ -11,13 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_throttle(
-    events: DataFrame, key: str, ts: str, max_rate: int = 5, window_seconds: int = 60
+    events: DataFrame, key: str, ts: str, max_rate: int = 5, window_seconds: int = 60, forget_idle: bool = False
 ) -> DataFrame:
     """Events as ``(key, ts_us, allowed)``.
 
     The state of a key is two numbers. Events of a trigger are judged in time
     order; an event that comes in a later trigger than its time suggests is
-    judged when it arrives. A key at rest for two windows is forgotten.
+    judged when it arrives. ``forget_idle`` drops the state of a key that was at
+    rest for two windows; that is for live streams under a processing-time
+    trigger, since stored events run through faster than their own clock.
     """
     window = window_seconds * 1_000_000
     key_type = events.schema[key].dataType.simpleString()
@@ -39,7 +41,8 @@ def stream_throttle(
                 count += 1
                 allowed.append(True)
         state.update((count, first))
-        state.setTimeoutDuration(2 * window_seconds * 1000)
+        if forget_idle:
+            state.setTimeoutDuration(2 * window_seconds * 1000)
         yield pd.DataFrame({"key": group[0], "ts_us": times, "allowed": allowed})
 
     timed = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
@@ -48,5 +51,5 @@ def stream_throttle(
         f"key {key_type}, ts_us bigint, allowed boolean",
         "count int, first bigint",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout,
     )
