@@ -27,14 +27,14 @@ def clean(cell: Column) -> Column:
 
 
 def cell_class(cell: Column) -> Column:
-    """The class bit of one cleaned cell, NULL for NULL.
+    """The class bit of one cleaned cell that is not NULL.
 
-    The patterns guard the casts, which alone would accept more (``1d``, ``t``).
+    The patterns guard the casts, which alone would accept more (``1d``, ``t``),
+    and which are slow for text they cannot take.
     """
     as_double = cell.try_cast("double")
     return (
-        F.when(cell.isNull(), F.lit(None).cast("int"))
-        .when(cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.lit(LONG))
+        F.when(cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.lit(LONG))
         .when(cell.rlike(NUMBER) & (F.abs(as_double) < F.lit(float("inf"))), F.lit(DOUBLE))
         .when(cell.rlike(NOT_FINITE), F.lit(DOUBLE))
         .when(F.lower(cell).isin("true", "false"), F.lit(BOOL))
@@ -54,12 +54,18 @@ def type_of_mask(mask: int | None) -> T.DataType:
 
 
 def infer_schema(df: DataFrame, string_columns: Sequence[str] = ()) -> T.StructType:
-    """One aggregate over the text columns; a single row of bit masks comes back."""
+    """One aggregate over the text columns; a bit mask per column comes back.
+
+    The cells of a row are laid under each other, so the classification is one
+    short piece of generated code however wide the table is.
+    """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in string_columns]
     masks = {}
     if text:
-        row = df.agg(*[F.bit_or(cell_class(clean(quoted(c)))).alias(f"m{i}") for i, c in enumerate(text)]).first()
-        masks = dict(zip(text, row))
+        cells = df.select(F.posexplode(F.array(*[quoted(c) for c in text])).alias("at", "cell"))
+        cleaned = cells.select("at", F.btrim("cell", F.lit(WHITESPACE)).alias("cell")).filter("cell <> ''")
+        found = cleaned.groupBy("at").agg(F.bit_or(cell_class(F.col("cell"))).alias("mask")).collect()
+        masks = {name: None for name in text} | {text[r["at"]]: r["mask"] for r in found}
     return T.StructType(
         [T.StructField(f.name, type_of_mask(masks[f.name]) if f.name in masks else f.dataType) for f in df.schema]
     )
@@ -68,15 +74,19 @@ def infer_schema(df: DataFrame, string_columns: Sequence[str] = ()) -> T.StructT
 def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Clean the text columns and cast them to a known schema."""
     types = {f.name: f.dataType for f in schema}
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    trimmed = df.select(
+        [F.btrim(quoted(c), F.lit(WHITESPACE)).alias(c) if c in text else quoted(c) for c in df.columns]
+    )
     out = []
-    for field in df.schema:
-        col = quoted(field.name)
-        if isinstance(field.dataType, T.StringType):
-            col = clean(col)
-            if not isinstance(types[field.name], T.StringType):
-                col = col.try_cast(types[field.name])
-        out.append(col.alias(field.name))
-    return df.select(out)
+    for name in df.columns:
+        col = quoted(name)
+        if name in text:
+            col = F.nullif(col, F.lit(""))
+            if not isinstance(types[name], T.StringType):
+                col = col.try_cast(types[name])
+        out.append(col.alias(name))
+    return trimmed.select(out)
 
 
 def infer_types(df: DataFrame, string_columns: Sequence[str] = (), schema: T.StructType | None = None) -> DataFrame:

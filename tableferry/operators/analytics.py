@@ -57,9 +57,10 @@ def run_outcomes(run_log: DataFrame, range: str, as_of: datetime) -> DataFrame:
             F.count(F.lit(1)).alias("total"),
         )
     )
-    spine = spark.range(1).select(F.explode(F.sequence(first, last, step)).alias("bucket"))
+    spine = spark.range(0, 1, 1, 1).select(F.explode(F.sequence(first, last, step)).alias("bucket"))
+    # Both sides have at most one row per bucket: 90.
     return (
-        spine.join(counts, "bucket", "left")
+        spine.join(F.broadcast(counts), "bucket", "left")
         .select(
             "bucket",
             F.date_format("bucket", span.label).alias("date"),

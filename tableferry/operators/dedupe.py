@@ -11,9 +11,16 @@ from pyspark.sql import types as T
 from tableferry.functions.names import quoted
 
 
+_UNORDERED = (T.MapType, T.VariantType)
+
+
+def _order_names(df: DataFrame, key: str, order_by: Sequence[str]) -> list[str]:
+    return [*order_by, *[c for c in df.columns if c != key and c not in order_by]]
+
+
 def _orderable(field: T.StructField) -> Column:
     """Maps and variants have no order of their own, so their JSON text stands in."""
-    if isinstance(field.dataType, (T.MapType, T.VariantType)):
+    if isinstance(field.dataType, _UNORDERED):
         return F.to_json(quoted(field.name))
     return quoted(field.name)
 
@@ -21,8 +28,7 @@ def _orderable(field: T.StructField) -> Column:
 def total_order(df: DataFrame, key: str, order_by: Sequence[str]) -> Column:
     """A struct that orders the rows of a key without ties: ``order_by``, then all other columns."""
     by_name = {f.name: f for f in df.schema}
-    rest = [c for c in df.columns if c != key and c not in order_by]
-    names = [*order_by, *rest] or [key]
+    names = _order_names(df, key, order_by) or [key]
     return F.struct(*[_orderable(by_name[n]).alias(f"o{i}") for i, n in enumerate(names)])
 
 
@@ -41,11 +47,16 @@ def one_per_key(df: DataFrame, key: str, order_by: Sequence[str], pick: str = "l
     if pick not in ("first", "last"):
         raise ValueError("pick is 'first' or 'last'")
     keyed, _ = split_null_keys(df, key)
-    choose = F.max_by if pick == "last" else F.min_by
-    row = F.struct(*[quoted(c) for c in df.columns if c != key])
     if len(df.columns) == 1:
         return keyed.distinct()
-    best = keyed.groupBy(quoted(key).alias(key)).agg(choose(row, total_order(df, key, order_by)).alias("__row"))
+    names = _order_names(df, key, order_by)
+    if any(isinstance(df.schema[n].dataType, _UNORDERED) for n in names):
+        choose = F.max_by if pick == "last" else F.min_by
+        row = choose(F.struct(*[quoted(c) for c in names]), total_order(df, key, order_by))
+    else:
+        # The order takes in every column, so the greatest struct is the row itself.
+        row = (F.max if pick == "last" else F.min)(F.struct(*[quoted(c) for c in names]))
+    best = keyed.groupBy(quoted(key).alias(key)).agg(row.alias("__row"))
     return best.select([quoted(c) if c == key else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 

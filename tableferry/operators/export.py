@@ -59,4 +59,6 @@ def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def export_result(df: DataFrame, path: str) -> None:
     """A result grid as CSV with every cell in JSON form (text quoted, NULL as ``null``)."""
     cells = [F.regexp_replace(F.to_json(F.array(quoted(c))), r"(?s)^\[(.*)\]$", "$1").alias(c) for c in df.columns]
-    df.select(cells).write.option("header", True).option("quote", "\u0000").csv(path)
+    # One column of finished lines. JSON escapes control characters, so neither mark can occur in it.
+    lines = df.select(F.concat_ws(",", *cells).alias(",".join(df.columns)))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,11 +108,14 @@ class BucketedTable:
 
     Only those buckets are read, joined and replaced, so the cost follows the
     change and not the table. Rows without a key are spread over the buckets by
-    their content. One writer at a time; a reader that needs a steady state
-    across buckets while a merge commits should use ``VersionedTable``.
+    their content, and remember the ``tag`` of the merge that brought them, so a
+    repeated merge replaces them instead of adding them again. One writer at a
+    time; a reader that needs a steady state across buckets while a merge
+    commits should use ``VersionedTable``.
     """
 
     BUCKET = "_bucket"
+    TAG = "_tag"
 
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 256):
         self.spark = spark
@@ -120,36 +123,42 @@ class BucketedTable:
         self.key = key
         self.buckets = buckets
 
-    def _bucket(self, df: DataFrame) -> Column:
+    def _stamped(self, df: DataFrame, tag: str | None) -> DataFrame:
+        """Rows with their bucket, which they keep through every merge, and the tag of keyless ones."""
+        keyless = quoted(self.key).isNull()
         plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
         content = F.xxhash64(*[quoted(c) for c in plain])
-        code = F.when(quoted(self.key).isNull(), content).otherwise(F.xxhash64(quoted(self.key)))
-        return F.pmod(code, F.lit(self.buckets)).cast("int")
+        code = F.when(keyless, content).otherwise(F.xxhash64(quoted(self.key)))
+        return df.withColumn(self.TAG, F.when(keyless, F.lit(tag).cast("string"))).withColumn(
+            self.BUCKET, F.pmod(code, F.lit(self.buckets)).cast("int")
+        )
+
+    def _stored(self) -> DataFrame:
+        # Buckets written before a column came up do not have it.
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
-    def _write(self, df: DataFrame) -> None:
+    def _write(self, stamped: DataFrame) -> None:
         # Rows of a bucket meet before the write, so it gets few files; adaptive execution
         # joins small buckets and splits large ones.
-        out = df.withColumn(self.BUCKET, self._bucket(df)).hint("rebalance", self.BUCKET)
+        out = stamped.hint("rebalance", self.BUCKET)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.BUCKET).parquet(
             self.path
         )
 
     def create(self, df: DataFrame) -> None:
-        self._write(df)
+        self._write(self._stamped(df, None))
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(self.BUCKET)
+        return self._stored().drop(self.BUCKET, self.TAG)
 
-    def hit_buckets(self, source: DataFrame) -> list[int]:
-        """Buckets a source touches: at most ``buckets`` numbers come to the driver."""
-        return sorted(r[0] for r in source.select(self._bucket(source).alias("b")).distinct().collect())
-
-    def upsert(self, source: DataFrame, key_order: Sequence[str]) -> list[int]:
-        """Merge and return the buckets that were rewritten."""
-        hit = self.hit_buckets(source)
+    def upsert(self, source: DataFrame, order_by: Sequence[str], tag: str | None = None) -> list[int]:
+        """Merge and return the buckets that were rewritten: at most ``buckets`` numbers."""
+        stamped = self._stamped(source, tag)
+        hit = sorted(r[0] for r in stamped.select(self.BUCKET).distinct().collect())
         if not hit:
             return hit
-        current = self.spark.read.parquet(self.path).filter(F.col(self.BUCKET).isin(hit)).drop(self.BUCKET)
-        merged = upsert(current, source, self.key, key_order, target_unique=True)
-        self._write(merged)
+        current = self._stored().filter(F.col(self.BUCKET).isin(hit))
+        if tag is not None:
+            current = current.filter(quoted(self.key).isNotNull() | ~F.col(self.TAG).eqNullSafe(F.lit(tag)))
+        self._write(upsert(current, stamped, self.key, order_by, target_unique=True))
         return hit
