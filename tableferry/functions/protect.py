@@ -9,7 +9,7 @@ import hashlib
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,12 @@ def token_prefix(token: Column) -> Column:
     return F.substring(token, 1, 8)
 
 
+def find_tokens(tokens: DataFrame, presented: DataFrame) -> DataFrame:
+    """Presented tokens (``token``) with the stored row of the same hash (``hash``); the token itself goes no further."""
+    hashed = presented.select(token_hash(F.col("token")).alias("hash"), token_prefix(F.col("token")).alias("shown"))
+    return hashed.join(tokens, "hash")
+
+
 def derive_key(secret: str, salt: bytes) -> bytes:
     """The column key, computed once on the driver."""
     return hashlib.pbkdf2_hmac("sha256", secret.encode(), salt, KEY_ITERATIONS, KEY_BYTES)

@@ -117,6 +117,18 @@ def fleet_summary(nodes: DataFrame) -> DataFrame:
     )
 
 
+def console_totals(schemas: DataFrame, networks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``schemas, networks, jobs, active_agents`` as one row, counted in one job."""
+    names = ("schemas", "networks", "jobs", "active_agents")
+    online = networks.filter(F.col("status") == "online")
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select([F.col("n") if c == name else F.lit(0) for c in names])
+        for name, df in zip(names, (schemas, networks, jobs, online))
+    ]
+    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).toDF(*names)
+    return rows.agg(*[F.sum(c).cast("bigint").alias(c) for c in names])
+
+
 def activity_feed(jobs: DataFrame, audit: DataFrame, n: int = 6) -> DataFrame:
     """Jobs that ran and audit events as one feed, the newest ``n``.
 

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from tableferry.functions.names import quoted
 from tableferry.operators.dedupe import one_per_key, split_null_keys
-from tableferry.session import scratch_dir, stored_bytes
+from tableferry.session import BROADCAST_BYTES, scratch_dir, stored_bytes
 
 ACTION = "_action"
-# A staged source up to this many stored bytes is sent to every executor; beyond it, both sides shuffle.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def project_to(df: DataFrame, columns: Sequence[str]) -> DataFrame:

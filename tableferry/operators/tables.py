@@ -157,7 +157,10 @@ class BucketedTable:
         hit = sorted(r[0] for r in stamped.select(self.BUCKET).distinct().collect())
         if not hit:
             return hit
-        current = self._stored().filter(F.col(self.BUCKET).isin(hit))
+        if not path_exists(self.spark, self.path):
+            current = self.spark.createDataFrame([], stamped.schema)
+        else:
+            current = self._stored().filter(F.col(self.BUCKET).isin(hit))
         if tag is not None:
             current = current.filter(quoted(self.key).isNotNull() | ~F.col(self.TAG).eqNullSafe(F.lit(tag)))
         self._write(upsert(current, stamped, self.key, order_by, target_unique=True))

@@ -66,6 +66,25 @@ def inferred(spark, sf):
     return infer_types(text)
 
 
+@query(
+    "csv_rejected_rows",
+    """select 'good' as kind, c_name as line from customer where c_acctbal >= 0
+    union all select 'rejected', concat(c_custkey, ',', c_name, ',surplus,', c_mktsegment) from customer
+    where c_acctbal < 0""",
+)
+def csv_rejected_rows(spark, sf):
+    """Rows with a field too many go to the reject table; the others load."""
+    lines = table(spark, sf, "customer").select(
+        F.concat_ws(
+            ",", "c_custkey", "c_name", F.when(F.col("c_acctbal") < 0, F.lit("surplus")), "c_mktsegment"
+        ).alias("value")
+    )
+    good, rejected = files.csv_rejects(spark, written(spark, lines, "csv", "text"), ["id", "name", "segment"], header=False)
+    return good.select(F.lit("good").alias("kind"), F.col("name").alias("line")).unionByName(
+        rejected.select(F.lit("rejected").alias("kind"), "line")
+    )
+
+
 @query("json_lines", CUSTOMER)
 def json_lines(spark, sf):
     path = written(spark, table(spark, sf, "customer"), "jsonl", "json")

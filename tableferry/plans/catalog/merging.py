@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableferry.operators import documents
 from tableferry.operators.compare import compare, compare_summary
 from tableferry.operators.dedupe import latest_per_key
-from tableferry.operators.merge import insert_skip, merge_counts, staged_upsert, upsert
+from tableferry.operators.merge import insert_skip, merge_counts, project_to, staged_upsert, upsert
 from tableferry.operators.tables import BucketedTable, VersionedTable, truncate_load
 from tableferry.plans.catalog.registry import query, role, table, with_roles
 from tableferry.plans.hooks import run_hooks
@@ -92,6 +92,15 @@ def insert_skip_orders(spark, sf):
     return insert_skip(*inputs(spark, sf), "o_orderkey", ORDER, target_unique=True)
 
 
+@query(
+    "project_columns",
+    "select o_orderpriority, o_orderkey, cast(null as varchar) as absent from orders",
+)
+def project_columns(spark, sf):
+    rows = project_to(table(spark, sf, "orders"), ["o_orderpriority", "o_orderkey", "absent"])
+    return rows.withColumn("absent", F.col("absent").cast("string"))
+
+
 @query("truncate_load", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def truncate(spark, sf):
     path = scratch_dir(spark, "table")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.operators.analytics import node_metrics
-from tableferry.operators.tables import VersionedTable
+from tableferry.operators.tables import BucketedTable, VersionedTable
 from tableferry.plans.catalog.merging import MERGED, ORDER
 from tableferry.plans.catalog.registry import ORACLES, ROLES, query, role, table
 from tableferry.plans.catalog.runlog import FOLDED
@@ -33,6 +33,15 @@ def upserted(spark, sf):
     return orders.read()
 
 
+@query("stream_upsert_bucketed", MERGED)
+def upserted_buckets(spark, sf):
+    orders = BucketedTable(spark, scratch_dir(spark, "orders"), "o_orderkey", buckets=16)
+    orders.create(role(spark, sf, "orders_target"))
+    feed = role_stream(spark, sf, "orders_feed")
+    stream_upsert(feed, orders, "o_orderkey", ORDER, scratch_dir(spark, "progress")).awaitTermination()
+    return orders.read()
+
+
 @query("stream_run_status", FOLDED)
 def run_status(spark, sf):
     log = VersionedTable(spark, scratch_dir(spark, "runs"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tableferry.functions import search, status, text
-from tableferry.functions.protect import token_hash, token_prefix
+from tableferry.functions.protect import find_tokens, token_hash, token_prefix
 from tableferry.operators import analytics
 from tableferry.plans.catalog.registry import query, role, table, with_roles
 
@@ -101,6 +101,16 @@ def fleet_summary(spark, sf):
     return summary.withColumn("avg_cpu", F.round("avg_cpu", 6))
 
 
+@query(
+    "console_totals",
+    f"""{with_roles("networks")} select (select count(*) from supplier) as schemas, count(*) as networks,
+      (select count(*) from customer) as jobs, count(*) filter (status = 'online') as active_agents from networks""",
+)
+def console_totals(spark, sf):
+    networks, jobs = role(spark, sf, "networks"), role(spark, sf, "jobs")
+    return analytics.console_totals(table(spark, sf, "supplier"), networks, jobs)
+
+
 @query(
     "activity_feed",
     f"""{with_roles("ran_jobs", "audit")},
@@ -270,6 +280,17 @@ def token_hashes(spark, sf):
     )
 
 
+@query(
+    "token_lookup",
+    "select sha256(c_name) as hash, substr(c_name, 1, 8) as shown, c_custkey as owner from customer "
+    "where c_mktsegment = 'BUILDING'",
+)
+def token_lookup(spark, sf):
+    customers = table(spark, sf, "customer")
+    tokens = customers.select(token_hash(F.col("c_name")).alias("hash"), F.col("c_custkey").alias("owner"))
+    return find_tokens(tokens, customers.filter("c_mktsegment = 'BUILDING'").selectExpr("c_name as token"))
+
+
 @query(
     "numeric_metric",
     "select event_id, cast(json_extract(props, '$.k') as double) as k, cast(null as double) as missing from events",

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Data of up to this many stored bytes is sent to every executor; anything larger is shuffled.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
 def build_session(app: str = "tableferry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
 

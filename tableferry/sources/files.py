@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tableferry.functions.infer import WHITESPACE, infer_types
 from tableferry.functions.names import name_matches, quoted
+from tableferry.session import BROADCAST_BYTES, scratch_dir, stored_bytes
 
 # Formats by the names a source may give them.
 FORMATS = {"csv": "csv", "txt": "text", "text": "text", "xlsx": "excel", "excel": "excel", "json": "json"}
@@ -82,13 +83,32 @@ def read_csv(
     return infer_types(raw.toDF(*names), string_columns, schema)
 
 
+def csv_rejects(
+    spark: SparkSession, path: str, columns: list[str], header: bool = True, sep: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with the right number of fields, and the text of the others for a reject table.
+
+    The parsed rows are written once, so that both parts come from the same pass.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_rejected"]])
+    reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("escape", '"')
+    parsed = scratch_dir(spark, "parsed")
+    reader.option("columnNameOfCorruptRecord", "_rejected").schema(schema).csv(path).write.parquet(parsed)
+    rows = spark.read.schema(schema).parquet(parsed)
+    good = rows.filter(F.col("_rejected").isNull()).drop("_rejected")
+    return good, rows.filter(F.col("_rejected").isNotNull()).select(F.col("_rejected").alias("line"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, line_number, content)`` of every non-blank line; blank lines count in the numbering.
 
     Files stay splittable. Each split's line count (one row per split) gives the
     number its first line has in the file; a line's place inside its split comes
-    from the order in which the task read it.
+    from the order in which the task read it. The counts are written first: they
+    are broadcast if their stored size allows, so that the text itself is not
+    shuffled.
     """
+    pin_splits(spark)
     lines = (
         spark.read.option("lineSep", "\n")
         .text(path)
@@ -102,7 +122,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("path", "split").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     before = F.sum("n").over(earlier)
-    starts = splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    starts_path = scratch_dir(spark, "line-starts")
+    splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("before")).write.parquet(starts_path)
+    starts = spark.read.parquet(starts_path)
+    if stored_bytes(spark, starts_path) <= BROADCAST_BYTES:
+        starts = F.broadcast(starts)
     return (
         lines.join(starts, ["path", "split"])
         .filter(F.col("content") != "")
@@ -110,6 +134,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Files are cut alike by every scan of this session, also when executors come and go in between."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def read_delimited_or_lines(
     spark: SparkSession, path: str, header: bool = True, sep: str = ",", string_columns: tuple[str, ...] = ()
 ) -> DataFrame:

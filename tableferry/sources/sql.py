@@ -43,6 +43,11 @@ def incremental_extract(spark: SparkSession, query: str, checkpoint: Any = None)
     return spark.sql(bound, args={"ca_pointer": CHECKPOINT_START if checkpoint is None else checkpoint})
 
 
+def with_overlap(checkpoint: Any, overlap: Any) -> Any:
+    """A checkpoint moved back, to read again rows that came late with a value already passed. Merge by key then."""
+    return None if checkpoint is None else checkpoint - overlap
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """Ordered ``(position, name, type)`` of a result, known without running it."""
     rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]

@@ -9,16 +9,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tableferry.operators.analytics import node_state
 from tableferry.operators.runs import fold_runs
-from tableferry.operators.tables import VersionedTable
+from tableferry.operators.tables import BucketedTable, VersionedTable
 
+Table = VersionedTable | BucketedTable
 
-def upsert_batches(table: VersionedTable, name: str, key: str, order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function. A batch already committed is skipped, so a restart repeats nothing,
-    not even rows without a key."""
+
+def upsert_batches(table: Table, name: str, key: str, order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function; a batch that is repeated after a restart adds nothing, not even
+    rows without a key.
+
+    A versioned table suits small targets, since every batch writes it anew; a
+    bucketed one rewrites only the buckets a batch hits.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         tag = f"{name}-{batch_id}"
-        if not table.has_tag(tag):
+        if isinstance(table, BucketedTable):
+            table.upsert(batch, order_by, tag)
+        elif not table.has_tag(tag):
             table.upsert(batch, key, order_by, tag)
 
     return write
@@ -26,7 +34,7 @@ def upsert_batches(table: VersionedTable, name: str, key: str, order_by: Sequenc
 
 def stream_upsert(
     stream: DataFrame,
-    table: VersionedTable,
+    table: Table,
     key: str,
     order_by: Sequence[str],
     checkpoint: str,
@@ -39,7 +47,7 @@ def stream_upsert(
 
 
 def stream_run_status(
-    batches: DataFrame, table: VersionedTable, checkpoint: str, name: str = "runs", **trigger
+    batches: DataFrame, table: Table, checkpoint: str, name: str = "runs", **trigger
 ) -> StreamingQuery:
     """Keep the run log up to date from a stream of batch reports.
 
@@ -50,14 +58,14 @@ def stream_run_status(
 
 
 def stream_node_state(
-    heartbeats: DataFrame, table: VersionedTable, checkpoint: str, name: str = "nodes", **trigger
+    heartbeats: DataFrame, table: Table, checkpoint: str, name: str = "nodes", **trigger
 ) -> StreamingQuery:
     """Keep the last known state per node up to date from a stream of reports."""
     return _changed_rows(node_state(heartbeats), table, "agent_name", checkpoint, name, trigger)
 
 
 def _changed_rows(
-    folded: DataFrame, table: VersionedTable, key: str, checkpoint: str, name: str, trigger: dict
+    folded: DataFrame, table: Table, key: str, checkpoint: str, name: str, trigger: dict
 ) -> StreamingQuery:
     writer = folded.writeStream.outputMode("update").foreachBatch(upsert_batches(table, name, key, []))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
