@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableferry.functions.names import quoted
+from tableferry.operators.dedupe import split_null_keys
 
 
 def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -17,7 +18,9 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
     Classes: ``only_source``, ``only_target``, ``changed``, ``equal``, and
     ``duplicate_key`` for a key that either side holds more than once. NULL
     equals NULL, in the key too. Each side is first reduced to one row per key,
-    so a key repeated any number of times reaches the join once.
+    so a key repeated any number of times reaches the join once. The join uses
+    the partitioning of that reduction; the rows without a key, one per side by
+    then, are paired apart, since a null-safe join would shuffle all again.
     """
     columns = list(columns or [c for c in source.columns if c != key and c in target.columns])
 
@@ -28,7 +31,10 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
             F.any_value(row).alias(f"{side}_row"), F.count(F.lit(1)).alias(f"{side}_rows")
         )
 
-    joined = reduced(source, "s").join(reduced(target, "t"), F.col("s_key").eqNullSafe(F.col("t_key")), "full_outer")
+    (source_keyed, source_keyless), (target_keyed, target_keyless) = (split_null_keys(d, key) for d in (source, target))
+    joined = reduced(source_keyed, "s").join(reduced(target_keyed, "t"), F.col("s_key") == F.col("t_key"), "full_outer")
+    both_null = F.col("s_key").eqNullSafe(F.col("t_key"))
+    joined = joined.unionByName(reduced(source_keyless, "s").join(reduced(target_keyless, "t"), both_null, "full_outer"))
     differs = [~F.col("s_row").getField(c).eqNullSafe(F.col("t_row").getField(c)) for c in columns]
     any_differs = reduce(lambda a, b: a | b, differs, F.lit(False))
     s_rows = F.coalesce("s_rows", F.lit(0))

@@ -42,9 +42,9 @@ def throttle(
     """The events with a column ``allowed``. ``order_by`` orders events of the same instant."""
     window = window_seconds * 1_000_000
     length = window * windows_per_slice
-    timed = events.withColumn("__k", F.col(key).cast("string")).withColumn(
-        "__us", F.unix_micros(F.col(ts).cast("timestamp"))
-    )
+    # A key as text that is never NULL: then all joins below are plain equalities.
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    timed = events.withColumn("__k", text).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
     # Instants, not events: what happens at one instant happens in one window.
     instants = timed.groupBy(F.col("__k").alias("k"), F.col("__us").alias("us")).agg(F.count(F.lit(1)).alias("n"))
     instants = instants.withColumn("slice", F.floor(F.col("us") / length))
@@ -63,22 +63,22 @@ def throttle(
     def in_order(df: DataFrame, by: list[str], *rest: str) -> DataFrame:
         return df.repartition(*by).sortWithinPartitions(*by, *rest)
 
-    steps = in_order(instants.select("k", "slice", "us"), ["k", "slice"], "us").mapInPandas(
+    steps = in_order(instants, ["k", "slice"], "us").mapInPandas(
         sum_up, "k string, slice bigint, upto bigint, last bigint"
     )
     carried = in_order(steps, ["k"], "slice", "upto").mapInPandas(carry, "k string, slice bigint, open_at bigint")
-    same_slice = F.col("i.k").eqNullSafe(F.col("c.k")) & (F.col("i.slice") == F.col("c.slice"))
-    known = instants.alias("i").join(carried.alias("c"), same_slice).select("i.*", "c.open_at")
+    known = instants.join(carried, ["k", "slice"])
     opened = in_order(known, ["k", "slice"], "us").mapInPandas(
         walk, "k string, us bigint, n bigint, opened bigint"
     )
     before = Window.partitionBy("k", "opened").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = opened.select("k", "us", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    same = Window.partitionBy("__k", "__us").orderBy(*(order_by or [key]))
+    earlier = F.coalesce(F.sum("n").over(before), F.lit(0))
+    ranked = opened.select(F.col("k").alias("__k"), F.col("us").alias("__us"), earlier.alias("__earlier"))
+    same = Window.partitionBy("__k", "__us").orderBy(*(order_by or ["__us"]))
     return (
         timed.withColumn("__same", F.row_number().over(same))
-        .join(ranked, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__us") == F.col("us")))
-        .select(*events.columns, (F.col("earlier") + F.col("__same") <= max_rate).alias("allowed"))
+        .join(ranked, ["__k", "__us"])
+        .select(*events.columns, (F.col("__earlier") + F.col("__same") <= max_rate).alias("allowed"))
     )
 
 

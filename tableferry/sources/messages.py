@@ -22,8 +22,11 @@ def parse_messages(lines: DataFrame, key: bytes | None = None, column: str = "va
     split it off with ``bad_messages``, or skip it with ``good_messages``.
     """
     raw = F.col(column)
-    text = unpack(decrypt(raw, key) if key is not None else F.when(~raw.startswith("ENC:"), raw))
-    body = lines.filter(F.trim(raw) != "").select(raw.alias("raw"), F.try_parse_json(text).alias("message"))
+    clear = decrypt(raw, key) if key is not None else F.when(~raw.startswith("ENC:"), raw)
+    # Step by step, so that each line is opened and parsed once however many fields are taken from it.
+    opened = lines.filter(F.trim(raw) != "").select(raw.alias("raw"), clear.alias("clear"))
+    unpacked = opened.select("raw", unpack(F.col("clear")).alias("text"))
+    body = unpacked.select("raw", F.try_parse_json("text").alias("message"))
     message = F.col("message")
 
     def text_field(name: str):

@@ -149,13 +149,13 @@ def brute_throttle(events, max_rate, window):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_throttle_against_brute_force(spark, seed):
     random = Random(seed)
-    span = [600, 3000, 20000, 100000][seed]
+    span = [600, 5000, 100000][seed]
     events = [(i, random.choice([None, "a", "a", "a", "b"]), at(random.randrange(span))) for i in range(600)]
     df = spark.createDataFrame(events, "event int, user string, ts timestamp_ntz")
-    for per_slice in (1, 3, 32):
+    for per_slice in (1, 32):
         got = throttle(df, "user", "ts", 3, 60, ["event"], per_slice)
         assert {r["event"]: r["allowed"] for r in got.collect()} == brute_throttle(events, 3, 60)
 
