@@ -93,6 +93,11 @@ def jobs_with_network(jobs: DataFrame, networks: DataFrame, network_name: str |
     return jobs.join(wanted, "network_id")
 
 
+def network_jobs(networks: DataFrame, jobs: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Networks with their jobs and each job's schema; a network without jobs keeps one row."""
+    return networks.join(jobs, "network_id", "left").join(schemas, "schema_id", "left")
+
+
 def with_rules(schemas: DataFrame, rules: DataFrame) -> DataFrame:
     """Schemas with their rules, a row per rule and one for a schema without any.
 

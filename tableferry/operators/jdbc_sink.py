@@ -46,7 +46,7 @@ def merge_statement(table: str, staging: str, columns: Sequence[str], key: str,
         sets = ", ".join(f"{q(c)} = VALUES({q(c)})" for c in others or [key])
         return f"{head} ON DUPLICATE KEY UPDATE {sets}"
     if dialect in ("oracle", "sqlserver"):
-        update = ", ".join(f"t.{q(c)} = s.{q(c)}" for c in others)
+        update = ", ".join(f"{q(c)} = s.{q(c)}" for c in others)
         values = ", ".join(f"s.{q(c)}" for c in columns)
         return (
             f"MERGE INTO {q(table)} t USING {q(staging)} s ON (t.{q(key)} = s.{q(key)})"

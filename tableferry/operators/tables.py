@@ -13,7 +13,7 @@ from tableferry.functions.infer import target_types
 from tableferry.functions.names import is_valid_name, quoted, validate_columns
 from tableferry.functions.text import flat_text
 from tableferry.operators.merge import upsert
-from tableferry.session import child_names, path_exists
+from tableferry.session import child_names, delete_folder, path_exists
 
 # Spark types of the four column types a created table has.
 SPARK_TYPES = {
@@ -96,6 +96,15 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def expire(self, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` versions, once no reader needs them; how many went."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        old = self.versions()[:-keep]
+        for _, _, path in old:
+            delete_folder(self.spark, path)
+        return len(old)
+
     def upsert(self, source: DataFrame, key: str, order_by: Sequence[str], tag: str | None = None) -> DataFrame:
         current = self.read()
         if current is None:

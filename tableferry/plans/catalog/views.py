@@ -78,6 +78,20 @@ def schema_rules(spark, sf):
     return analytics.with_rules(schemas, rules)
 
 
+@query(
+    "network_jobs",
+    f"""{with_roles("networks")} select n.network_id, network_name, c_custkey as job_id, s_name as schema_name
+    from networks n left join (select * from customer where c_acctbal > 9000) c on n.network_id = c.c_nationkey
+    left join supplier s on c_custkey = s_suppkey""",
+)
+def network_jobs(spark, sf):
+    jobs = table(spark, sf, "customer").filter("c_acctbal > 9000")
+    jobs = jobs.selectExpr("bigint(c_nationkey) as network_id", "c_custkey as job_id", "c_custkey as schema_id")
+    schemas = table(spark, sf, "supplier").selectExpr("s_suppkey as schema_id", "s_name as schema_name")
+    found = analytics.network_jobs(role(spark, sf, "networks"), jobs, schemas)
+    return found.select("network_id", "network_name", "job_id", "schema_name")
+
+
 @query(
     "schema_creator",
     """select c_custkey as schema_id, cast(c_nationkey as bigint) as created_by, coalesce(n_name, 'System') as creator_name

@@ -73,3 +73,8 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes a folder really holds: the measure behind every broadcast choice."""
     fs, hpath = _hadoop_path(spark, path)
     return int(fs.getContentSummary(hpath).getLength()) if fs.exists(hpath) else 0
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, hpath = _hadoop_path(spark, path)
+    fs.delete(hpath, True)

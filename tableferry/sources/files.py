@@ -29,7 +29,8 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", pattern: str
     )
     key = F.regexp_replace("path", "^.*?" + _quote_regex(_plain(start)), "")
     listed = files.select(key.alias("key"), "size", "modified", "path")
-    return listed.filter(F.startswith("key", F.lit(prefix)) & name_matches(F.col("key"), pattern) & ~F.endswith("key", F.lit("/")))
+    wanted = F.startswith("key", F.lit(prefix)) & name_matches(F.col("key"), pattern)
+    return listed.filter(wanted & ~F.endswith("key", F.lit("/")))
 
 
 def _plain(path: str) -> str:
@@ -76,6 +77,8 @@ def read_csv(
     """
     reader = spark.read.option("header", header).option("sep", sep).option("mode", mode)
     reader = reader.option("multiLine", multiline).option("escape", '"').option("enforceSchema", "false")
+    # A ragged row must fail also when later steps use only some columns.
+    reader = reader.option("columnPruning", "false")
     raw = reader.csv(path)
     names = [c.strip() if header else f"column_{i + 1}" for i, c in enumerate(raw.columns)]
     if len(set(names)) < len(names):
@@ -192,8 +195,8 @@ def read_file(
 ) -> DataFrame:
     """Read by format name; without one, look at the start of one file."""
     if not format:
-        first = spark.read.text(path).filter(F.btrim("value", F.lit(WHITESPACE)) != "").select(F.left("value", F.lit(64)))
-        row = first.first()
+        filled = spark.read.text(path).filter(F.btrim("value", F.lit(WHITESPACE)) != "")
+        row = filled.select(F.left("value", F.lit(64))).first()
         format = sniff_format(row[0] if row else "")
     kind = FORMATS.get(format.lower())
     sep = (sep or ",")[0]

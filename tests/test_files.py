@@ -30,6 +30,9 @@ def test_ragged(spark, tmp_path, rows):
     text = "a,b\n1,2\n3\n"
     with pytest.raises(Exception, match="(?i)malformed"):
         files.read_csv(spark, put(tmp_path, "r.csv", text)).collect()
+    given = spark.createDataFrame([], "a bigint, b bigint").schema
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_csv(spark, str(tmp_path / "r.csv"), schema=given).select("a").collect()
     lines = files.read_file(spark, put(tmp_path, "r.txt", text), "txt")
     assert rows(lines) == [(1, "a,b"), (2, "1,2"), (3, "3")]
     loose = files.read_csv(spark, str(tmp_path / "r.csv"), mode="PERMISSIVE")

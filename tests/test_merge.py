@@ -144,11 +144,12 @@ def test_versions_and_tags(spark):
     assert table.read().count() == 1 and len(table.versions()) == 1
     table.upsert(source, "k", ["seq"], tag="q-1")
     assert table.read().count() == 2 and table.read(1).count() == 1
+    assert table.expire(1) == 1 and table.read().count() == 2 and table.read(1) is None
     # A version without its success marker is not there.
     spark.range(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
         f"{table.path}/v=000000000009"
     )
-    assert len(table.versions()) == 2
+    assert len(table.versions()) == 1
 
 
 def test_bucketed_upsert_rewrites_only_hit_buckets(spark):

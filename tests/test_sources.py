@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,18 @@ def test_watch_sees_rewritten_objects(spark, tmp_path):
     assert events == ["initial_sync_complete", "sync_complete"]
 
 
+@pytest.mark.parametrize("dialect", ["postgres", "oracle"])
+def test_merge_statement_does_what_upsert_does(dialect):
+    con = duckdb.connect()
+    con.execute("create table t (id bigint primary key, v varchar, kept varchar)")
+    con.execute("insert into t values (1, 'a', 'x'), (2, 'b', 'y')")
+    con.execute("create table s as select * from (values (2, null), (3, 'c')) s(id, v)")
+    con.execute(merge_statement("t", "s", ["id", "v"], "id", dialect))
+    assert con.execute("select * from t order by id").fetchall() == [(1, "a", "x"), (2, None, "y"), (3, "c", None)]
+    con.execute(merge_statement("t", "s", ["id"], "id", dialect))
+    assert con.execute("select count(*) from t").fetchone() == (3,)
+
+
 def test_merge_statements():
     assert merge_statement("t", "s", ["id", "v"], "id", "postgres") == (
         'INSERT INTO "t" ("id", "v") SELECT "id", "v" FROM "s" WHERE TRUE ON CONFLICT ("id") DO UPDATE SET "v" = EXCLUDED."v"'
