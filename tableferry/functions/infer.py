@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,24 +22,27 @@ NOT_FINITE = r"^(?i)(nan|[+-]?inf|[+-]?infinity)$"
 LONG, DOUBLE, BOOL, STRING = 1, 2, 4, 8
 
 
-def clean(cell: Column) -> Column:
-    """Trim both sides; an empty cell becomes NULL."""
-    trimmed = F.btrim(cell, F.lit(WHITESPACE))
-    return F.nullif(trimmed, F.lit(""))
+def trim_space(cell: Column) -> Column:
+    """Both sides trimmed. Trimming a set of characters walks the whole text, so it is left out where nothing is to trim."""
+    padded = reduce(or_, [cell.startswith(ch) | cell.endswith(ch) for ch in WHITESPACE])
+    return F.when(padded, F.btrim(cell, F.lit(WHITESPACE))).otherwise(cell)
 
 
 def cell_class(cell: Column) -> Column:
     """The class bit of one cleaned cell that is not NULL.
 
     The patterns guard the casts, which alone would accept more (``1d``, ``t``),
-    and which are slow for text they cannot take.
+    and which are slow for text they cannot take. First characters and lengths
+    guard the patterns, which would copy every long text.
     """
     as_double = cell.try_cast("double")
+    number_like = F.substring(cell, 1, 1).isin(*"+-.0123456789")
+    size = F.octet_length(cell)
     return (
-        F.when(cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.lit(LONG))
-        .when(cell.rlike(NUMBER) & (F.abs(as_double) < F.lit(float("inf"))), F.lit(DOUBLE))
-        .when(cell.rlike(NOT_FINITE), F.lit(DOUBLE))
-        .when(F.lower(cell).isin("true", "false"), F.lit(BOOL))
+        F.when(number_like & cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull(), F.lit(LONG))
+        .when(number_like & cell.rlike(NUMBER) & (F.abs(as_double) < F.lit(float("inf"))), F.lit(DOUBLE))
+        .when((size <= len("+infinity")) & cell.rlike(NOT_FINITE), F.lit(DOUBLE))
+        .when((size <= len("false")) & F.lower(cell).isin("true", "false"), F.lit(BOOL))
         .otherwise(F.lit(STRING))
     )
 
@@ -63,7 +68,7 @@ def infer_schema(df: DataFrame, string_columns: Sequence[str] = ()) -> T.StructT
     masks = {}
     if text:
         cells = df.select(F.posexplode(F.array(*[quoted(c) for c in text])).alias("at", "cell"))
-        cleaned = cells.select("at", F.btrim("cell", F.lit(WHITESPACE)).alias("cell")).filter("cell <> ''")
+        cleaned = cells.select("at", trim_space(F.col("cell")).alias("cell")).filter("cell <> ''")
         found = cleaned.groupBy("at").agg(F.bit_or(cell_class(F.col("cell"))).alias("mask")).collect()
         masks = {name: None for name in text} | {text[r["at"]]: r["mask"] for r in found}
     return T.StructType(
@@ -76,7 +81,7 @@ def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     types = {f.name: f.dataType for f in schema}
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     trimmed = df.select(
-        [F.btrim(quoted(c), F.lit(WHITESPACE)).alias(c) if c in text else quoted(c) for c in df.columns]
+        [trim_space(quoted(c)).alias(c) if c in text else quoted(c) for c in df.columns]
     )
     out = []
     for name in df.columns:

@@ -11,6 +11,7 @@ from tableferry.functions.infer import target_types
 from tableferry.functions.names import is_valid_name, validate_columns
 from tableferry.operators.dedupe import latest_per_key
 from tableferry.operators.tables import to_target_types
+from tableferry.session import scratch_dir
 from tableferry.sources.jdbc import quote
 
 # Rows per insert statement batch.
@@ -88,20 +89,21 @@ def execute(spark: SparkSession, url: str, statements: Sequence[str], options: M
         connection.close()
 
 
-def column_types(df: DataFrame, dialect: str = "postgres") -> str:
+def column_types(types: Mapping[str, str], dialect: str = "postgres") -> str:
     """The types a created table gets, as Spark's JDBC writer takes them."""
     names = {"mysql": {"DOUBLE PRECISION": "DOUBLE"}, "oracle": {"BIGINT": "NUMBER(19)", "TEXT": "CLOB"}}
     rename = names.get(dialect, {})
-    return ", ".join(f"`{c}` {rename.get(t, t)}" for c, t in target_types(validate_columns(df)).items())
+    return ", ".join(f"`{c}` {rename.get(t, t)}" for c, t in types.items())
 
 
 def jdbc_append(
     df: DataFrame, url: str, table: str, options: Mapping[str, str] | None = None, dialect: str = "postgres"
 ) -> None:
     """Append in parallel, one connection per partition; the table is created if missing."""
-    rows = to_target_types(df)
+    types = target_types(validate_columns(df))
+    rows = to_target_types(df, types=types)
     writer = rows.write.format("jdbc").option("url", url).option("dbtable", quote(_name(table), dialect))
-    writer = writer.option("batchsize", BATCH_ROWS).option("createTableColumnTypes", column_types(df, dialect))
+    writer = writer.option("batchsize", BATCH_ROWS).option("createTableColumnTypes", column_types(types, dialect))
     writer.options(**(options or {})).mode("append").save()
 
 
@@ -125,13 +127,17 @@ def jdbc_merge(
 ) -> None:
     """Upsert into a database table.
 
-    Deduplicated rows load into a staging table in parallel; one statement then
-    merges them and the staging table goes. If anything fails before that
-    statement commits, the target is as it was.
+    Deduplicated rows are written once to the shared folder, so that finding
+    their types and loading them do not compute them again. They load into a
+    staging table in parallel; one statement then merges them and the staging
+    table goes. If anything fails before that statement commits, the target is
+    as it was.
     """
     _name(table), _name(key)
     spark = df.sparkSession
-    latest = latest_per_key(df, key, order_by)
+    path = scratch_dir(spark, "jdbc-merge")
+    latest_per_key(df, key, order_by).write.parquet(path)
+    latest = spark.read.schema(df.schema).parquet(path)
     columns = validate_columns(latest).columns
     staging = f"stage_{uuid.uuid4().hex[:16]}"
     try:

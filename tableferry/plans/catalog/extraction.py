@@ -264,9 +264,8 @@ def hash_flatten_rows(spark, sf):
 
 @query(
     "run_all_rules",
-    """select 'open_orders' as rule, 'completed' as status, count(*) as record_count, count(*) as inserted,
-      0 as updated, cast(max(o_orderkey) as varchar) as checkpoint from orders where o_orderkey > 0
-      and o_orderstatus = 'O'
+    """select 'all_orders' as rule, 'completed' as status, count(*) as record_count, count(*) as inserted,
+      0 as updated, cast(max(o_orderkey) as varchar) as checkpoint from orders
     union all select 'customers', 'completed', count(*), count(*), 0, null from customer""",
 )
 def run_all_rules(spark, sf):
@@ -280,14 +279,14 @@ def run_all_rules(spark, sf):
         Endpoint(path=scratch_dir(spark, "target")),
         (
             Rule(
-                "open_orders",
-                "select * from orders where o_orderkey > {{ca_pointer}} and o_orderstatus = 'O'",
+                "all_orders",
+                "select * from orders where o_orderkey > {{ca_pointer}}",
                 key="o_orderkey",
             ),
             Rule("customers", "select * from customer", key="c_custkey"),
         ),
         checkpoint_column="o_orderkey",
     )
-    events = run(spark, spec, scratch_dir(spark, "state"), datetime(2024, 1, 31), {"open_orders": 0})
+    events = run(spark, spec, scratch_dir(spark, "state"), datetime(2024, 1, 31), {"all_orders": -1})
     return events.select("rule", "status", "record_count", "inserted", "updated", "checkpoint")
 

@@ -93,13 +93,13 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
     "batches": (
         ("events",),
         """select user_id as log_id, ts,
-          case event_type when 'purchase' then 'completed' when 'signup' then 'success'
-               when 'error' then 'failed' else 'running' end as status,
+          case when event_type = 'purchase' then 'completed' when event_type = 'signup' then 'success'
+               when event_type = 'error' and value > 200 then 'failed' else 'running' end as status,
           cast(floor(value) as bigint) as record_count,
-          case when event_type = 'error' and value > 120 then props else '' end as error,
+          case when event_type = 'error' and value > 250 then props else '' end as error,
           (event_type in ('click', 'view', 'error')) as partial,
           case when value > 5 then props end as sample
-        from events where event_type <> 'error' or value > 100""",
+        from events""",
     ),
     "heartbeats": (
         ("events",),

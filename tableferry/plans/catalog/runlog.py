@@ -138,16 +138,15 @@ def aborted_filter(spark, sf):
 @query(
     "rule_lookup",
     f"""{with_roles("jobs")}, rules as (select dest_table as target_table, min(job_id) as rule_id,
-        arg_min(name, job_id) as rule_name from jobs where status <> 'failed' and network_id < 20 group by dest_table)
-    select j.job_id, j.dest_table as target_table, rule_id, rule_name from jobs j
-    left join rules on j.dest_table = rules.target_table""",
+        arg_min(name, job_id) as rule_name from jobs group by dest_table),
+      batches as (select job_id, case when status = 'failed' then 'OTHER' else dest_table end as target_table from jobs)
+    select job_id, b.target_table, rule_id, rule_name from batches b
+    left join rules on b.target_table = rules.target_table""",
 )
 def rule_lookup(spark, sf):
     jobs = role(spark, sf, "jobs")
-    rules = jobs.filter("status <> 'failed' and network_id < 20").selectExpr(
-        "job_id as rule_id", "dest_table as target_table", "name as rule_name"
-    )
-    batches = jobs.selectExpr("job_id", "dest_table as target_table")
+    rules = jobs.selectExpr("job_id as rule_id", "dest_table as target_table", "name as rule_name")
+    batches = jobs.selectExpr("job_id", "if(status = 'failed', 'OTHER', dest_table) as target_table")
     return analytics.batch_rules(batches, rules)
 
 

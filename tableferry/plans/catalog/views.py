@@ -69,23 +69,22 @@ def jobs_with_network(spark, sf):
 @query(
     "schema_rules",
     """select n_nationkey as schema_id, n_name as name, s_suppkey as rule_id, s_name as target_table
-    from nation left join (select * from supplier where s_acctbal > 5000) on n_nationkey = s_nationkey""",
+    from nation left join supplier on n_nationkey = s_nationkey""",
 )
 def schema_rules(spark, sf):
     schemas = table(spark, sf, "nation").selectExpr("n_nationkey as schema_id", "n_name as name")
-    rules = table(spark, sf, "supplier").filter("s_acctbal > 5000")
-    rules = rules.selectExpr("s_nationkey as schema_id", "s_suppkey as rule_id", "s_name as target_table")
+    rules = table(spark, sf, "supplier").selectExpr("s_nationkey as schema_id", "s_suppkey as rule_id", "s_name as target_table")
     return analytics.with_rules(schemas, rules)
 
 
 @query(
     "network_jobs",
     f"""{with_roles("networks")} select n.network_id, network_name, c_custkey as job_id, s_name as schema_name
-    from networks n left join (select * from customer where c_acctbal > 9000) c on n.network_id = c.c_nationkey
+    from networks n left join customer c on n.network_id = c.c_nationkey
     left join supplier s on c_custkey = s_suppkey""",
 )
 def network_jobs(spark, sf):
-    jobs = table(spark, sf, "customer").filter("c_acctbal > 9000")
+    jobs = table(spark, sf, "customer")
     jobs = jobs.selectExpr("bigint(c_nationkey) as network_id", "c_custkey as job_id", "c_custkey as schema_id")
     schemas = table(spark, sf, "supplier").selectExpr("s_suppkey as schema_id", "s_name as schema_name")
     found = analytics.network_jobs(role(spark, sf, "networks"), jobs, schemas)
@@ -94,12 +93,15 @@ def network_jobs(spark, sf):
 
 @query(
     "schema_creator",
-    """select c_custkey as schema_id, cast(c_nationkey as bigint) as created_by, coalesce(n_name, 'System') as creator_name
-    from customer left join (select * from nation where n_regionkey <> 3) on c_nationkey = n_nationkey""",
+    """with s as (select c_custkey as schema_id,
+      cast(case when c_mktsegment = 'BUILDING' then -1 else c_nationkey end as bigint) as created_by from customer)
+    select schema_id, created_by, coalesce(n_name, 'System') as creator_name
+    from s left join nation on created_by = n_nationkey""",
 )
 def schema_creator(spark, sf):
-    schemas = table(spark, sf, "customer").selectExpr("c_custkey as schema_id", "bigint(c_nationkey) as created_by")
-    users = table(spark, sf, "nation").filter("n_regionkey <> 3")
+    creator = "bigint(if(c_mktsegment = 'BUILDING', -1, c_nationkey)) as created_by"
+    schemas = table(spark, sf, "customer").selectExpr("c_custkey as schema_id", creator)
+    users = table(spark, sf, "nation")
     return analytics.schema_creator(schemas, users.selectExpr("bigint(n_nationkey) as user_id", "n_name as username"))
 
 
@@ -296,13 +298,12 @@ def token_hashes(spark, sf):
 
 @query(
     "token_lookup",
-    "select sha256(c_name) as hash, substr(c_name, 1, 8) as shown, c_custkey as owner from customer "
-    "where c_mktsegment = 'BUILDING'",
+    "select sha256(c_name) as hash, substr(c_name, 1, 8) as shown, c_custkey as owner from customer",
 )
 def token_lookup(spark, sf):
     customers = table(spark, sf, "customer")
     tokens = customers.select(token_hash(F.col("c_name")).alias("hash"), F.col("c_custkey").alias("owner"))
-    return find_tokens(tokens, customers.filter("c_mktsegment = 'BUILDING'").selectExpr("c_name as token"))
+    return find_tokens(tokens, customers.selectExpr("c_name as token"))
 
 
 @query(

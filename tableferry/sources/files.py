@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableferry.functions.infer import WHITESPACE, infer_types
+from tableferry.functions.infer import WHITESPACE, infer_types, trim_space
 from tableferry.functions.names import name_matches, quoted
 from tableferry.session import BROADCAST_BYTES, scratch_dir, stored_bytes
 
@@ -119,7 +119,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("seq"),
-            F.btrim("value", F.lit(WHITESPACE)).alias("content"),
+            trim_space(F.col("value")).alias("content"),
         )
     )
     splits = lines.groupBy("path", "split").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -195,8 +195,8 @@ def read_file(
 ) -> DataFrame:
     """Read by format name; without one, look at the start of one file."""
     if not format:
-        filled = spark.read.text(path).filter(F.btrim("value", F.lit(WHITESPACE)) != "")
-        row = filled.select(F.left("value", F.lit(64))).first()
+        filled = spark.read.text(path).filter(trim_space(F.col("value")) != "")
+        row = filled.select(F.left(trim_space(F.col("value")), F.lit(4))).first()
         format = sniff_format(row[0] if row else "")
     kind = FORMATS.get(format.lower())
     sep = (sep or ",")[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ def stream_throttle(
 ) -> DataFrame:
     """Events as ``(key, ts_us, allowed)``.
 
-    The state of a key is two numbers. Events of a trigger are judged in time
+    The state of a key is two numbers; a trigger holds the times of its own
+    events per key, so limit what a trigger takes in (``maxFilesPerTrigger``). Events of a trigger are judged in time
     order; an event that comes in a later trigger than its time suggests is
     judged when it arrives. ``forget_idle`` drops the state of a key that was at
     rest for two windows; that is for live streams under a processing-time
@@ -29,17 +31,16 @@ def stream_throttle(
             state.remove()
             return
         count, first = state.get if state.exists else (0, None)
-        times = pd.concat([b["us"] for b in batches]).sort_values().to_numpy()
-        allowed = []
-        for now in times:
-            if first is None or now - first > window:
-                count, first = 1, int(now)
-                allowed.append(True)
-            elif count >= max_rate:
-                allowed.append(False)
-            else:
-                count += 1
-                allowed.append(True)
+        times = np.sort(np.concatenate([b["us"].to_numpy() for b in batches]))
+        allowed = np.empty(len(times), dtype=bool)
+        at = 0
+        # One step per window, however many events it holds.
+        while at < len(times):
+            if first is None or times[at] - first > window:
+                count, first = 0, int(times[at])
+            end = int(np.searchsorted(times, first + window, side="right"))
+            allowed[at:end] = np.arange(end - at) < max_rate - count
+            count, at = min(max_rate, count + end - at), end
         state.update((count, first))
         if forget_idle:
             state.setTimeoutDuration(2 * window_seconds * 1000)
