@@ -3,7 +3,8 @@
 import oracle
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tableferry.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,12 +15,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert oracle.compare(spark, con, queries()[name], oracle_sql()[name], SF) is None
+    assert oracle.compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
 
 
 def test_entry(spark):
