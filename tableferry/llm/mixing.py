@@ -12,7 +12,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
 SEED = "mix-1"
 # Documents of a source are ordered in slices of about this many rows, so that a running sum never holds a whole source.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
