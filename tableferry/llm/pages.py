@@ -184,6 +184,8 @@ def content_paths(found: list[Block]) -> set[tuple[str, ...]]:
     For each path: text length over the number of its blocks (without text in links), and punctuation over the same number.
     Both are smoothed along the page, multiplied, and compared with a quarter of their weighted mean.
     """
+    if not found:
+        return set()
     order: dict[tuple[str, ...], list[float]] = {}
     for b in found:
         sums = order.setdefault(b.path, [0.0, 0.0, 0.0])
