@@ -71,7 +71,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shape_counts(t or "", DIMS).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            rows = [
+                np.minimum(shape_counts(t or "", DIMS), 65535).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "counts"])
 
     rows = (
@@ -87,10 +89,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     seen, texts = document_frequencies(docs, shape_counts, DIMS)
     space = Space(inverse_frequencies(seen, texts), np.zeros((DIMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0))
     if rows.num_rows:
-        counts = np.stack([np.frombuffer(x, np.float32) for x in rows.column("counts").to_pylist()])
-        flat = weighted(counts, space.idf)
-        space.axes = np.linalg.eigh(flat.T @ flat)[1][:, -RANK:]
-        vectors = flat @ space.axes
+        counts, size = rows.column("counts").to_pylist(), 256
+        blocks = [np.stack([np.frombuffer(c, np.uint16) for c in counts[at : at + size]]) for at in range(0, len(counts), size)]
+        products = np.zeros((DIMS, DIMS), np.float32)
+        for block in blocks:
+            flat = weighted(block, space.idf).astype(np.float32)
+            products += flat.T @ flat
+        space.axes = np.linalg.eigh(products)[1][:, -RANK:].astype(float)
+        vectors = np.concatenate([weighted(block, space.idf) @ space.axes for block in blocks])
         space.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         space.labels = (np.array(rows.column("label").to_pylist()) > 0).astype(float)
     return space
