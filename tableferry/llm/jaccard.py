@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
 from tableferry.llm.shingles import mixed, shingle_set
 from tableferry.llm.store import staged
@@ -220,50 +221,25 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     return staged(spark, joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def _compare_lists(needed: tuple[int, int]):
-    """Pairs inside sorted lists that size and bitmap allow, compared whole columns at a time, at one distance after another."""
-
-    def pairs(key: np.ndarray, part: np.ndarray, name: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray):
-        left, distance = np.arange(len(key)), 1
-        while len(left := left[left + distance < len(key)]):
-            right = left + distance
-            left = left[key[left] == key[right]]
-            right = left + distance
-            # Between two parts of a long list only pairs across them are new; inside one part all are.
-            ok = (comp[left] != comp[right]) & ((part[left] != part[right]) | (part[left] < 0))
-            ok &= np.minimum(size[left], size[right]) * needed[0] >= np.maximum(size[left], size[right]) * needed[1]
-            a, b = left[ok], right[ok]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            # 100 (s - d) / 2 >= 80 (s + d) / 2 for the sum s of the sizes and the difference d of the sets
-            fits = (needed[0] - needed[1]) * (size[a] + size[b]) >= (needed[0] + needed[1]) * apart
-            yield a[fits], b[fits]
-            distance += 1
+def _candidates(needed: tuple[int, int]):
+    """Pairs inside lists that are of different components and that sizes and bitmaps allow."""
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        column = {c: table.column(c).to_numpy() for c in ("block", "part", "set_id", "n", "comp")}
-        name = column["set_id"]
+        name, size, comp = (table.column(c).to_numpy() for c in ("set_id", "n", "comp"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(name), -1)
         found = [np.zeros((0, 2), np.int64)]
-        for a, b in pairs(column["block"], column["part"], name, column["n"], column["comp"], bits):
-            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])])
+        for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
+            ok = comp[a] != comp[b]
+            ok &= np.minimum(size[a], size[b]) * needed[0] >= np.maximum(size[a], size[b]) * needed[1]
+            a, b = a[ok], b[ok]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            # 100 (s - d) / 2 >= 80 (s + d) / 2 for the sum s of the sizes and the difference d of the sets
+            fits = (needed[0] - needed[1]) * (size[a] + size[b]) >= (needed[0] + needed[1]) * apart
+            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])][fits])
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list; the last list of a batch waits for the next batch."""
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            block = table.column("block").to_numpy()
-            end = len(block) - int(np.argmax((block != block[-1])[::-1])) if len(block) and block[0] != block[-1] else 0
-            rest = table.slice(end)
-            if end:
-                yield compared(table.slice(0, end))
-        if rest is not None and rest.num_rows:
-            yield compared(rest)
-
-    return run
+    return whole_blocks(compared)
 
 
 def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] = NEEDED) -> tuple[DataFrame, DataFrame]:
@@ -299,15 +275,8 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     mixed_lists = named.join(held, "key")
     bits = sets.select("set_id", "bits").join(mixed_lists.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
     blocks = mixed_lists.join(staged(spark, bits, "bitmaps"), "set_id")
-    # A list of one part is one block; a longer one has a block for each pair of its parts.
-    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
-    blocks = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    blocks = blocks.select(
-        F.xxhash64("key", low, high).alias("block"),
-        F.when(low == high, F.lit(-1)).otherwise(F.col("own")).alias("part"), "set_id", "n", "comp", "bits",
-    )
-    candidates = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_compare_lists(needed), "a long, b long")
+    blocks = in_parts(blocks, "key", "parts", "set_id", ["set_id", "n", "comp", "bits"])
+    candidates = blocks.mapInArrow(_candidates(needed), "a long, b long")
     return sets, links.unionByName(verified(spark, docs, sets, candidates.distinct(), needed))
 
 
