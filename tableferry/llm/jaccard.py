@@ -15,8 +15,7 @@ from pyspark.sql.window import Window
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
 from tableferry.llm.shingles import mixed, shingle_set
-from tableferry.llm.store import staged
-from tableferry.session import BROADCAST_BYTES, stored_bytes
+from tableferry.llm.store import small, staged
 
 # Sets link when NEEDED[0] * intersection >= NEEDED[1] * union.
 NEEDED = (100, 80)
@@ -181,12 +180,6 @@ def _sizes_allow(a: str, b: str, needed: tuple[int, int]):
     return F.least(a, b) * needed[0] >= F.greatest(a, b) * needed[1]
 
 
-def _small(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df``, read from files, marked to be sent to all executors if its files are small enough."""
-    held = sum(stored_bytes(spark, f) for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()})
-    return F.broadcast(df) if held <= BROADCAST_BYTES // 8 else df
-
-
 def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, needed: tuple[int, int] = NEEDED) -> DataFrame:
     """Of ``pairs`` (columns ``a, b``), those whose whole sets are similar enough."""
     pairs = staged(spark, pairs, "pairs")
@@ -202,7 +195,7 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
                 [pa.array(map(set_name, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["set_id", "body"]
             )
 
-    whole = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").join(_small(spark, wanted.select("doc_id")), "doc_id", "left_semi")
+    whole = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").join(small(spark, wanted.select("doc_id"), wanted), "doc_id", "left_semi")
     # Rows that repeat a doc_id with another text have another name, and the same text has the same body.
     whole = staged(spark, whole.select("text").mapInArrow(bodies, "set_id long, body binary").dropDuplicates(["set_id"]), "bodies")
 
@@ -308,4 +301,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] = NEE
     found = near_duplicates(spark, docs, needed).filter("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
     gone = staged(spark, gone.filter("high < doc_id").select("doc_id"), "near-duplicates")
-    return docs.join(_small(spark, gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(spark, gone, gone), "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import exact, jaccard, langid, mixing, packing, pages, quality, vectors
+from tableferry.llm import exact, jaccard, langid, mixing, packing, pages, paragraphs, quality, vectors
 from tableferry.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(spark, table(spark, sf_dir, "documents"))

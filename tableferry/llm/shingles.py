@@ -29,20 +29,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased words in order; words are what ASCII white space separates."""
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text, where its words start, and 64-bit hashes of the lower-cased words; white space separates them."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     space = SPACE[raw]
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return raw, starts, np.zeros(0, np.uint64)
     at = starts[0]
     place = np.arange(at, len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
     sums = _BYTES[(place % _PLACES) * 256 + raw[at:]]
-    if place[-1] >= _PLACES or place.max() >= _PLACES:
+    if place.max() >= _PLACES:
         sums = sums * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1))
     sums[space[at:]] = 0
-    return mixed(np.add.reduceat(sums, starts - at))
+    return raw, starts, mixed(np.add.reduceat(sums, starts - at))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return words_of(text)[2]
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:

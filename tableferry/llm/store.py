@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableferry.session import scratch_dir
+from tableferry.session import BROADCAST_BYTES, scratch_dir, stored_bytes
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +20,9 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(spark: SparkSession, df: DataFrame, stored: DataFrame) -> DataFrame:
+    """``df``, which is made from the files of ``stored``: sent to all executors if those are small, else joined as it is."""
+    folders = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    return F.broadcast(df) if sum(stored_bytes(spark, f) for f in folders) <= BROADCAST_BYTES // 8 else df
