@@ -25,7 +25,7 @@ SUBSET = 2
 RANKED = 1 << 16
 # Shingles counted at a time inside a task.
 TALLY = 4_000_000
-BITS = 2048
+BITS, MOST_BITS = 2048, 1 << 17
 # Members of a list that are compared with each other in one task; longer lists are cut into pairs of such parts.
 PART = 2048
 
@@ -138,10 +138,46 @@ def in_order(found: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarr
     return np.r_[found[~hot], found[hot][np.argsort(rank[at[hot]], kind="stable")]]
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """The parity of how many shingles fall on each of ``BITS`` places: two bitmaps differ in no more places than their sets."""
-    places = np.bincount((found >> np.uint64(53)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(places.astype(np.uint8))
+def bitmap(found: np.ndarray) -> bytes:
+    """The parity of how many shingles fall on each place: two bitmaps differ in no more places than their sets differ.
+
+    There are about as many places as shingles, so that unlike sets of any size show; a bitmap is halved by joining its halves.
+    """
+    places = BITS
+    while places < min(len(found), MOST_BITS):
+        places *= 2
+    hits = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(hits.astype(np.uint8)).tobytes()
+
+
+def _halved(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(size_a, size_b, apart, needed: tuple[int, int]):
+    """100 (s - d) / 2 >= 80 (s + d) / 2 for the sum s of the sizes and at least d shingles that only one set has."""
+    return (needed[0] - needed[1]) * (size_a + size_b) >= (needed[0] + needed[1]) * apart
+
+
+class Bitmaps:
+    """The bitmaps of some sets: compared at the common size at once, at full size where both are larger."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.rows = [np.frombuffer(r, np.uint8) for r in rows]
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        base = [_halved(r, BITS // 8) for r in self.rows]
+        self.base = np.concatenate(base).view(np.uint64).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint64)
+
+    def may_link(self, size: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tuple[int, int]) -> np.ndarray:
+        apart = np.bitwise_count(self.base[a] ^ self.base[b]).sum(axis=1, dtype=np.int64)
+        ok = may_link(size[a], size[b], apart, needed)
+        smaller = np.minimum(self.sizes[a], self.sizes[b])
+        for i in np.flatnonzero(ok & (smaller > BITS // 8)):
+            x, y = (_halved(self.rows[k], smaller[i]) for k in (a[i], b[i]))
+            ok[i] = may_link(size[a[i]], size[b[i]], int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), needed)
+        return ok
 
 
 def set_name(found: np.ndarray) -> int:
@@ -163,7 +199,7 @@ def _sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int]) -> Data
                 names.append(set_name(found))
                 sizes.append(len(found))
                 keys.append(set_keys(in_order(found, known, rank), light, needed).view(np.int64))
-                bits.append(bitmap(found).tobytes())
+                bits.append(bitmap(found))
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -181,12 +217,26 @@ def _sizes_allow(a: str, b: str, needed: tuple[int, int]):
 
 
 def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, needed: tuple[int, int] = NEEDED) -> DataFrame:
-    """Of ``pairs`` (columns ``a, b``), those whose whole sets are similar enough."""
+    """Of ``pairs`` (columns ``a, b``), those whose whole sets are similar enough; bitmaps decide which sets are fetched."""
     pairs = staged(spark, pairs, "pairs")
     names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = staged(
-        spark, sets.filter("doc_id is not null").join(names, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "wanted"
+    held = sets.filter("doc_id is not null").join(names, "set_id", "left_semi").groupBy("set_id")
+    held = staged(spark, held.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "pair-bitmaps")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.num_rows
+            bits = Bitmaps(batch.column("x").to_pylist() + batch.column("y").to_pylist())
+            size = np.r_[batch.column("m").to_numpy(), batch.column("n").to_numpy()]
+            ok = bits.may_link(size, np.arange(count), np.arange(count) + count, needed)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a").join(
+        held.select(F.col("set_id").alias("b"), "n", F.col("bits").alias("y")), "b"
     )
+    pairs = staged(spark, both.select("a", "b", "m", "n", "x", "y").mapInArrow(filtered, "a long, b long"), "likely-pairs")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = staged(spark, held.select("set_id", "doc_id").join(names, "set_id", "left_semi"), "wanted")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,15 +269,13 @@ def _candidates(needed: tuple[int, int]):
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         name, size, comp = (table.column(c).to_numpy() for c in ("set_id", "n", "comp"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(name), -1)
+        bits = Bitmaps(table.column("bits").to_pylist())
         found = [np.zeros((0, 2), np.int64)]
         for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
             ok = comp[a] != comp[b]
             ok &= np.minimum(size[a], size[b]) * needed[0] >= np.maximum(size[a], size[b]) * needed[1]
             a, b = a[ok], b[ok]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            # 100 (s - d) / 2 >= 80 (s + d) / 2 for the sum s of the sizes and the difference d of the sets
-            fits = (needed[0] - needed[1]) * (size[a] + size[b]) >= (needed[0] + needed[1]) * apart
+            fits = bits.may_link(size, a, b, needed)
             found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])][fits])
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
