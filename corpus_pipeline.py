@@ -7,6 +7,7 @@ written as Parquet and read again by the next, so that a lost executor costs no
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableferry.llm import exact, jaccard, mixing, packing, quality
 from tableferry.llm.store import staged, table
@@ -29,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for; a last repetition may be cut at a word."""
-    return mixing.repeat_documents(spark, docs)
+    mixed = mixing.repeat_documents(spark, docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
