@@ -78,3 +78,26 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, hpath = _hadoop_path(spark, path)
     fs.delete(hpath, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed."""
+    fs, hpath = _hadoop_path(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if not fs.rename(beside, hpath):
+        fs.delete(beside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hpath = _hadoop_path(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
