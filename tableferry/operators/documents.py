@@ -30,40 +30,47 @@ def document_insert(target: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def document_upsert(
-    target: DataFrame, source: DataFrame, key_field: str, order_by: Sequence[str], doc: str = "doc"
+    target: DataFrame,
+    source: DataFrame,
+    key_field: str,
+    order_by: Sequence[str],
+    doc: str = "doc",
+    target_order: Sequence[str] = (),
 ) -> DataFrame:
     """Merge documents on one field; only fields present in the incoming document change.
 
     Both inputs carry documents as maps (see ``to_document``) in column ``doc``;
-    ``source`` also has the ``order_by`` columns. Documents of one key apply in
-    that order, so later fields win. An incoming document without the key field
-    is skipped; target documents without it are kept as they are. Result:
-    ``key`` (JSON text of the key) and ``doc``.
-
-    Each field is a row, and the last writer of a (key, field) wins in one
-    aggregate: repeated documents of a heavy key shrink to one value per field
-    before anything is shuffled. Target fields rank before incoming ones.
+    ``source`` also has the ``order_by`` columns. Incoming documents of one key
+    apply in that order, so later fields win; an incoming document without the
+    key field is skipped. Of target documents that share a key only the first by
+    ``target_order`` (then by content) changes, all others stay as they are, as
+    do those without the key field. Keys are compared as JSON text, so the
+    number 1 and the text "1" are two keys. Result: ``key`` and ``doc``.
+
+    Only incoming documents are taken apart: repeated documents of a heavy key
+    shrink to one value per field before anything is shuffled. The target is
+    joined whole, once, and a heavy key on its side is split by adaptive execution.
     """
-    source_order = [quoted(c) for c in order_by]
-    no_order = [F.lit(None).cast(source.schema[c].dataType) for c in order_by]
-
-    def as_fields(df: DataFrame, side: int, order: list[Column]) -> DataFrame:
-        key = quoted(doc)[key_field]
-        # Documents that tie on the order still apply one after the other, as wholes.
-        parts = {"side": F.lit(side), **{f"o{i}": o for i, o in enumerate(order)}}
-        parts["tie"] = F.xxhash64(F.to_json(quoted(doc)))
-        rank = F.named_struct(*[x for name, col in parts.items() for x in (F.lit(name), col)])
-        return df.filter(key.isNotNull()).select(
-            key.alias("key"), rank.alias("rank"), F.explode(quoted(doc)).alias("field", "value")
-        )
-
-    rows = as_fields(target, 0, no_order).unionByName(as_fields(source, 1, source_order))
-    last = rows.groupBy("key", "field").agg(F.max_by("value", F.struct("rank", "value")).alias("value"))
-    merged = last.groupBy("key").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias(doc)
+    key = quoted(doc)[key_field]
+    # Documents that tie on the order still apply one after the other, as wholes.
+    rank = F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)], F.xxhash64(F.to_json(quoted(doc))).alias("tie"))
+    fields = source.filter(key.isNotNull()).select(key.alias("key"), rank.alias("rank"), F.explode(quoted(doc)).alias("field", "value"))
+    last = fields.groupBy("key", "field").agg(F.max_by("value", F.struct("rank", "value")).alias("value"))
+    patches = last.groupBy("key").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("__patch")
     )
-    unkeyed = target.filter(quoted(doc)[key_field].isNull())
-    return merged.unionByName(unkeyed.select(F.lit(None).cast("string").alias("key"), quoted(doc)))
+    place = F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(target_order)], F.xxhash64(F.to_json(quoted(doc))).alias("tie"))
+    held = target.select(key.alias("key"), place.alias("__place"), quoted(doc).alias(doc))
+    keyed = held.filter(F.col("key").isNotNull())
+    first = keyed.groupBy("key").agg(F.min("__place").alias("__first"))
+    changes = patches.join(first, "key", "left")
+    joined = keyed.join(changes, "key", "left")
+    kept = F.map_filter(quoted(doc), lambda name, _: ~F.map_contains_key(F.col("__patch"), name))
+    hit = F.col("__patch").isNotNull() & (F.col("__place") == F.col("__first"))
+    merged = joined.select("key", F.when(hit, F.map_concat(kept, "__patch")).otherwise(quoted(doc)).alias(doc))
+    fresh = changes.filter(F.col("__first").isNull()).select("key", F.col("__patch").alias(doc))
+    unkeyed = held.filter(F.col("key").isNull()).select("key", quoted(doc).alias(doc))
+    return merged.unionByName(fresh).unionByName(unkeyed)
 
 
 def document_upsert_counts(target: DataFrame, source: DataFrame, key_field: str, doc: str = "doc") -> DataFrame:

@@ -14,14 +14,21 @@ def next_key(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, str]]) -
     """``(table_name, next_key, error)``: the greatest key plus 1, or 1 for an empty table.
 
     ``tables`` maps a name to its DataFrame and key column. A table without that
-    column becomes an error row and does not stop the others. All in one job.
+    column, or with a key that is not a whole number, becomes an error row and does
+    not stop the others. All in one job.
     """
     parts = []
     for name, (df, key) in sorted(tables.items()):
         if key in df.columns:
+            number = quoted(key).try_cast("bigint")
+            bad = F.count_if(quoted(key).isNotNull() & number.isNull())
+            found = df.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_key"), bad.alias("bad"))
+            problem = F.concat(F.col("bad").cast("string"), F.lit(f" values of {key} are not whole numbers"))
             parts.append(
-                df.agg((F.coalesce(F.max(quoted(key)), F.lit(0)) + 1).cast("bigint").alias("next_key")).select(
-                    F.lit(name).alias("table_name"), "next_key", F.lit(None).cast("string").alias("error")
+                found.select(
+                    F.lit(name).alias("table_name"),
+                    F.when(F.col("bad") == 0, F.col("next_key")).alias("next_key"),
+                    F.when(F.col("bad") > 0, problem).alias("error"),
                 )
             )
         else:

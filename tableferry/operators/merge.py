@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.functions.names import quoted
@@ -20,6 +20,11 @@ def project_to(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select([quoted(c) if c in have else F.lit(None).alias(c) for c in columns])
 
 
+def name_folding(spark: SparkSession) -> Callable[[str], str]:
+    """How this session tells column names apart."""
+    return str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+
+
 def _with_action(df: DataFrame, action: str, wanted: bool) -> DataFrame:
     return df.withColumn(ACTION, F.lit(action)) if wanted else df
 
@@ -63,7 +68,6 @@ def upsert(
     key: str | None,
     order_by: Sequence[str],
     target_unique: bool = False,
-    source_small: bool = False,
     with_action: bool = False,
 ) -> DataFrame:
     """Insert or update by key; the latest source row of a key counts.
@@ -76,15 +80,14 @@ def upsert(
     library maintains): then no key can be heavy on either side and one full
     outer join does it. Otherwise the target is the left side of a left join,
     which adaptive execution can split at a heavy key, and its keys are thinned
-    before the search for new rows. ``source_small`` asks for the form in which
-    the target does not shuffle at all; set it only from a measured size, as
-    ``staged_upsert`` does.
+    before the search for new rows. ``staged_upsert`` measures the source and
+    has a form in which the target does not shuffle at all.
     """
     if not key or len(source.columns) == 1:
         return insert_skip(target, source, key, order_by, target_unique, with_action)
     _, source_keyless = split_null_keys(source, key)
     latest = one_per_key(source, key, order_by)
-    return _merge(target, latest, source_keyless, key, target_unique, source_small, with_action)
+    return _merge(target, latest, source_keyless, key, target_unique, False, with_action)
 
 
 def _merge(
@@ -123,16 +126,19 @@ def _merge_columns(target: DataFrame, source: DataFrame, key: str, how: str, wit
         return F.col(f"{alias}.`{name}`")
 
     from_source = F.col("s.__in_s").isNotNull()
+    fold = name_folding(target.sparkSession)
+    theirs = {fold(c): c for c in source.columns}
     out = []
     for name in target.columns:
-        if name == key:
-            out.append(F.coalesce(side("t", key), side("s", key)).alias(key))
-        elif name in source.columns:
+        same = theirs.pop(fold(name), None)
+        if fold(name) == fold(key):
+            out.append(F.coalesce(side("t", name), side("s", same)).alias(name))
+        elif same is not None:
             # A flag, not coalesce: a NULL from the source must overwrite.
-            out.append(F.when(from_source, side("s", name)).otherwise(side("t", name)).alias(name))
+            out.append(F.when(from_source, side("s", same)).otherwise(side("t", name)).alias(name))
         else:
             out.append(side("t", name))
-    out += [side("s", name) for name in source.columns if name not in target.columns]
+    out += [side("s", name) for name in theirs.values()]
     if with_action:
         action = F.when(F.col("t.__in_t").isNull(), "inserted").when(from_source, "updated").otherwise("kept")
         out.append(action.alias(ACTION))

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.session import path_exists, scratch_dir
-from tableferry.sources.files import list_objects
+from tableferry.session import path_exists, qualified_path, scratch_dir
+from tableferry.sources.files import list_objects, locate
 
 # Content types by export format.
 CONTENT_TYPES = {
@@ -66,6 +66,7 @@ def mirror(
     An object that cannot be copied becomes an error row. ``since`` limits the
     pass to objects modified later.
     """
+    source_root, target_root = qualified_path(spark, source_root), qualified_path(spark, target_root)
     source = list_objects(spark, source_root, prefix, pattern)
     if since is not None:
         source = source.filter(F.col("modified") > F.lit(since))
@@ -111,13 +112,6 @@ def _cores(spark: SparkSession) -> int:
 
 def copy_object(source: str, target: str) -> int:
     """Stream one object to a private name and rename it, so a repeated or cut-off copy leaves no half object."""
-    from pyarrow import fs
-
-    def locate(uri: str):
-        if uri.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
     source_fs, source_path = locate(source)
     target_fs, target_path = locate(target)
     folder, name = os.path.split(target_path)

@@ -56,6 +56,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as the session's default file system completes it; executors then agree with Spark."""
+    fs, hpath = _hadoop_path(spark, path.rstrip("/") or "/")
+    return fs.makeQualified(hpath).toString().rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _hadoop_path(spark, path)
     return bool(fs.exists(hpath))

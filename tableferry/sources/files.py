@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableferry.functions.infer import WHITESPACE, infer_types, trim_space
-from tableferry.functions.names import name_matches, quoted
-from tableferry.session import BROADCAST_BYTES, scratch_dir, stored_bytes
+from tableferry.functions.names import name_matches
+from tableferry.session import BROADCAST_BYTES, qualified_path, scratch_dir, stored_bytes
 
 # Formats by the names a source may give them.
 FORMATS = {"csv": "csv", "txt": "text", "text": "text", "xlsx": "excel", "excel": "excel", "json": "json"}
@@ -18,28 +22,57 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", pattern: str
     """Files under ``root`` as ``(key, size, modified, path)``; their content is not read.
 
     ``key`` is relative to ``root`` and starts with ``prefix``; ``pattern`` is a
-    glob on the base name. Listing is spread over the executors by Spark.
+    glob on the base name. Hidden names and empty files are files like any other. Folders are listed level by level in
+    the tasks, and each level is written, so the driver holds no names however many there are.
     """
-    start = root.rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(start)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    )
-    key = F.regexp_replace("path", "^.*?" + _quote_regex(_plain(start)), "")
-    listed = files.select(key.alias("key"), "size", "modified", "path")
+    base = qualified_path(spark, root)
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch["key"]:
+                store, start = locate(f"{base}/{folder}".rstrip("/"))
+                infos = store.get_file_info(fs.FileSelector(start, allow_not_found=True))
+                yield pd.DataFrame(
+                    [
+                        (
+                            f"{folder}/{i.base_name}" if folder else i.base_name,
+                            int(i.size or 0),
+                            (i.mtime_ns or 0) // 1000,
+                            i.type == fs.FileType.Directory,
+                        )
+                        for i in infos
+                    ],
+                    columns=["key", "size", "us", "is_folder"],
+                )
+
+    level, levels = spark.createDataFrame([("",)], "key string"), []
+    while True:
+        path = scratch_dir(spark, "listing")
+        level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(children, LISTING).write.parquet(path)
+        listed = spark.read.schema(LISTING).parquet(path)
+        levels.append(listed.filter("not is_folder"))
+        level = listed.filter("is_folder").select("key")
+        if level.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, levels)
     wanted = F.startswith("key", F.lit(prefix)) & name_matches(F.col("key"), pattern)
-    return listed.filter(wanted & ~F.endswith("key", F.lit("/")))
+    return found.filter(wanted).select(
+        "key", "size", F.timestamp_micros("us").alias("modified"), F.concat(F.lit(base + "/"), "key").alias("path")
+    )
 
 
-def _plain(path: str) -> str:
-    """A path without its scheme, as it occurs inside the paths Spark reports."""
-    return path.split("://", 1)[1] if "://" in path else path.removeprefix("file:")
+LISTING = "key string, size bigint, us bigint, is_folder boolean"
 
 
-def _quote_regex(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def locate(uri: str):
+    """The store of a qualified path, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def select_files(
@@ -64,17 +97,22 @@ def read_csv(
     header: bool = True,
     sep: str = ",",
     mode: str = "FAILFAST",
-    multiline: bool = False,
+    multiline: bool | None = None,
     string_columns: tuple[str, ...] = (),
     schema: T.StructType | None = None,
 ) -> DataFrame:
     """Delimited text with inferred types.
 
-    A row with too few or too many fields fails the read (``FAILFAST``);
-    ``PERMISSIVE`` fills up and cuts instead. ``multiline`` allows line breaks
-    in quoted cells but reads each file in one task, so large input should come
-    without them. Without a header the columns are ``column_1`` and so on.
+    A row with too few or too many fields fails the read (``FAILFAST``), since
+    what a short or long row lacks or has too much cannot be known; ``csv_rejects``
+    keeps such rows aside. Line breaks in quoted cells need ``multiline``, which
+    reads each file in one task; unless told, a first look at the quotes of each
+    line finds out, and files without such breaks stay splittable. Without a header the columns are ``column_1`` and so on.
     """
+    if mode != "FAILFAST":
+        raise ValueError("ragged rows fail the read; use csv_rejects to keep them aside")
+    if multiline is None:
+        multiline = has_open_quotes(spark, path)
     reader = spark.read.option("header", header).option("sep", sep).option("mode", mode)
     reader = reader.option("multiLine", multiline).option("escape", '"').option("enforceSchema", "false")
     # A ragged row must fail also when later steps use only some columns.
@@ -86,6 +124,13 @@ def read_csv(
     return infer_types(raw.toDF(*names), string_columns, schema)
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, as the first line of a cell with a line break has."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def csv_rejects(
     spark: SparkSession, path: str, columns: list[str], header: bool = True, sep: str = ","
 ) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +195,9 @@ def read_delimited_or_lines(
     """A text file as a table if every row has the same fields, else as its lines."""
     try:
         table = read_csv(spark, path, header, sep, "FAILFAST", string_columns=string_columns)
-        # The inference pass has parsed every row already; this only asks for one.
+        if set(table.columns) <= set(string_columns):
+            # No inference pass has parsed the rows, so a ragged one must be met here.
+            table.write.format("noop").mode("overwrite").save()
         if table.columns and not table.isEmpty():
             return table
     except Exception as error:  # noqa: BLE001 - Spark reports a ragged row by several error classes
@@ -159,30 +206,73 @@ def read_delimited_or_lines(
     return read_lines(spark, path).drop("path")
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True, schema: T.StructType | None = None) -> DataFrame:
-    """Records from an array, a single object, or an object that wraps them in ``data``.
+def read_json(
+    spark: SparkSession, path: str | list[str], multiline: bool | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """Records from an array, a single object, an object that wraps them in ``data``, or one record per line.
 
-    ``multiline=False`` reads one record per line and splits large files; prefer
-    it for anything big. Fields missing from some records are NULL there.
+    ``multiline=False`` reads one record per line and splits large files, ``True`` one document per file. Unless told, a
+    first pass finds out which files hold lines, and each is read in its own way. Fields missing from some records are NULL there.
     """
+    if multiline is None:
+        kinds = file_kinds(spark, path)
+        if "csv" in kinds:
+            raise ValueError(f"{path} holds files that are not JSON")
+        return _union_records([read_json(spark, p, kind == "json", schema) for kind, p in kinds.items()], spark)
     reader = spark.read.option("multiLine", multiline).option("mode", "FAILFAST")
     if schema is not None:
         return reader.schema(schema).json(path)
     return unwrap_data(reader.json(path))
 
 
+def _union_records(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], T.StructType())
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def unwrap_data(df: DataFrame) -> DataFrame:
-    """The records inside ``data`` when that is an array of objects, else the input."""
+    """The records inside ``data`` when that is an array, else the input. An empty array has no records."""
     fields = {f.name: f.dataType for f in df.schema}
     inner = fields.get("data")
-    if isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType):
-        return df.selectExpr("inline(data)")
+    if isinstance(inner, T.ArrayType):
+        if isinstance(inner.elementType, T.StructType):
+            return df.selectExpr("inline(data)")
+        if df.filter(F.size("data") > 0).isEmpty():
+            return df.limit(0).select()
     return df
 
 
 def sniff_format(head: str) -> str:
     """A bucket object's format from its first bytes: JSON if it starts like JSON, else CSV."""
-    return "json" if head.lstrip(WHITESPACE + "﻿")[:1] in ("{", "[") else "csv"
+    return "json" if head.lstrip(WHITESPACE + "\ufeff")[:1] in ("{", "[") else "csv"
+
+
+def file_kinds(spark: SparkSession, path: str | list[str]) -> dict[str, list[str] | str]:
+    """The files of a path by what they hold: ``csv``, ``json`` (one document) or ``lines`` (a record per line).
+
+    A file whose first filled line is a whole JSON object, and that has more filled lines, holds lines. If all files agree,
+    the path itself stands for them; only otherwise are they named one by one.
+    """
+    value = trim_space(F.regexp_replace("value", "^\ufeff", ""))
+    filled = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), value.alias("line")).alias("first"),
+    )
+    heads = filled.filter(F.col("first.line") != "").groupBy("file").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("lines"))
+    line = F.col("first.line")
+    whole = F.try_parse_json(line).isNotNull() & F.startswith(line, F.lit("{"))
+    kind = (
+        F.when(~F.substring(line, 1, 1).isin("{", "["), "csv").when(whole & (F.col("lines") > 1), "lines").otherwise("json")
+    )
+    kinds = heads.select("file", kind.alias("kind"))
+    found = sorted(r[0] for r in kinds.select("kind").distinct().collect())
+    if len(found) <= 1:
+        return {k: path for k in found}
+    return {k: [r[0] for r in kinds.filter(F.col("kind") == k).select("file").collect()] for k in found}
 
 
 def read_file(
@@ -193,11 +283,14 @@ def read_file(
     sep: str = ",",
     string_columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Read by format name; without one, look at the start of one file."""
+    """Read by format name; without one, look at the start of every file. JSON and delimited files do not mix."""
     if not format:
-        filled = spark.read.text(path).filter(trim_space(F.col("value")) != "")
-        row = filled.select(F.left(trim_space(F.col("value")), F.lit(4))).first()
-        format = sniff_format(row[0] if row else "")
+        kinds = file_kinds(spark, path)
+        if "csv" in kinds and len(kinds) > 1:
+            raise ValueError(f"{path} holds delimited and JSON files; read them one format at a time")
+        if kinds and "csv" not in kinds:
+            return _union_records([read_json(spark, p, kind == "json") for kind, p in kinds.items()], spark)
+        format = "csv"
     kind = FORMATS.get(format.lower())
     sep = (sep or ",")[0]
     if kind == "csv":
@@ -211,8 +304,3 @@ def read_file(
 
         return infer_types(read_workbooks(spark, path, header), string_columns)
     raise ValueError(f"unsupported file format: {format}")
-
-
-def all_text(df: DataFrame) -> DataFrame:
-    """Every column as a text source would deliver it."""
-    return df.select([quoted(c).cast("string").alias(c) for c in df.columns])

@@ -15,6 +15,15 @@ SCHEMA_QUERIES = {
     "sqlserver": "select name as schema_name from sys.schemas",
     "oracle": "select username as schema_name from all_users",
 }
+# Where each dialect keeps its estimates of row counts.
+ESTIMATE_QUERIES = {
+    "postgres": "select schemaname as schema, relname as table_name, n_live_tup as row_count from pg_stat_user_tables",
+    "mysql": "select table_schema as schema, table_name, table_rows as row_count from information_schema.tables",
+    "sqlserver": "select s.name as [schema], t.name as table_name, sum(p.rows) as row_count from sys.tables t "
+    "join sys.schemas s on s.schema_id = t.schema_id join sys.partitions p on p.object_id = t.object_id "
+    "and p.index_id in (0, 1) group by s.name, t.name",
+    "oracle": 'select owner as "schema", table_name, num_rows as row_count from all_tables',
+}
 FETCH_ROWS = 25_000
 
 
@@ -90,24 +99,24 @@ def list_schemas(spark: SparkSession, url: str, dialect: str, options: Mapping[s
 
 
 def list_tables(
-    spark: SparkSession, url: str, options: Mapping[str, str] | None = None, schema: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Base tables and their ordered columns from ``information_schema``, for ``join_discovery``."""
+    spark: SparkSession, url: str, options: Mapping[str, str] | None = None, schema: str | None = None, dialect: str = "postgres"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base tables, row estimates and ordered columns from the database's own lists, for ``join_discovery``."""
     where = "table_schema not in ('information_schema', 'pg_catalog', 'mysql', 'performance_schema', 'sys')"
     if schema:
         where += f" and table_schema = {sql_literal(schema)}"
     tables = read_query(
         spark,
         url,
-        "select table_schema, table_name from information_schema.tables "
+        "select table_schema as schema, table_name from information_schema.tables "
         f"where table_type = 'BASE TABLE' and {where}",
         options,
     )
     columns = read_query(
         spark,
         url,
-        "select table_schema, table_name, ordinal_position as position, column_name "
+        "select table_schema as schema, table_name, ordinal_position as position, column_name "
         f"from information_schema.columns where {where}",
         options,
     )
-    return tables, columns
+    return tables, read_query(spark, url, ESTIMATE_QUERIES[dialect], options), columns

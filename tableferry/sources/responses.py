@@ -23,13 +23,26 @@ def final_responses(responses: DataFrame) -> DataFrame:
     return last.withColumn("outcome", response_class(F.col("status")))
 
 
+def _read(responses: DataFrame, schema: str) -> DataFrame:
+    """Responses that succeeded, with their records in ``records``; NULL if the body cannot be read."""
+    inner = F.get_json_object("body", "$.data")
+    # A field called ``data`` wraps the records only if it is an array; otherwise it is a field of the one record.
+    body = F.when(F.startswith(F.ltrim(inner), F.lit("[")), inner).otherwise(F.col("body"))
+    ok = final_responses(responses).filter(F.col("outcome") == "ok")
+    return ok.withColumn("records", F.from_json(body, f"array<struct<{schema}>>"))
+
+
 def response_records(responses: DataFrame, schema: str) -> DataFrame:
     """Records of the responses that succeeded.
 
     ``schema`` is the DDL of one record. A body is an array, a single object, or
-    an object that wraps the records in ``data``.
+    an object that wraps the records in an array ``data``. What cannot be read
+    is in ``response_rejects``.
     """
-    body = F.coalesce(F.get_json_object("body", "$.data"), F.col("body"))
-    ok = final_responses(responses).filter(F.col("outcome") == "ok")
-    parsed = ok.select("request_id", F.explode(F.from_json(body, f"array<struct<{schema}>>")).alias("record"))
+    parsed = _read(responses, schema).select("request_id", F.explode("records").alias("record"))
     return parsed.select("request_id", "record.*")
+
+
+def response_rejects(responses: DataFrame, schema: str) -> DataFrame:
+    """Responses that succeeded, yet whose body cannot be read: ``request_id, status, attempt, body``."""
+    return _read(responses, schema).filter(F.col("records").isNull()).select("request_id", "status", "attempt", "body")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from datetime import datetime
 from typing import Any
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # The placeholder for the last checkpoint, and what it stands for before the first run.
 CHECKPOINT_PLACEHOLDER = re.compile(r"'?\{\{\s*ca_pointer\s*\}\}'?", re.IGNORECASE)
 CHECKPOINT_START = "0"
+TIME_START = "0001-01-01 00:00:00"
+_START_CAST = re.compile(rf"cast\({CHECKPOINT_START} as (timestamp_ntz|timestamp|date)\)")
 
 
 def register_tables(spark: SparkSession, paths: Mapping[str, str]) -> None:
@@ -31,7 +33,8 @@ def incremental_extract(spark: SparkSession, query: str, checkpoint: Any = None)
     """Run SQL in which ``{{ca_pointer}}``, in any spelling of case, stands for the last checkpoint.
 
     The value is bound with its own type, so the comparison in the query stays
-    a plain range predicate that the scan can use.
+    a plain range predicate that the scan can use. Before the first run it is
+    ``0``, or the first moment there is when the query compares it with a time.
     """
     # A time without a zone stays one: it then compares with either kind of column
     # without a cast around the column, which would hide it from the scan.
@@ -40,12 +43,15 @@ def incremental_extract(spark: SparkSession, query: str, checkpoint: Any = None)
     bound, found = CHECKPOINT_PLACEHOLDER.subn(marker, query)
     if not found:
         return spark.sql(query)
-    return spark.sql(bound, args={"ca_pointer": CHECKPOINT_START if checkpoint is None else checkpoint})
-
-
-def with_overlap(checkpoint: Any, overlap: Any) -> Any:
-    """A checkpoint moved back, to read again rows that came late with a value already passed. Merge by key then."""
-    return None if checkpoint is None else checkpoint - overlap
+    if checkpoint is not None:
+        return spark.sql(bound, args={"ca_pointer": checkpoint})
+    first = spark.sql(bound, args={"ca_pointer": CHECKPOINT_START})
+    # What Spark would cast the start to tells what the query compares it with; a time cannot be read from a 0.
+    kind = _START_CAST.search(first._jdf.queryExecution().analyzed().toString())
+    if not kind:
+        return first
+    start = f"cast('{TIME_START}' as {kind.group(1)})"
+    return spark.sql(CHECKPOINT_PLACEHOLDER.sub(start, query))
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
@@ -108,18 +114,20 @@ def discover_catalog(spark: SparkSession, schema: str | None = None) -> DataFram
 def join_discovery(tables: DataFrame, estimates: DataFrame, columns: DataFrame) -> DataFrame:
     """Discovery from catalog views: tables, their row estimates and their ordered columns.
 
-    ``columns`` has ``(table_name, position, column_name)``. A table without an
+    ``columns`` has ``(table_name, position, column_name)``. With a column ``schema``
+    in all three, tables of one name in two schemas are two tables. A table without an
     estimate counts 0 rows, one without columns has an empty list.
     """
+    key = ["schema", "table_name"] if "schema" in tables.columns else ["table_name"]
     ordered = F.array_sort(F.collect_list(F.struct("position", "column_name")))
-    names = columns.groupBy("table_name").agg(
+    names = columns.groupBy(*key).agg(
         F.array_join(F.transform(ordered, lambda c: c["column_name"]), ", ").alias("columns")
     )
     return (
-        tables.join(estimates, "table_name", "left")
-        .join(names, "table_name", "left")
+        tables.join(estimates, key, "left")
+        .join(names, key, "left")
         .select(
-            "table_name",
+            *key,
             F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
             F.coalesce("columns", F.lit("")).alias("columns"),
         )
@@ -134,11 +142,3 @@ def list_schemas(spark: SparkSession) -> DataFrame:
     """The catalog's own schemas in order."""
     names = sorted(d.name for d in spark.catalog.listDatabases() if d.name not in SYSTEM_SCHEMAS)
     return spark.createDataFrame([(n,) for n in names], "schema_name string")
-
-
-def select_all(columns: Sequence[str], table: str) -> str:
-    """A plain extraction of a table, every name quoted for Spark SQL."""
-    cols = ", ".join("`" + c.replace("`", "``") + "`" for c in columns) if columns else "*"
-    return f"SELECT {cols} FROM `{table.replace('`', '``')}`"
-
-

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 # The kinds of source an endpoint can be.
 SOURCE_KINDS = ("database", "file", "api", "mongodb", "redis", "minio", "script")
@@ -30,10 +30,20 @@ class Endpoint:
 
 @dataclass(frozen=True)
 class Rule:
-    """One extraction: a query (or file) and the table its rows go to."""
+    """One extraction: a query, pattern or file, and the table its rows go to.
+
+    ``source_query`` is what the source's kind asks for: SQL for a database, a name pattern for files, a filter as JSON for
+    documents, a key pattern for a key space, nothing for landed API responses (``schema`` is the DDL of one record), a
+    name pattern for a mirror, and the query of a script. ``buckets`` above 0 keeps the target as a bucketed table.
+    ``range_column`` with ``ranges`` reads a database in that many parallel ranges.
+    """
 
     target_table: str
     source_query: str = ""
+    schema: str = ""
+    buckets: int = 0
+    range_column: str = ""
+    ranges: tuple[int, int, int] = (0, 0, 1)
     key: str | None = None
     order_by: tuple[str, ...] = ()
     truncate: bool = False
@@ -66,7 +76,3 @@ class SyncSpec:
         if self.hook_errors not in ("warn", "fail"):
             raise ValueError("hook_errors is 'warn' or 'fail'")
         return self
-
-    def reversed(self) -> "SyncSpec":
-        """The same rules with source and target swapped."""
-        return replace(self, name=f"{self.name}_reversed", source=self.target, target=self.source)

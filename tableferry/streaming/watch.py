@@ -34,14 +34,17 @@ class Watch:
     def poll(self, on_event: Callable[[str, int], None] | None = None) -> DataFrame:
         from tableferry.sources.files import list_objects
 
-        newest = (
-            list_objects(self.spark, self.roots[0], self.filters[1], self.filters[0]).agg(F.max("modified")).first()[0]
-        )
+        listed = list_objects(self.spark, self.roots[0], self.filters[1], self.filters[0])
+        newest = listed.agg(F.max("modified")).first()[0]
         result = mirror(self.spark, *self.roots, *self.filters, incremental=True, since=self.since)
         if on_event:
             on_event("initial_sync_complete" if self.since is None else "sync_complete", result.count())
-        # An object may still be written within the same instant, so the mark stays just below it.
-        self.since = newest and newest - RESOLUTION
+        # What could not be copied is looked at again: the mark stays below the oldest failure. An object may
+        # still be written within the same instant, so it stays just below the newest, too.
+        failed = result.filter("error is not null").select("key")
+        oldest = listed.join(failed, "key", "left_semi").agg(F.min("modified")).first()[0]
+        marks = [m for m in (newest, oldest) if m]
+        self.since = min(marks) - RESOLUTION if marks else self.since
         return result
 
 

@@ -2,9 +2,11 @@ import zipfile
 
 import pytest
 
+from tableferry.operators.mirror import mirror
 from tableferry.plans.catalog.ingest import workbook_bytes
 from tableferry.sources import files
 from tableferry.sources.workbook import read_workbooks
+from tableferry.streaming.watch import Watch
 
 
 def put(folder, name, text):
@@ -35,8 +37,15 @@ def test_ragged(spark, tmp_path, rows):
         files.read_csv(spark, str(tmp_path / "r.csv"), schema=given).select("a").collect()
     lines = files.read_file(spark, put(tmp_path, "r.txt", text), "txt")
     assert rows(lines) == [(1, "a,b"), (2, "1,2"), (3, "3")]
-    loose = files.read_csv(spark, str(tmp_path / "r.csv"), mode="PERMISSIVE")
-    assert rows(loose) == [(1, 2), (3, None)]
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "r.csv"), mode="PERMISSIVE")
+    texts = files.read_file(spark, str(tmp_path / "r.txt"), "txt", string_columns=("a", "b"))
+    assert rows(texts) == [(1, "a,b"), (2, "1,2"), (3, "3")]
+
+
+def test_csv_finds_quoted_line_breaks(spark, tmp_path, rows):
+    path = put(tmp_path, "q.csv", 'a,b\n1,"x\ny,z"\n2,w\n')
+    assert rows(files.read_csv(spark, path)) == [(1, "x\ny,z"), (2, "w")]
 
 
 def test_duplicate_headers_fail(spark, tmp_path):
@@ -72,6 +81,19 @@ def test_json_forms(spark, tmp_path, rows):
     assert rows(files.read_json(spark, plain)) == [("text",)]
 
 
+def test_json_lines_and_documents_are_told_apart(spark, tmp_path, rows):
+    lines = "".join(f'{{"a":{i}}}\n' for i in range(5))
+    put(tmp_path / "lines", "one.jsonl", "\n" + lines)
+    assert rows(files.read_json(spark, str(tmp_path / "lines"))) == [(i,) for i in range(5)]
+    assert rows(files.read_file(spark, str(tmp_path / "lines"))) == [(i,) for i in range(5)]
+    put(tmp_path / "lines", "two.json", '{\n"a": 9\n}')
+    assert rows(files.read_file(spark, str(tmp_path / "lines"))) == [(i,) for i in (0, 1, 2, 3, 4, 9)]
+    put(tmp_path / "lines", "three", "a\n1\n")
+    with pytest.raises(ValueError):
+        files.read_file(spark, str(tmp_path / "lines"))
+    assert files.read_json(spark, put(tmp_path, "empty.json", '{"data":[]}')).count() == 0
+
+
 def test_sniff_and_dispatch(spark, tmp_path, rows):
     assert rows(files.read_file(spark, put(tmp_path, "a", ' \n[{"a":1}]'))) == [(1,)]
     assert rows(files.read_file(spark, put(tmp_path, "b", "a\n1\n"))) == [(1,)]
@@ -95,6 +117,26 @@ def test_selection(spark, tmp_path):
         files.select_files(spark, root, "*.csv", recursive=False)
 
 
+def test_hidden_and_empty_objects_are_objects(spark, tmp_path):
+    names = ["a.txt", "_b.txt", ".c.txt", "_dir/d.txt", "sub/empty.txt", "sub/e f%20.txt"]
+    for name in names:
+        put(tmp_path / "in", name, "" if "empty" in name else name)
+    listed = files.list_objects(spark, str(tmp_path / "in"))
+    assert sorted(r["key"] for r in listed.collect()) == sorted(names)
+    result = mirror(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert all(r["error"] is None for r in result) and len(result) == len(names)
+    assert all((tmp_path / "out" / n).read_text() == ("" if "empty" in n else n) for n in names)
+
+
+def test_watch_tries_failed_copies_again(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "a.txt", "a")
+    put(tmp_path / "out/a.txt", "blocks", "the name is a folder")
+    watch = Watch(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [r["error"] is None for r in watch.poll().collect()] == [False]
+    again = watch.poll().collect()
+    assert [(r["key"], r["error"] is None) for r in again] == [("a.txt", False)]
+
+
 def test_workbooks(spark, tmp_path, rows):
     (tmp_path / "a.xlsx").write_bytes(workbook_bytes([" id ", "name"], iter([(1, "x"), (2, "ü & <b>")])))
     (tmp_path / "b.xlsx").write_bytes(workbook_bytes(["id", "extra"], iter([(3, "e")])))

@@ -57,7 +57,8 @@ def test_upsert_forms(spark, rows, form):
         table.upsert(s, ["seq"])
         out = table.read()
     else:
-        out = upsert(t, s, "k", ["seq"], target_unique=form == "unique", source_small=form == "small")
+        merge = staged_upsert if form == "small" else upsert
+        out = merge(t, s, "k", ["seq"], target_unique=form == "unique")
     assert rows(out.select("k", "v", "only_t", "seq", "only_s")) == sorted(
         UPSERTED, key=lambda r: [(v is not None, str(v)) for v in r]
     )
@@ -67,7 +68,7 @@ def test_duplicate_target_keys_are_all_updated(spark, rows):
     t, s = frames(spark, [(1, "a", "x"), (1, "b", "y")], [(1, "new", 1, "s"), (5, "five", 1, "s")])
     want = [(1, "new", "x"), (1, "new", "y"), (5, "five", None)]
     for small in (False, True):
-        out = upsert(t, s, "k", ["seq"], source_small=small)
+        out = (staged_upsert if small else upsert)(t, s, "k", ["seq"])
         assert rows(out.select("k", "v", "only_t")) == sorted(want, key=lambda r: [(v is not None, str(v)) for v in r])
 
 
@@ -107,6 +108,14 @@ def test_first_and_last_differ_on_ties_by_all_columns(spark):
     assert latest_per_key(df.withColumn("k", F.lit(None).cast("bigint")), "k", ["seq"]).count() == 2
 
 
+def test_upsert_matches_names_as_the_session_does(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    s = spark.createDataFrame([(1, "z")], "K bigint, V string")
+    merged = upsert(t, s, "k", [], target_unique=True)
+    assert merged.columns == ["k", "v"]
+    assert {tuple(r) for r in merged.collect()} == {(1, "z"), (2, "b")}
+
+
 def test_project_to(spark):
     df = project_to(spark.sql("select 1 a, 2 b"), ["b", "c"])
     assert df.columns == ["b", "c"] and tuple(df.first()) == (2, None)
@@ -235,6 +244,20 @@ def test_documents(spark):
     assert tuple(document_upsert_counts(held, news, "id").first()) == (3, 1)
 
 
+def test_documents_that_share_a_key(spark):
+    """Of held documents with one key only the first changes; none of them is lost."""
+    held = spark.createDataFrame([(1, '{"id":1,"a":1}'), (2, '{"id":1,"a":2}'), (3, '{"id":2,"a":3}'), (4, '{"id":2,"a":4}')], "n int, j string")
+    held = held.select("n", to_document(F.col("j")).alias("doc"))
+    news = spark.createDataFrame([(1, '{"id":1,"b":9}')], "n int, j string").select("n", to_document(F.col("j")).alias("doc"))
+    got = sorted(sorted(r["doc"].items()) for r in document_upsert(held, news, "id", ["n"], target_order=["n"]).collect())
+    assert got == [
+        [("a", "1"), ("b", "9"), ("id", "1")],
+        [("a", "2"), ("id", "1")],
+        [("a", "3"), ("id", "2")],
+        [("a", "4"), ("id", "2")],
+    ]
+
+
 def test_compare(spark):
     s = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "x", 1), (4, "d", 1), (4, "d", 1), (None, "n", 1)], "k int, v string, w int")
     t = spark.createDataFrame([(1, "a", 1), (2, None, 2), (5, "x", 1), (4, "d", 1), (None, "n", 1)], "k int, v string, w int")

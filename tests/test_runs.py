@@ -11,8 +11,8 @@ from tableferry.operators.keys import next_key
 from tableferry.operators.throttle import throttle
 from tableferry.operators.transforms import run_transform
 from tableferry.plans.hooks import check_endpoint, run_hooks
-from tableferry.plans.run import bulk_sync, last_checkpoints, run
-from tableferry.operators.tables import VersionedTable
+from tableferry.plans.run import bulk_sync, typed_checkpoints, run
+from tableferry.operators.tables import BucketedTable, VersionedTable
 from tableferry.session import scratch_dir
 from tableferry.sources import sql
 from tableferry.sources.jdbc import bind_checkpoint
@@ -195,15 +195,61 @@ def test_run_is_incremental(spark, rows):
     first = [tuple(r) for r in run(spark, spec, state, at(0)).select("rule", "status", "inserted", "checkpoint").collect()]
     assert first == [("dst", "completed", 5, "5"), ("bad", "failed", 0, None)]
     spark.createDataFrame([(5, "old"), (6, "v6")], "id bigint, v string").createOrReplaceTempView("src_rows")
-    stored = {r["rule"]: int(r["checkpoint"]) for r in last_checkpoints(spark, state).collect()}
-    second = run(spark, spec, state, at(60), stored).filter("rule = 'dst'").first()
+    assert typed_checkpoints(spark, state) == {"dst": 5}
+    second = run(spark, spec, state, at(60)).filter("rule = 'dst'").first()
     assert (second["record_count"], second["inserted"], second["updated"], second["checkpoint"]) == (1, 1, 0, "6")
     assert VersionedTable(spark, f"{target}/dst").read().count() == 6
+    assert second["next_key"] == 7 and second["extract_ms"] >= 0 and second["load_ms"] >= 0
+    # The same run again adds nothing, not even rows without a key.
+    run(spark, spec, state, at(60))
+    assert VersionedTable(spark, f"{target}/dst").read().count() == 6
     with pytest.raises(ValueError):
         SyncSpec("s", Endpoint(), Endpoint(), (Rule("a b"),)).validate()
     assert "secret" not in repr(Endpoint(options={"password": "secret"}))
 
 
+def test_run_by_time_from_the_first_run(spark):
+    """A time column needs no start value, and its checkpoint comes back as a time."""
+    spark.sql("select explode(sequence(1, 4)) id").selectExpr("id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(id) as at").createOrReplaceTempView("timed_rows")
+    target, state = scratch_dir(spark, "target"), scratch_dir(spark, "state")
+    rule = Rule("timed", "select * from timed_rows where at > {{ca_pointer}}", key="id", buckets=4)
+    spec = SyncSpec("s", Endpoint(), Endpoint(path=target), (rule,), "at")
+    assert run(spark, spec, state, at(0)).first()["record_count"] == 4
+    assert typed_checkpoints(spark, state) == {"timed": datetime(2024, 1, 5)}
+    assert run(spark, spec, state, at(60)).first()["record_count"] == 0
+    assert BucketedTable(spark, f"{target}/timed", "id", 4).read().count() == 4
+
+
+def test_run_fails_before_the_load_if_checkpoints_differ(spark):
+    spark.createDataFrame([(1, "a")], "id bigint, v string").createOrReplaceTempView("one_row")
+    target = scratch_dir(spark, "target")
+    spec = SyncSpec("s", Endpoint(), Endpoint(path=target), (Rule("dst", "select * from one_row", key="id"),), "v")
+    assert run(spark, spec, scratch_dir(spark, "state"), at(0), {"dst": 5}).first()["status"] == "failed"
+    assert VersionedTable(spark, f"{target}/dst").read() is None
+
+
+def test_run_reads_every_kind_of_source(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,v\n1, x \n2,y\n")
+    landed = tmp_path / "landed"
+    bodies = [("r1", 200, 1, '{"data":[{"id":1},{"id":2}]}')]
+    spark.createDataFrame(bodies, "request_id string, status int, attempt int, body string").write.parquet(f"{landed}/api")
+    spark.createDataFrame([(1, 5), (2, 9)], "id bigint, n bigint").write.parquet(f"{landed}/docs")
+    dump = [("h:1", "string", "x", -1.0), ("k:1", "string", "y", -1.0)]
+    spark.createDataFrame(dump, "key string, type string, value string, ttl double").write.parquet(f"{landed}/keys")
+    cases = [
+        (Endpoint("file", path=str(tmp_path / "in")), Rule("t", "*.csv"), [(1, "x"), (2, "y")], ["id", "v"]),
+        (Endpoint("api", path=f"{landed}/api"), Rule("t", schema="id bigint"), [("r1", 1), ("r1", 2)], ["request_id", "id"]),
+        (Endpoint("mongodb", path=f"{landed}/docs"), Rule("t", '{"n": {"$gt": 5}}'), [(2, 9)], ["id", "n"]),
+        (Endpoint("redis", path=f"{landed}/keys"), Rule("t", "h:*"), [("h:1", "x")], ["key", "string_value"]),
+    ]
+    for source, rule, want, columns in cases:
+        target = scratch_dir(spark, "target")
+        event = run(spark, SyncSpec("s", source, Endpoint(path=target), (rule,)), scratch_dir(spark, "state"), at(0)).first()
+        assert event["status"] == "completed", event["error"]
+        assert sorted(tuple(r) for r in VersionedTable(spark, f"{target}/t").read().select(*columns).collect()) == want
+
+
 def test_bulk_sync_collects_failures(spark):
     bad = spark.range(1).select(F.raise_error(F.lit("broken")).alias("x"))
     got = {r["table_name"]: (r["status"], r["row_count"]) for r in bulk_sync(spark, {"a": spark.range(3), "b": bad}, scratch_dir(spark, "bulk")).collect()}
