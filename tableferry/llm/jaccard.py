@@ -220,7 +220,7 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     """Of ``pairs`` (columns ``a, b``), those whose whole sets are similar enough; bitmaps decide which sets are fetched."""
     pairs = staged(spark, pairs, "pairs")
     names = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    held = sets.filter("doc_id is not null").join(names, "set_id", "left_semi").groupBy("set_id")
+    held = sets.filter("doc_id is not null").join(small(spark, names, pairs), "set_id", "left_semi").groupBy("set_id")
     held = staged(spark, held.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "pair-bitmaps")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +287,8 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     """The documents' sets, and links that join every component of similar sets (not every link inside one).
 
     1. Each different set is listed under its keys. A list of one set is dropped.
-    2. In each list every set is paired with the first; of these pairs each set keeps the one that most lists name. What the
-       whole sets confirm gives components, so that a large group of near copies is joined by about one link each.
+    2. In each list every set is paired with the first, the smallest. What the whole sets confirm gives components, so that a
+       large group of near copies is joined by a few links each.
     3. In lists that still hold several components, every pair across components that sizes and bitmaps allow is checked
        against the whole sets. Both filters only drop pairs that cannot link, and so no two similar sets stay apart.
 
@@ -298,12 +298,23 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     sets = _sets(spark, docs, needed)
     entries = sets.select("set_id", "n", F.explode("keys").alias("key"))
     whole = Window.partitionBy("key")
-    listed = entries.withColumn("first", F.min(F.struct("set_id", "n")).over(whole)).withColumn("last", F.max("set_id").over(whole))
-    lists = staged(spark, listed.filter("first.set_id <> last").drop("last").distinct(), "lists")
+    by_size = whole.orderBy("n", "set_id")
+    own = F.struct("n", "set_id")
+    listed = (
+        entries.withColumn("first", F.min(own).over(whole))
+        .withColumn("end", F.max(own).over(whole))
+        .withColumn("back", F.lag(own).over(by_size))
+        .withColumn("next", F.lead(own).over(by_size))
+    )
+    # Copies of a set follow each other, and one entry of them is enough. An entry stays if a neighbour by size is near enough
+    # to link; if the one after it is a copy, what follows that is not known here, and it stays.
+    again = F.coalesce(F.col("back.set_id") == F.col("set_id"), F.lit(False))
+    near = [F.coalesce(_sizes_allow("n", other, needed), F.lit(False)) for other in ("back.n", "next.n")]
+    lists = listed.filter((F.col("first.set_id") != F.col("end.set_id")) & ~again & (near[0] | near[1]))
+    lists = staged(spark, lists.select("key", "set_id", "n", "first"), "lists")
 
     stars = lists.filter("set_id <> first.set_id").filter(_sizes_allow("n", "first.n", needed))
-    stars = stars.groupBy("set_id", F.col("first.set_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-    stars = stars.groupBy(F.col("set_id").alias("a")).agg(F.max(F.struct("lists", "b")).alias("best")).select("a", "best.b")
+    stars = stars.select(F.col("set_id").alias("a"), F.col("first.set_id").alias("b")).distinct()
     links = verified(spark, docs, sets, stars, needed)
     joined = components(spark, links)
 
