@@ -43,6 +43,17 @@ def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, mixed((own * _STEPS[0]).sum(axis=1, dtype=np.uint64)), mixed((own * _STEPS[1]).sum(axis=1, dtype=np.uint64))
 
 
+def runs(at: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last (exclusive) word, and the hashes, of stretches; equal ones that overlap, as in a word said over and
+    over, are one run."""
+    order = np.lexsort((at, one))
+    at, one, two = at[order], one[order], two[order]
+    opens = np.r_[True, (one[1:] != one[:-1]) | (at[1:] > at[:-1] + STRETCH)][: len(at)]
+    first = np.flatnonzero(opens)
+    last = np.r_[first[1:], len(at)][: len(first)] - 1
+    return at[first], at[last] + STRETCH, one[first], two[first]
+
+
 def lines(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a text, and first and last (exclusive) word of each line of at least ``STRETCH`` words."""
     raw, starts, words = words_of(text)
@@ -81,19 +92,20 @@ def _copied(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [stretches(words_of(t)[2]) for t in batch.column(1).to_pylist()]
-            counts = [len(at) for at, *_ in found]
-            at, one, two = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            found = [runs(*stretches(words_of(t)[2])) for t in batch.column(1).to_pylist()]
+            if not found:
+                continue
+            counts = [len(first) for first, *_ in found]
+            first, last, one, two = (np.concatenate(x) for x in zip(*found))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(at.astype(np.int32)), _signed(one), pa.array((two >> np.uint64(33)).astype(np.int32))],
-                ["doc_id", "first", "name", "check"],
-            )
+            places = [pa.array(x.astype(np.int32)) for x in (first, last)]
+            check = pa.array((two >> np.uint64(33)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, *places, _signed(one), check], ["doc_id", "first", "last", "name", "check"])
 
-    units = docs.mapInArrow(rows, "doc_id long, first int, name long, check int")
+    units = docs.mapInArrow(rows, "doc_id long, first int, last int, name long, check int")
     same = Window.partitionBy("name", "check")
     units = units.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
-    return units.filter("low <> high").select("doc_id", "first", (F.col("first") + STRETCH).alias("last"), F.col("name").alias("class"), "low")
+    return units.filter("low <> high").select("doc_id", "first", "last", "low")
 
 
 def _banded(docs: DataFrame) -> DataFrame:
