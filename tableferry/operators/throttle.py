@@ -39,7 +39,19 @@ def throttle(
     order_by: Sequence[str] = (),
     windows_per_slice: int = WINDOWS_PER_SLICE,
 ) -> DataFrame:
-    """The events with a column ``allowed``. ``order_by`` orders events of the same instant."""
+    """The events with a column ``allowed``. ``order_by`` orders events of the same instant.
+
+    An event without a time is kept; whether it is allowed cannot be said, so it has NULL there.
+    """
+    timeless = events.filter(F.col(ts).isNull()).select(*events.columns, F.lit(None).cast("boolean").alias("allowed"))
+    return _judged(events.filter(F.col(ts).isNotNull()), key, ts, max_rate, window_seconds, order_by, windows_per_slice).unionByName(
+        timeless
+    )
+
+
+def _judged(
+    events: DataFrame, key: str, ts: str, max_rate: int, window_seconds: int, order_by: Sequence[str], windows_per_slice: int
+) -> DataFrame:
     window = window_seconds * 1_000_000
     length = window * windows_per_slice
     # A key as text that is never NULL: then all joins below are plain equalities.
@@ -71,14 +83,21 @@ def throttle(
     opened = in_order(known, ["k", "slice"], "us").mapInPandas(
         walk, "k string, us bigint, n bigint, opened bigint"
     )
-    before = Window.partitionBy("k", "opened").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
+    # Each instant holds an event at least, so what is allowed is within the first ``max_rate`` instants of a window;
+    # Spark limits each window to those before it shuffles.
+    in_window = Window.partitionBy("k", "opened").orderBy("us")
+    front = opened.withColumn("place", F.row_number().over(in_window)).filter(F.col("place") <= max_rate)
+    before = in_window.rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("n").over(before), F.lit(0))
-    ranked = opened.select(F.col("k").alias("__k"), F.col("us").alias("__us"), earlier.alias("__earlier"))
+    ranked = front.select(F.col("k").alias("__k"), F.col("us").alias("__us"), earlier.alias("__earlier"))
     same = Window.partitionBy("__k", "__us").orderBy(*(order_by or ["__us"]))
     return (
         timed.withColumn("__same", F.row_number().over(same))
-        .join(ranked, ["__k", "__us"])
-        .select(*events.columns, (F.col("__earlier") + F.col("__same") <= max_rate).alias("allowed"))
+        .join(ranked, ["__k", "__us"], "left")
+        .select(
+            *events.columns,
+            F.coalesce(F.col("__earlier") + F.col("__same") <= max_rate, F.lit(False)).alias("allowed"),
+        )
     )
 
 

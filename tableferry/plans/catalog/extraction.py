@@ -64,8 +64,15 @@ COLUMNS = {
     "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal",
     "part": "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice",
     "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate",
+    "events": "event_id, ts, user_id, event_type, value, props",
     "documents": "doc_id, text, lang, source, n_chars",
+    "embeddings": "vec_id, embedding, label",
+    "pages": "page_id, url, html",
+    "benchmark": "item_id, text",
     "labels": "doc_id, quality, toxic",
+    "conversations": "conv_id, turn, role, text",
 }
 
 
@@ -82,20 +89,24 @@ def table_discovery(spark, sf):
 
 @query(
     "table_discovery_joined",
-    """with tables as (select distinct source as table_name from documents),
-      estimates as (select source as table_name, count(*) as n from documents where lang = 'en' group by source),
-      cols as (select distinct source as table_name, lang as column_name,
-                 case lang when 'fr' then 1 when 'es' then 2 when 'en' then 3 else 4 end as position from documents),
-      lists as (select table_name, string_agg(column_name, ', ' order by position) as columns from cols group by 1)
-    select table_name, coalesce(n, 0) as row_count, coalesce(columns, '') as columns
-    from tables left join estimates using (table_name) left join lists using (table_name)""",
+    """with docs as (select case when n_chars > 3000 then 'long' else 'short' end as schema, source as table_name, lang
+        from documents),
+      tables as (select distinct schema, table_name from docs),
+      estimates as (select schema, table_name, count(*) as n from docs where lang = 'en' group by 1, 2),
+      cols as (select distinct schema, table_name, lang as column_name,
+                 case lang when 'fr' then 1 when 'es' then 2 when 'en' then 3 else 4 end as position from docs),
+      lists as (select schema, table_name, string_agg(column_name, ', ' order by position) as columns from cols group by 1, 2)
+    select schema, table_name, coalesce(n, 0) as row_count, coalesce(columns, '') as columns
+    from tables left join estimates using (schema, table_name) left join lists using (schema, table_name)""",
 )
 def table_discovery_joined(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("source").alias("table_name"), "lang")
-    estimates = docs.filter("lang = 'en'").groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
+    """Tables of one name in two schemas are two tables."""
+    schema = F.when(F.col("n_chars") > 3000, "long").otherwise("short")
+    docs = table(spark, sf, "documents").select(schema.alias("schema"), F.col("source").alias("table_name"), "lang")
+    estimates = docs.filter("lang = 'en'").groupBy("schema", "table_name").agg(F.count(F.lit(1)).alias("row_count"))
     position = F.expr("case lang when 'fr' then 1 when 'es' then 2 when 'en' then 3 else 4 end")
-    columns = docs.select("table_name", position.alias("position"), F.col("lang").alias("column_name")).distinct()
-    return sql.join_discovery(docs.select("table_name").distinct(), estimates, columns)
+    columns = docs.select("schema", "table_name", position.alias("position"), F.col("lang").alias("column_name")).distinct()
+    return sql.join_discovery(docs.select("schema", "table_name").distinct(), estimates, columns)
 
 
 @query(
@@ -249,17 +260,17 @@ def hash_flatten(spark, sf):
 
 @query(
     "hash_flatten_rows",
-    """select concat('conv:', conv_id) as _key, max(case when turn = 0 then text end) as t0,
-      max(case when turn = 1 then text end) as t1, max(case when turn = 2 then text end) as t2
-    from conversations group by conv_id""",
+    "select concat('conv:', conv_id) as _key, "
+    + ", ".join(f"max(case when turn % 16 = {i} then text end) as t{i}" for i in range(16))
+    + " from conversations group by conv_id",
 )
 def hash_flatten_rows(spark, sf):
     rows = table(spark, sf, "conversations").select(
         F.concat(F.lit("conv:"), F.col("conv_id")).alias("key"),
-        F.concat(F.lit("t"), F.col("turn")).alias("field"),
+        F.concat(F.lit("t"), F.col("turn") % 16).alias("field"),
         F.col("text").alias("value"),
     )
-    return keyspace.hash_flatten_rows(rows, ["t0", "t1", "t2"])
+    return keyspace.hash_flatten_rows(rows, [f"t{i}" for i in range(16)])
 
 
 @query(
@@ -290,3 +301,24 @@ def run_all_rules(spark, sf):
     events = run(spark, spec, scratch_dir(spark, "state"), datetime(2024, 1, 31), {"all_orders": -1})
     return events.select("rule", "status", "record_count", "inserted", "updated", "checkpoint")
 
+
+
+@query("incremental_two_runs", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
+def incremental_two_runs(spark, sf):
+    """The older half by one run, then all orders by a second that goes on from the run log: as one full run."""
+    from tableferry.operators.tables import VersionedTable
+    from tableferry.plans.run import run
+    from tableferry.spec import Endpoint, Rule, SyncSpec
+
+    orders = table(spark, sf, "orders")
+    middle = orders.agg(F.percentile_approx(F.unix_micros(F.col("o_orderdate").cast("timestamp")), 0.5)).first()[0]
+    older = F.unix_micros(F.col("o_orderdate").cast("timestamp")) <= middle
+    target, state = scratch_dir(spark, "target"), scratch_dir(spark, "state")
+    rule = Rule("orders_copy", "select * from growing_orders where o_orderdate > {{ca_pointer}}", key="o_orderkey")
+    spec = SyncSpec("halves", Endpoint(), Endpoint(path=target), (rule,), checkpoint_column="o_orderdate")
+    for day, rows in ((1, orders.filter(older)), (2, orders)):
+        rows.createOrReplaceTempView("growing_orders")
+        event = run(spark, spec, state, datetime(2024, 1, day)).first()
+        if event["status"] != "completed":
+            raise RuntimeError(event["error"])
+    return VersionedTable(spark, f"{target}/orders_copy").read()

@@ -91,6 +91,23 @@ def json_lines(spark, sf):
     return files.read_json(spark, path, multiline=False)
 
 
+@query("json_lines_dispatch", CUSTOMER + " union all " + CUSTOMER)
+def json_lines_dispatch(spark, sf):
+    """A folder of record-per-line files beside files of one array each: every record is read."""
+    path = scratch_dir(spark, "mixed-json")
+    table(spark, sf, "customer").write.json(f"{path}/lines")
+    export_records(table(spark, sf, "customer"), f"{path}/arrays", "json")
+    return files.read_file(spark, f"{path}/*")
+
+
+@query("csv_quoted_breaks", "select doc_id, text from documents")
+def csv_quoted_breaks(spark, sf):
+    """Texts with line breaks in quoted cells."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = written(spark, docs, "csv", "csv", header=True, escape='"', quoteAll=True, ignoreTrailingWhiteSpace=False)
+    return files.read_csv(spark, path, string_columns=("text",))
+
+
 @query("json_array", CUSTOMER)
 def json_array(spark, sf):
     path = scratch_dir(spark, "json")
@@ -345,6 +362,23 @@ def response_records(spark, sf):
     return responses.response_records(attempts(spark, sf), "k bigint")
 
 
+BROKEN = "case when value > 60 then concat('<html>', props) else body end as body"
+
+
+@query(
+    "response_rejects",
+    f"""select request_id, status, attempt, body from (select *, row_number() over (partition by request_id order by attempt desc) as n
+      from (select request_id, status, attempt, case when value > 60 then concat('<html>', props) else body end as body
+            from (select a.*, value, props from ({ATTEMPTS}) a join events on event_id = attempt)))
+    where n = 1 and status between 200 and 299 and starts_with(body, '<html>')""",
+)
+def response_rejects(spark, sf):
+    """Bodies that cannot be read stay as rows."""
+    events = table(spark, sf, "events").select(F.col("event_id").alias("attempt"), "value", "props")
+    landed = attempts(spark, sf).join(events, "attempt").selectExpr("request_id", "attempt", "status", "url", BROKEN)
+    return responses.response_rejects(landed, "k bigint")
+
+
 SECRET = derive_key("fixture secret", b"fixture salt")
 
 
@@ -390,6 +424,38 @@ def message_log(spark, sf):
     )
 
 
+@query("message_heartbeats", "select concat('node', user_id) as agent_name, ts, value as cpu_usage, event_id as memory_total from events")
+def message_heartbeats(spark, sf):
+    """Node reports from a log of messages."""
+    data = F.struct(F.col("value").alias("cpu_usage"), F.col("event_id").alias("memory_total"))
+    path = written(spark, _typed_lines(spark, sf, "HEARTBEAT", data), "heartbeats", "text")
+    found = messages.heartbeats(messages.parse_messages(messages.read_message_log(spark, path), SECRET))
+    return found.select("agent_name", F.col("ts").cast("timestamp_ntz").alias("ts"), "cpu_usage", "memory_total")
+
+
+@query(
+    "message_run_batches",
+    "select user_id as log_id, ts, event_type as status, event_id as record_count, value > 50 as partial from events",
+)
+def message_run_batches(spark, sf):
+    """Batch reports from a log of messages."""
+    data = F.struct(
+        F.col("user_id").alias("log_id"), F.col("event_type").alias("status"), F.col("event_id").alias("record_count"),
+        (F.col("value") > 50).alias("partial"),
+    )
+    path = written(spark, _typed_lines(spark, sf, "DATA_RESPONSE", data), "reports", "text")
+    found = messages.run_batches(messages.parse_messages(messages.read_message_log(spark, path), SECRET))
+    return found.select("log_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "record_count", "partial")
+
+
+def _typed_lines(spark, sf, kind, data):
+    message = F.struct(
+        F.lit(kind).alias("type"), F.concat(F.lit("node"), F.col("user_id")).alias("agent_name"), F.lit("online").alias("status"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), data.alias("data"),
+    )
+    return table(spark, sf, "events").select(F.to_json(message).alias("value"))
+
+
 @query("message_log_rejects", "select concat('{broken ', props) as raw from events where value > 100")
 def message_log_rejects(spark, sf):
     path = written(spark, message_lines(spark, sf), "messages", "text")

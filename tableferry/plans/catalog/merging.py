@@ -228,6 +228,26 @@ def document_upsert(spark, sf):
     )
 
 
+@query(
+    "document_upsert_repeated_keys",
+    """select conv_id, turn, role, case when turn = min(turn) over (partition by conv_id)
+        then max(turn) over (partition by conv_id) end as last_turn from conversations""",
+)
+def document_upsert_repeated_keys(spark, sf):
+    """Every turn is a held document under its conversation's key; only the first of a key takes the change."""
+    turns = table(spark, sf, "conversations")
+    held = turns.select("turn", documents.to_document(F.to_json(F.struct("conv_id", "turn", "role"))).alias("doc"))
+    news = turns.select(
+        "turn", documents.to_document(F.to_json(F.struct("conv_id", F.col("turn").alias("last_turn")))).alias("doc")
+    )
+    merged = documents.document_upsert(held, news, "conv_id", ["turn"], target_order=["turn"])
+    numbers = {c: documents.document_field(F.col("doc"), c).cast("bigint") for c in ("conv_id", "turn", "last_turn")}
+    return merged.select(
+        numbers["conv_id"].alias("conv_id"), numbers["turn"].alias("turn"),
+        documents.document_field(F.col("doc"), "role").alias("role"), numbers["last_turn"].alias("last_turn"),
+    )
+
+
 @query(
     "document_insert",
     """select conv_id as id, role as kind, text as body, cast(null as varchar) as lang from conversations

@@ -64,3 +64,15 @@ def mirror_watch(spark, sf):
     table(spark, sf, "pages").selectExpr("page_id as id").write.parquet(f"{source}/tree=pages")
     watch.poll()
     return spark.read.parquet(target).select("tree", "id")
+
+
+@query("mirror_all_names", "select doc_id, text from documents")
+def mirror_all_names(spark, sf):
+    """A tree whose folders and files have names that Spark's own readers pass over arrives whole."""
+    source, target = scratch_dir(spark, "tree"), scratch_dir(spark, "copy")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("_hidden."), "lang").alias("_lang"))
+    docs.write.partitionBy("_lang").parquet(f"{source}/.tree")
+    outcome = mirror.mirror_stats(mirror.mirror(spark, source, target)).first()
+    if outcome["errors"]:
+        raise AssertionError(f"copies failed: {outcome}")
+    return spark.read.parquet(f"{target}/.tree").select("doc_id", "text")

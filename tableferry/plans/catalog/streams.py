@@ -64,17 +64,12 @@ def _landed(stream: DataFrame, mode: str, spark: SparkSession, columns: str) ->
     return spark.read.schema(columns).parquet(path)
 
 
-@query(
-    "stream_throttle",
-    ORACLES["throttle_events"]
-    .replace("select event_id, user_id, ts, n <= 3", "select user_id, epoch_us(ts) as ts_us, n <= 3")
-)
+@query("stream_throttle", ORACLES["throttle_events"])
 def throttled(spark, sf):
     events = spark.readStream.schema(table(spark, sf, "events").schema)
     events = events.option("pathGlobFilter", "events.parquet").parquet(sf)
-    judged = stream_throttle(events, "user_id", "ts", 3, 12 * 3600)
-    rows = _landed(judged, "append", spark, "key bigint, ts_us bigint, allowed boolean")
-    return rows.withColumnRenamed("key", "user_id")
+    judged = stream_throttle(events.select("event_id", "user_id", "ts"), "user_id", "ts", 3, 12 * 3600)
+    return _landed(judged, "append", spark, "event_id bigint, user_id bigint, ts timestamp_ntz, allowed boolean")
 
 
 @query(

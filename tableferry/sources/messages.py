@@ -23,10 +23,11 @@ def parse_messages(lines: DataFrame, key: bytes | None = None, column: str = "va
     """
     raw = F.col(column)
     clear = decrypt(raw, key) if key is not None else F.when(~raw.startswith("ENC:"), raw)
-    # Step by step, so that each line is opened and parsed once however many fields are taken from it.
-    opened = lines.filter(F.trim(raw) != "").select(raw.alias("raw"), clear.alias("clear"))
+    # Each step is the one row of an array: the optimiser moves no filter on its result before it, which would open,
+    # unpack and parse every line twice.
+    opened = lines.filter(F.trim(raw) != "").select(raw.alias("raw"), F.inline(F.array(F.struct(clear.alias("clear")))))
     unpacked = opened.select("raw", unpack(F.col("clear")).alias("text"))
-    body = unpacked.select("raw", F.try_parse_json("text").alias("message"))
+    body = unpacked.select("raw", F.inline(F.array(F.struct(F.try_parse_json("text").alias("message")))))
     message = F.col("message")
 
     def text_field(name: str):

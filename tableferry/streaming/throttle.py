@@ -8,49 +8,53 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_throttle(
     events: DataFrame, key: str, ts: str, max_rate: int = 5, window_seconds: int = 60, forget_idle: bool = False
 ) -> DataFrame:
-    """Events as ``(key, ts_us, allowed)``.
+    """The events with a column ``allowed``, as the batch form has them.
 
-    The state of a key is two numbers; a trigger holds the times of its own
-    events per key, so limit what a trigger takes in (``maxFilesPerTrigger``). Events of a trigger are judged in time
-    order; an event that comes in a later trigger than its time suggests is
-    judged when it arrives. ``forget_idle`` drops the state of a key that was at
-    rest for two windows; that is for live streams under a processing-time
+    The state of a key is two numbers; a trigger holds its own events per key, so limit what a trigger takes in
+    (``maxFilesPerTrigger``). Events of a trigger are judged in time order; an event that comes in a later trigger than
+    its time suggests is judged when it arrives. An event without a time passes by the state, with NULL. ``forget_idle``
+    drops the state of a key that was at rest for two windows; that is for live streams under a processing-time
     trigger, since stored events run through faster than their own clock.
     """
     window = window_seconds * 1_000_000
-    key_type = events.schema[key].dataType.simpleString()
 
-    def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def judge(_group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         count, first = state.get if state.exists else (0, None)
-        times = np.sort(np.concatenate([b["us"].to_numpy() for b in batches]))
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("__us", kind="stable")
+        times = rows["__us"].to_numpy()
         allowed = np.empty(len(times), dtype=bool)
         at = 0
         # One step per window, however many events it holds.
         while at < len(times):
             if first is None or times[at] - first > window:
                 count, first = 0, int(times[at])
-            end = int(np.searchsorted(times, first + window, side="right"))
+            # At least one event a step: a time before the open window belongs to it.
+            end = max(at + 1, int(np.searchsorted(times, first + window, side="right")))
             allowed[at:end] = np.arange(end - at) < max_rate - count
             count, at = min(max_rate, count + end - at), end
         state.update((count, first))
         if forget_idle:
             state.setTimeoutDuration(2 * window_seconds * 1000)
-        yield pd.DataFrame({"key": group[0], "ts_us": times, "allowed": allowed})
+        yield rows.drop(columns=["__k", "__us"]).assign(allowed=allowed)
 
-    timed = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return timed.groupBy("k").applyInPandasWithState(
+    timed = events.filter(F.col(ts).isNotNull())
+    timed = timed.withColumn("__k", F.col(key)).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    judged = timed.groupBy("__k").applyInPandasWithState(
         judge,
-        f"key {key_type}, ts_us bigint, allowed boolean",
+        T.StructType([*events.schema, T.StructField("allowed", T.BooleanType())]),
         "count int, first bigint",
         "append",
         GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout,
     )
+    timeless = events.filter(F.col(ts).isNull()).select(*events.columns, F.lit(None).cast("boolean").alias("allowed"))
+    return judged.unionByName(timeless)
