@@ -18,6 +18,8 @@ INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"^(?i)(nan|[+-]?inf|[+-]?infinity)$"
 
+COLUMNS_AT_A_TIME = 32
+
 # One bit per class of cell, so that one bit_or per column sees them all.
 LONG, DOUBLE, BOOL, STRING = 1, 2, 4, 8
 
@@ -61,16 +63,17 @@ def type_of_mask(mask: int | None) -> T.DataType:
 def infer_schema(df: DataFrame, string_columns: Sequence[str] = ()) -> T.StructType:
     """One aggregate over the text columns; a bit mask per column comes back.
 
-    The cells of a row are laid under each other, so the classification is one
-    short piece of generated code however wide the table is.
+    Columns are classified where they stand, in aggregates of so many columns
+    that the generated code stays compiled; a very wide table takes a few of them.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in string_columns]
     masks = {}
     if text:
-        cells = df.select(F.posexplode(F.array(*[quoted(c) for c in text])).alias("at", "cell"))
-        cleaned = cells.select("at", trim_space(F.col("cell")).alias("cell")).filter("cell <> ''")
-        found = cleaned.groupBy("at").agg(F.bit_or(cell_class(F.col("cell"))).alias("mask")).collect()
-        masks = {name: None for name in text} | {text[r["at"]]: r["mask"] for r in found}
+        for at in range(0, len(text), COLUMNS_AT_A_TIME):
+            group = text[at : at + COLUMNS_AT_A_TIME]
+            cleaned = df.select([F.nullif(trim_space(quoted(c)), F.lit("")).alias(f"c{i}") for i, c in enumerate(group)])
+            seen = [F.bit_or(F.when(F.col(f"c{i}").isNotNull(), cell_class(F.col(f"c{i}")))) for i in range(len(group))]
+            masks |= dict(zip(group, cleaned.agg(*seen).first()))
     return T.StructType(
         [T.StructField(f.name, type_of_mask(masks[f.name]) if f.name in masks else f.dataType) for f in df.schema]
     )

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableferry.functions.names import quoted
-from tableferry.operators.dedupe import split_null_keys
 
 
 def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -17,28 +16,27 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
 
     Classes: ``only_source``, ``only_target``, ``changed``, ``equal``, and
     ``duplicate_key`` for a key that either side holds more than once. NULL
-    equals NULL, in the key too. Each side is first reduced to one row per key,
-    so a key repeated any number of times reaches the join once. The join uses
-    the partitioning of that reduction; the rows without a key, one per side by
-    then, are paired apart, since a null-safe join would shuffle all again.
+    equals NULL, in the key too. Both sides are read once and meet in one
+    aggregate, in which a row is two counts and 96 bits of hash per column: the
+    hashes of a key's two rows cancel out where the values are equal. So no row
+    is sorted or joined, and a key repeated any number of times reaches the
+    shuffle once per task.
     """
     columns = list(columns or [c for c in source.columns if c != key and c in target.columns])
-
-    def reduced(df: DataFrame, side: str) -> DataFrame:
-        # Any row will do: where the count is 1 it is the row, elsewhere it is not looked at.
-        row = F.struct(F.lit(1).alias("__one"), *[quoted(c) for c in columns])
-        return df.groupBy(quoted(key).alias(f"{side}_key")).agg(
-            F.any_value(row).alias(f"{side}_row"), F.count(F.lit(1)).alias(f"{side}_rows")
-        )
-
-    (source_keyed, source_keyless), (target_keyed, target_keyless) = (split_null_keys(d, key) for d in (source, target))
-    joined = reduced(source_keyed, "s").join(reduced(target_keyed, "t"), F.col("s_key") == F.col("t_key"), "full_outer")
-    both_null = F.col("s_key").eqNullSafe(F.col("t_key"))
-    joined = joined.unionByName(reduced(source_keyless, "s").join(reduced(target_keyless, "t"), both_null, "full_outer"))
-    differs = [~F.col("s_row").getField(c).eqNullSafe(F.col("t_row").getField(c)) for c in columns]
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+
+    def side(df: DataFrame, own: int) -> DataFrame:
+        values = [quoted(c).alias(n) for c, n in names.items()]
+        return df.select(quoted(key).alias("key"), F.lit(own).alias("s"), F.lit(1 - own).alias("t"), *values)
+
+    # The union brings both sides to common types before anything is hashed.
+    both = side(source, 1).unionByName(side(target, 0))
+    hashes = [F.bit_xor(F.xxhash64(n)).alias(f"x_{n}") for n in names.values()]
+    hashes += [F.bit_xor(F.hash(n)).alias(f"h_{n}") for n in names.values()]
+    met = both.groupBy("key").agg(F.sum("s").alias("s_rows"), F.sum("t").alias("t_rows"), *hashes)
+    differs = [(F.col(f"x_{n}") != 0) | (F.col(f"h_{n}") != 0) for n in names.values()]
     any_differs = reduce(lambda a, b: a | b, differs, F.lit(False))
-    s_rows = F.coalesce("s_rows", F.lit(0))
-    t_rows = F.coalesce("t_rows", F.lit(0))
+    s_rows, t_rows = F.col("s_rows"), F.col("t_rows")
     kind = (
         F.when((s_rows > 1) | (t_rows > 1), "duplicate_key")
         .when(t_rows == 0, "only_source")
@@ -46,13 +44,13 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
         .when(any_differs, "changed")
         .otherwise("equal")
     )
-    names = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in zip(columns, differs)]).cast("array<string>"))
-    return joined.select(
-        F.coalesce("s_key", "t_key").alias(key),
+    changed = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in zip(columns, differs)]).cast("array<string>"))
+    return met.select(
+        F.col("key").alias(key),
         kind.alias("class"),
         s_rows.cast("bigint").alias("source_rows"),
         t_rows.cast("bigint").alias("target_rows"),
-        F.when(kind == "changed", F.array_join(names, ", ")).alias("changed_columns"),
+        F.when(kind == "changed", F.array_join(changed, ", ")).alias("changed_columns"),
     )
 
 

@@ -33,7 +33,8 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", pattern: str
         for batch in batches:
             for folder in batch["key"]:
                 store, start = locate(f"{base}/{folder}".rstrip("/"))
-                infos = store.get_file_info(fs.FileSelector(start, allow_not_found=True))
+                is_folder = store.get_file_info(start).type == fs.FileType.Directory
+                infos = store.get_file_info(fs.FileSelector(start, allow_not_found=True)) if is_folder else []
                 yield pd.DataFrame(
                     [
                         (

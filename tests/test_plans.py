@@ -2,7 +2,10 @@
 
 import re
 
+import pytest
 from conftest import plan_of
+from tableferry.functions.infer import infer_schema
+from tableferry.functions.protect import derive_key
 from tableferry.operators.dedupe import one_per_key
 from tableferry.operators.merge import staged_upsert, upsert
 from tableferry.operators.runs import latest_runs
@@ -67,6 +70,35 @@ def test_no_query_gathers_a_table_in_one_window(spark):
         assert "Exchange SinglePartition" not in plan, name
 
 
+def test_messages_are_unpacked_once(spark):
+    assert plan_of(QUERIES["message_log"](spark, SF)).count("ArrowEvalPython") == 1
+
+
+def test_keys_stand_in_no_plan(spark):
+    key = derive_key("fixture secret", b"fixture salt")
+    df = QUERIES["encrypt_roundtrip"](spark, SF)
+    plan = df._jdf.queryExecution().toString()
+    assert key.hex().upper() not in plan.upper().replace(" ", "") and "aes_" in plan.lower()
+
+
+def test_comparison_scans_each_side_once_and_sorts_nothing(spark):
+    plan = plan_of(QUERIES["compare_tables"](spark, SF))
+    assert plan.count("FileScan") == 2 and "Sort" not in plan and "Join" not in plan and plan.count("Exchange hash") == 1
+
+
+def test_limiter_limits_windows_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(QUERIES["throttle_events"](spark, SF))
+
+
+def test_inference_makes_no_rows(spark):
+    seen = []
+    original = type(spark.range(1)).first
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1)), "first", lambda self: seen.append(plan_of(self)) or original(self))
+        infer_schema(spark.createDataFrame([("1", "x")], "a string, b string"))
+    assert len(seen) == 1 and "Generate" not in seen[0]
+
+
 def test_counts_read_no_columns(spark):
     plan = plan_of(QUERIES["table_discovery"](spark, SF))
     assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)) == {"struct<>"}

@@ -166,6 +166,11 @@ def test_throttle_window_is_strict(spark):
     assert got == {0: True, 1: False, 2: True}
 
 
+def test_throttle_keeps_events_without_a_time(spark):
+    df = spark.createDataFrame([(0, "a", at(0)), (1, "a", None), (2, None, None)], "event int, user string, ts timestamp_ntz")
+    assert {r["event"]: r["allowed"] for r in throttle(df, "user", "ts", 1, 60).collect()} == {0: True, 1: None, 2: None}
+
+
 def test_hooks(spark):
     seen = []
 
@@ -256,6 +261,12 @@ def test_bulk_sync_collects_failures(spark):
     assert got == {"a": ("completed", 3), "b": ("failed", 0)}
 
 
+def test_next_key_of_text_keys(spark):
+    tables = {"a": (spark.createDataFrame([("x",), ("7",)], "k string"), "k"), "b": (spark.range(3), "id"), "c": (spark.createDataFrame([("12",)], "k string"), "k")}
+    got = {r["table_name"]: (r["next_key"], r["error"]) for r in next_key(spark, tables).collect()}
+    assert got == {"a": (None, "1 values of k are not whole numbers"), "b": (3, None), "c": (13, None)}
+
+
 def test_endpoint_check_and_schemas(spark, tmp_path):
     assert check_endpoint(spark, Endpoint(path=str(tmp_path))).first()["success"]
     assert not check_endpoint(spark, Endpoint(path=str(tmp_path / "no"))).first()["success"]

@@ -9,7 +9,7 @@ from tableferry.operators.export import export_records, export_result
 from tableferry.operators.jdbc_sink import column_types, merge_statement, next_key_statement
 from tableferry.operators.mirror import content_type, mirror, mirror_errors, mirror_stats
 from tableferry.session import scratch_dir
-from tableferry.sources import documents, files, keyspace, messages, responses
+from tableferry.sources import documents, files, keyspace, messages, responses, sql
 from tableferry.sources.jdbc import table_query
 from tableferry.streaming.watch import Watch
 
@@ -80,6 +80,20 @@ def test_key_space(spark, rows):
     assert keyspace.scan_keys(dump, "none*").count() == 0
 
 
+def test_unreadable_responses_are_kept(spark, rows):
+    bodies = [("r1", 200, 1, '{"data":[{"a":1}]}'), ("r2", 200, 1, "<html>"), ("r3", 200, 1, '{"data":5,"a":3}'), ("r4", 200, 1, "[]"), ("r5", 500, 1, "no")]
+    df = spark.createDataFrame(bodies, "request_id string, status int, attempt int, body string")
+    assert rows(responses.response_records(df, "a int")) == [("r1", 1), ("r3", 3)]
+    assert rows(responses.response_rejects(df, "a int").select("request_id", "body")) == [("r2", "<html>")]
+
+
+def test_discovery_tells_schemas_apart(spark, rows):
+    tables = spark.createDataFrame([("s1", "t"), ("s2", "t")], "schema string, table_name string")
+    estimates = spark.createDataFrame([("s1", "t", 7)], "schema string, table_name string, row_count bigint")
+    columns = spark.createDataFrame([("s1", "t", 1, "a"), ("s2", "t", 1, "x"), ("s2", "t", 2, "y")], "schema string, table_name string, position int, column_name string")
+    assert rows(sql.join_discovery(tables, estimates, columns)) == [("s1", "t", 7, "a"), ("s2", "t", 0, "x, y")]
+
+
 def test_responses(spark, rows):
     df = spark.createDataFrame(
         [
@@ -144,7 +158,6 @@ def test_exports(spark, rows):
     export_result(df.select("id", "v", "n"), path)
     assert [r[0] for r in spark.read.text(path).collect()] == ["id,v,n", '1,"a\\"b,c",null']
     assert content_type("CSV") == "text/csv" and content_type("?") == "application/octet-stream"
-    assert files.all_text(df).dtypes == [(c, "string") for c in df.columns]
 
 
 def test_mirror(spark, tmp_path):

@@ -6,6 +6,7 @@ from tableferry.operators.runs import fold_runs
 from tableferry.operators.tables import VersionedTable
 from tableferry.session import scratch_dir
 from tableferry.streaming.progress import ProgressEvents
+from tableferry.streaming.throttle import stream_throttle
 from tableferry.streaming.upsert import stream_run_status, stream_upsert, upsert_batches
 
 T0 = datetime(2024, 1, 1)
@@ -52,3 +53,15 @@ def test_run_status_from_late_and_split_reports(spark, rows):
     whole = fold_runs(spark.createDataFrame([r for piece in reports for r in piece], schema))
     assert rows(log.read()) == rows(whole)
     assert {"started", "progress"} <= set(seen)
+
+
+def test_limiter_keeps_columns_and_passes_events_without_a_time(spark, rows):
+    schema = "user string, ts timestamp_ntz, note string"
+    landing, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+    events = [("a", T0, "x"), ("a", None, "y"), ("a", T0 + timedelta(seconds=1), "z"), (None, T0, "n")]
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(landing)
+    judged = stream_throttle(spark.readStream.schema(schema).parquet(landing), "user", "ts", 1, 60)
+    writer = judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_dir(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination(60)
+    got = spark.read.parquet(out)
+    assert sorted((r["note"], r["allowed"]) for r in got.collect()) == [("n", True), ("x", True), ("y", None), ("z", False)]
