@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
 from tableferry.llm.shingles import mixed, shingle_set
-from tableferry.llm.store import small, staged
+from tableferry.llm.store import sliced, small, staged
 
 # Sets link when NEEDED[0] * intersection >= NEEDED[1] * union.
 NEEDED = (100, 80)
@@ -106,7 +106,7 @@ def _frequent(spark: SparkSession, docs: DataFrame) -> tuple[np.ndarray, float]:
             waiting.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 waiting.append(shingle_set(text))
                 held += len(waiting[-1])
@@ -192,7 +192,7 @@ def _sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int]) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, light = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             names, sizes, keys, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text)
@@ -224,7 +224,7 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     held = staged(spark, held.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "pair-bitmaps")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count = batch.num_rows
             bits = Bitmaps(batch.column("x").to_pylist() + batch.column("y").to_pylist())
             size = np.r_[batch.column("m").to_numpy(), batch.column("n").to_numpy()]
@@ -239,7 +239,7 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     wanted = staged(spark, held.select("set_id", "doc_id").join(names, "set_id", "left_semi"), "wanted")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingle_set(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(set_name, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["set_id", "body"]
@@ -250,7 +250,7 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     whole = staged(spark, whole.select("text").mapInArrow(bodies, "set_id long, body binary").dropDuplicates(["set_id"]), "bodies")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -287,8 +287,8 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     """The documents' sets, and links that join every component of similar sets (not every link inside one).
 
     1. Each different set is listed under its keys. A list of one set is dropped.
-    2. In each list every set is paired with the first, the smallest. What the whole sets confirm gives components, so that a
-       large group of near copies is joined by a few links each.
+    2. In each list every set is paired with the smallest of about its size. What the whole sets confirm gives components,
+       so that a large group of near copies is joined by a few links each.
     3. In lists that still hold several components, every pair across components that sizes and bitmaps allow is checked
        against the whole sets. Both filters only drop pairs that cannot link, and so no two similar sets stay apart.
 
@@ -311,10 +311,17 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     again = F.coalesce(F.col("back.set_id") == F.col("set_id"), F.lit(False))
     near = [F.coalesce(_sizes_allow("n", other, needed), F.lit(False)) for other in ("back.n", "next.n")]
     lists = listed.filter((F.col("first.set_id") != F.col("end.set_id")) & ~again & (near[0] | near[1]))
-    lists = staged(spark, lists.select("key", "set_id", "n", "first"), "lists")
-
-    stars = lists.filter("set_id <> first.set_id").filter(_sizes_allow("n", "first.n", needed))
-    stars = stars.select(F.col("set_id").alias("a"), F.col("first.set_id").alias("b")).distinct()
+    lists = staged(spark, lists.select("key", "set_id", "n"), "lists")
+
+    # Sizes within one class are near enough to link. A second division, half a class off, joins groups that a border cuts.
+    size = F.log(needed[0] / needed[1], F.col("n").cast("double"))
+    stars = None
+    for shift in (0.0, 0.5):
+        own = Window.partitionBy("key", F.floor(size + shift))
+        pairs = lists.select("set_id", F.min(F.struct("n", "set_id")).over(own).alias("first")).filter("set_id <> first.set_id")
+        pairs = pairs.select(F.col("set_id").alias("a"), F.col("first.set_id").alias("b"))
+        stars = pairs if stars is None else stars.unionByName(pairs)
+    stars = stars.distinct()
     links = verified(spark, docs, sets, stars, needed)
     joined = components(spark, links)
 
