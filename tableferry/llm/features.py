@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableferry.llm.store import sliced
+
 # Classes of characters: letters by case, digits, white space, line ends; every other sign by its code.
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _SIGN = 1, 2, 3, 4, 5, 8
 _KNOWN = 0x3000
@@ -102,7 +104,7 @@ def document_frequencies(docs: DataFrame, counts: Callable[[str, int], np.ndarra
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(dims + 1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen[:dims] += counts(text or "", dims) > 0
                 seen[dims] += 1

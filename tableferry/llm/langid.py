@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableferry.llm.features import document_frequencies, has_letter, inverse_frequencies, letter_counts, weighted
+from tableferry.llm.store import sliced
 
 DIMS = 8192
 # At most this many labelled rows of each of at most LANGUAGES languages (the most frequent) are learned from.
@@ -112,7 +113,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     ids = ids.distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bins, counts = [], []
             for text in batch.column("text").to_pylist():
                 row = letter_counts(text or "", DIMS)

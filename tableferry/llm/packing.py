@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.llm import tokens
-from tableferry.llm.store import staged
+from tableferry.llm.store import sliced, staged
 
 WINDOW = 1024
 IDS = 1 << 16
@@ -54,7 +54,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, ranks_path: str) -> tuple[Da
                 ["doc_id", "ids", "term", "n"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 ids = tokens.encode(text, ranks_path, end=True)
@@ -194,7 +194,7 @@ def pack(
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(ids, "<u2")
                 whole = len(ids) // window * window
@@ -206,7 +206,7 @@ def pack(
                 if waiting >= shard_tokens:
                     fill_windows()
                     waiting = 0
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield out()
         if parts:
             fill_windows()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.llm.features import document_frequencies, inverse_frequencies, shape_counts, weighted
+from tableferry.llm.store import sliced
 
 DIMS = 2048
 RANK = 64
@@ -70,7 +71,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [
                 np.minimum(shape_counts(t or "", DIMS), 65535).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()
             ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,10 @@ def small(spark: SparkSession, df: DataFrame, stored: DataFrame) -> DataFrame:
     """``df``, which is made from the files of ``stored``: sent to all executors if those are small, else joined as it is."""
     folders = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
     return F.broadcast(df) if sum(stored_bytes(spark, f) for f in folders) <= BROADCAST_BYTES // 8 else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: a worker then holds few long texts, and what is made of them, at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
