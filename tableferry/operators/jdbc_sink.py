@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -11,7 +12,7 @@ from tableferry.functions.infer import target_types
 from tableferry.functions.names import is_valid_name, validate_columns
 from tableferry.operators.dedupe import latest_per_key
 from tableferry.operators.tables import to_target_types
-from tableferry.session import scratch_dir
+from tableferry.session import delete_folder, scratch_dir
 from tableferry.sources.jdbc import quote
 
 # Rows per insert statement batch.
@@ -116,6 +117,35 @@ def jdbc_truncate_load(
     writer.option("batchsize", BATCH_ROWS).options(**(options or {})).mode("overwrite").save()
 
 
+def drop_statement(table: str, dialect: str) -> str:
+    """Plain, since not every listed database knows IF EXISTS."""
+    return f"DROP TABLE {quote(_name(table), dialect)}"
+
+
+def key_statement(table: str, key: str, dialect: str) -> str:
+    """The unique key that a merge by conflict needs on a table made here."""
+    return f"ALTER TABLE {quote(_name(table), dialect)} ADD PRIMARY KEY ({quote(_name(key), dialect)})"
+
+
+def jdbc_ensure(
+    df: DataFrame, url: str, table: str, key: str, options: Mapping[str, str] | None = None, dialect: str = "postgres"
+) -> bool:
+    """Create the target of a merge if it is missing, without rows; True if created.
+
+    A key that is not a number is left without a constraint, which text columns do not take everywhere.
+    """
+    spark = df.sparkSession
+    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
+    with contextlib.suppress(Exception):
+        reader.option("query", f"SELECT * FROM {quote(_name(table), dialect)} WHERE 1 = 0").load()
+        return False
+    types = target_types(validate_columns(df))
+    jdbc_append(df.limit(0), url, table, options, dialect)
+    if types.get(key) == "BIGINT":
+        execute(spark, url, [key_statement(table, key, dialect)], options)
+    return True
+
+
 def jdbc_merge(
     df: DataFrame,
     url: str,
@@ -131,7 +161,7 @@ def jdbc_merge(
     their types and loading them do not compute them again. They load into a
     staging table in parallel; one statement then merges them and the staging
     table goes. If anything fails before that statement commits, the target is
-    as it was.
+    as it was. A target that is missing is created first, with its key.
     """
     _name(table), _name(key)
     spark = df.sparkSession
@@ -141,7 +171,15 @@ def jdbc_merge(
     columns = validate_columns(latest).columns
     staging = f"stage_{uuid.uuid4().hex[:16]}"
     try:
+        jdbc_ensure(latest, url, table, key, options, dialect)
         jdbc_append(latest, url, staging, options, dialect)
         execute(spark, url, [merge_statement(table, staging, columns, key, dialect)], options)
+    except Exception:
+        # The first error is the one to report; a staging table that was never made cannot be dropped.
+        with contextlib.suppress(Exception):
+            execute(spark, url, [drop_statement(staging, dialect)], options)
+        raise
+    else:
+        execute(spark, url, [drop_statement(staging, dialect)], options)
     finally:
-        execute(spark, url, [f"DROP TABLE IF EXISTS {quote(staging, dialect)}"], options)
+        delete_folder(spark, path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableferry.functions.protect import decrypt, derive_key, encrypt, gzip_base64, unpack
 from tableferry.operators.export import export_records, export_result
-from tableferry.operators.jdbc_sink import column_types, merge_statement, next_key_statement
+from tableferry.operators.jdbc_sink import column_types, drop_statement, key_statement, merge_statement, next_key_statement
 from tableferry.operators.mirror import content_type, mirror, mirror_errors, mirror_stats
 from tableferry.session import scratch_dir
 from tableferry.sources import documents, files, keyspace, messages, responses, sql
@@ -231,3 +231,10 @@ def test_merge_statements():
     types = column_types({"id": "BIGINT", "p": "DOUBLE PRECISION", "v": "TEXT"}, "mysql")
     assert types == "`id` BIGINT, `p` DOUBLE, `v` TEXT"
     assert table_query("a", "sqlserver", "dbo") == "SELECT * FROM [dbo].[a]"
+
+
+def test_statements_around_a_merge():
+    assert drop_statement("stage_1", "oracle") == 'DROP TABLE "stage_1"'
+    assert key_statement("t", "id", "mysql") == "ALTER TABLE `t` ADD PRIMARY KEY (`id`)"
+    with pytest.raises(ValueError):
+        drop_statement("t; drop", "postgres")
