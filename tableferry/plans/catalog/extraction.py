@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tableferry.operators.keys import next_key
 from tableferry.operators.runs import checkpoint_max
+from tableferry.operators.tables import BucketedTable, VersionedTable
 from tableferry.operators.transforms import run_transform
 from tableferry.plans.catalog.registry import query, table
-from tableferry.plans.run import bulk_sync
+from tableferry.plans.run import bulk_sync, run
 from tableferry.session import scratch_dir
 from tableferry.sources import documents, keyspace, sql
+from tableferry.spec import Endpoint, Rule, SyncSpec
 
 ROLLUP = """
 select n_name, o_orderstatus, count(*) as orders,
@@ -280,9 +282,6 @@ def hash_flatten_rows(spark, sf):
     union all select 'customers', 'completed', count(*), count(*), 0, null from customer""",
 )
 def run_all_rules(spark, sf):
-    from tableferry.plans.run import run
-    from tableferry.spec import Endpoint, Rule, SyncSpec
-
     sql.register_tables(spark, {t: f"{sf}/{t}.parquet" for t in ("orders", "customer")})
     spec = SyncSpec(
         "nightly",
@@ -306,10 +305,6 @@ def run_all_rules(spark, sf):
 @query("incremental_two_runs", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
 def incremental_two_runs(spark, sf):
     """The older half by one run, then all orders by a second that goes on from the run log: as one full run."""
-    from tableferry.operators.tables import VersionedTable
-    from tableferry.plans.run import run
-    from tableferry.spec import Endpoint, Rule, SyncSpec
-
     orders = table(spark, sf, "orders")
     middle = orders.agg(F.percentile_approx(F.unix_micros(F.col("o_orderdate").cast("timestamp")), 0.5)).first()[0]
     older = F.unix_micros(F.col("o_orderdate").cast("timestamp")) <= middle
@@ -322,3 +317,61 @@ def incremental_two_runs(spark, sf):
         if event["status"] != "completed":
             raise RuntimeError(event["error"])
     return VersionedTable(spark, f"{target}/orders_copy").read()
+
+
+def _run_once(spark, source: Endpoint, rule: Rule) -> str:
+    """One run of one rule; the folder of its target."""
+    target = scratch_dir(spark, "target")
+    spec = SyncSpec("once", source, Endpoint(path=target), (rule,))
+    event = run(spark, spec, scratch_dir(spark, "state"), datetime(2024, 1, 31)).first()
+    if event["status"] != "completed":
+        raise RuntimeError(event["error"])
+    return f"{target}/{rule.target_table}"
+
+
+@query("run_file_source", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
+def run_file_source(spark, sf):
+    path = scratch_dir(spark, "csv")
+    table(spark, sf, "customer").withColumnRenamed("c_name", " c_name ").coalesce(1).write.csv(path, header=True)
+    rule = Rule("customers", "*.csv", key="c_custkey")
+    return VersionedTable(spark, _run_once(spark, Endpoint("file", path=path), rule)).read()
+
+
+@query(
+    "run_api_source",
+    "select o_orderkey as request_id, o_custkey as id, o_totalprice as price from orders where o_orderstatus <> 'P'",
+)
+def run_api_source(spark, sf):
+    """One landed response per order; those of pending orders failed."""
+    path = scratch_dir(spark, "responses")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"))).alias("data")))
+    landed = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "P", 500).otherwise(200).alias("status"),
+        F.lit(1).alias("attempt"), body.alias("body"),
+    )
+    landed.write.parquet(path)
+    rule = Rule("prices", schema="id bigint, price double", key="request_id", buckets=8)
+    return BucketedTable(spark, _run_once(spark, Endpoint("api", path=path), rule), "request_id", 8).read()
+
+
+@query("run_document_source", "select event_id, event_type, value from events where event_type = 'click' and value > 5")
+def run_document_source(spark, sf):
+    wanted = '{"event_type": "click", "value": {"$gt": 5}}'
+    source = Endpoint("mongodb", path=f"{sf}/events.parquet")
+    rows = VersionedTable(spark, _run_once(spark, source, Rule("clicks", wanted, key="event_id"))).read()
+    return rows.select("event_id", "event_type", "value")
+
+
+@query("run_keyspace_source", "select concat('string:', s_suppkey) as key, s_name as string_value from supplier")
+def run_keyspace_source(spark, sf):
+    path = scratch_dir(spark, "dump")
+    key_dump(spark, sf).write.parquet(path)
+    rows = VersionedTable(spark, _run_once(spark, Endpoint("redis", path=path), Rule("names", "string:*", key="key"))).read()
+    return rows.select("key", "string_value")
+
+
+@query("run_mirror_source", "select doc_id, lang from documents")
+def run_mirror_source(spark, sf):
+    path = scratch_dir(spark, "bucket")
+    table(spark, sf, "documents").select("doc_id", "lang").write.partitionBy("lang").parquet(path)
+    return spark.read.parquet(_run_once(spark, Endpoint("minio", path=path), Rule("copy", "*.parquet"))).select("doc_id", "lang")

@@ -20,6 +20,7 @@ from pyspark.sql.types import IntegralType
 from tableferry.functions.names import validate_columns
 from tableferry.operators.keys import next_key
 from tableferry.operators.merge import ACTION, insert_skip, upsert
+from tableferry.operators.mirror import mirror, mirror_stats
 from tableferry.operators.runs import next_checkpoint
 from tableferry.operators.tables import BucketedTable, VersionedTable
 from tableferry.plans.hooks import run_hooks, sql_executor
@@ -70,7 +71,7 @@ def extract(spark: SparkSession, spec: SyncSpec, rule: Rule, checkpoint: Any = N
         return documents.find(landed, json.loads(rule.source_query or "{}"))
     if kind == "redis":
         return keyspace.scan_keys(landed, rule.source_query or "*")
-    raise ValueError(f"a {kind} source has no rows of its own: use mirror or run_transform")
+    raise ValueError(f"a {kind} source has no rows of its own: use run_transform")
 
 
 def run(spark: SparkSession, spec: SyncSpec, state: str, as_of: datetime, checkpoints: Mapping[str, Any] | None = None) -> DataFrame:
@@ -109,6 +110,8 @@ def run(spark: SparkSession, spec: SyncSpec, state: str, as_of: datetime, checkp
 
 
 def _run_rule(spark: SparkSession, spec: SyncSpec, rule: Rule, stored: Any, as_of: datetime) -> dict[str, Any]:
+    if spec.source.kind == "minio":
+        return _mirrored(spark, spec, rule)
     at_source = sql_executor(spark, spec.source)
     at_target = sql_executor(spark, spec.target)
     run_hooks(at_target, [rule.upload_pre], spec.hook_errors)
@@ -134,6 +137,17 @@ def _run_rule(spark: SparkSession, spec: SyncSpec, rule: Rule, stored: Any, as_o
     return out
 
 
+def _mirrored(spark: SparkSession, spec: SyncSpec, rule: Rule) -> dict[str, Any]:
+    """A rule of a bucket source copies objects; the copies count as rows, and one that fails makes the run fail."""
+    began = time.monotonic()
+    target = f"{spec.target.path.rstrip('/')}/{rule.target_table}"
+    stats = mirror_stats(mirror(spark, spec.source.path, target, pattern=rule.source_query)).first()
+    if stats["errors"]:
+        raise RuntimeError(f"{stats['errors']} of {stats['errors'] + stats['objects_copied']} objects could not be copied")
+    copied = stats["objects_copied"]
+    return {"record_count": copied, "inserted": copied, "load_ms": int((time.monotonic() - began) * 1000)}
+
+
 def _load(spark: SparkSession, spec: SyncSpec, rule: Rule, rows: DataFrame, tag: str) -> dict[str, Any]:
     if spec.target.format == "jdbc":
         from tableferry.operators import jdbc_sink
