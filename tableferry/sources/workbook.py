@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableferry.session import scratch_dir
+
 # XML names of the Office Open XML spreadsheet format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -24,7 +26,8 @@ def read_workbooks(spark: SparkSession, path: str, header: bool = True, columns:
     """The first sheet of every workbook under ``path``, all cells as text.
 
     Columns are the headers of all files together, or ``column_1`` and so on up
-    to the widest row; pass ``columns`` to save the pass that collects them.
+    to the widest row, unless ``columns`` names them. The parsed rows are written
+    once, so that finding names and types does not parse a workbook again.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
 
@@ -34,6 +37,9 @@ def read_workbooks(spark: SparkSession, path: str, header: bool = True, columns:
                 yield from _sheet_batches(name, content, header)
 
     rows = files.select("path", "content").mapInPandas(parse, "path string, row_number int, cells map<string,string>")
+    parsed = scratch_dir(spark, "workbook-rows")
+    rows.write.parquet(parsed)
+    rows = spark.read.schema(rows.schema).parquet(parsed)
     if columns is None:
         names = rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct()
         columns = sorted((r[0] for r in names.collect()), key=_natural)
