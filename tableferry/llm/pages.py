@@ -33,9 +33,13 @@ MAIN_ELEMENTS = frozenset("article main".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "dialog disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination "
-    "pager popup promo promoted promotion reader related replies reply respond search share sharing sidebar signup skip social "
+    "pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets contentinfo complementary alert".split()
 )
+# Class names that say what a part has or lacks, not what it is; names of the article's own head; and elements too large to drop.
+ABOUT_OTHERS = frozenset("has no with without is not show hide".split())
+ARTICLE_WORDS = frozenset("article content entry main page-title post story".split())
+NEVER_ASIDE = frozenset("html body main article".split())
 PUNCTUATION = ".,;:!?\u2026\u3002\uff0c\uff1b\uff1a\uff01\uff1f"
 
 TOKEN = re.compile(
@@ -73,12 +77,19 @@ def _label(name: str, attributes: str) -> str:
 def _is_aside(name: str, attributes: str) -> bool:
     if name in ASIDE:
         return True
-    if "=" not in attributes and "hidden" not in attributes:
+    if name in NEVER_ASIDE or "=" not in attributes and "hidden" not in attributes:
         return False
     if HIDDEN.search(attributes):
         return True
-    words = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
-    return any(w.lower() in ASIDE_WORDS for w in ATTRIBUTE_WORD.findall(words))
+    marks = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
+    return any(_names_aside([w.lower() for w in ATTRIBUTE_WORD.findall(mark)]) for mark in marks.split())
+
+
+def _names_aside(words: list[str]) -> bool:
+    if not words or words[0] in ABOUT_OTHERS:
+        return False
+    found = {w for w in words if w in ASIDE_WORDS}
+    return bool(found - {"header"} if words[0] in ARTICLE_WORDS else found)
 
 
 def blocks(page: str) -> list[Block]:

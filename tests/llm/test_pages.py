@@ -25,6 +25,14 @@ def test_article(name):
     assert pages.main_text(CASES[name]) == "Title " + TEXT
 
 
+def test_parts_that_only_sound_like_asides_stay():
+    page = f"<body class='has-sidebar'><div class='layout no-ads'><div class='entry'><div class='entry-header'><h1>Title</h1></div>{ARTICLE}"
+    page += "<table><tr><td>A cell</td></tr></table><blockquote>Said once, and again.</blockquote></div></div>"
+    page += "<div class='site-header'>Name, of the site.</div><div role='alert'>Notice, please.</div><section id=readerComments><p>Well, no.</p></section>"
+    page += "<div class='cookieBanner'>We use cookies, many of them. More, too.</div><div hidden>Not shown, at all.</div>"
+    assert pages.main_text(page) == f"Title {TEXT} A cell Said once, and again."
+
+
 def test_short_parts_of_the_article_stay():
     page = f"<article><header><h1>Title</h1></header>{ARTICLE}<h2>More</h2><ul><li>one</li><li>two</li></ul><p>Yes.</p></article>"
     assert pages.main_text(page) == f"Title {TEXT} More one two Yes."
