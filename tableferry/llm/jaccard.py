@@ -22,10 +22,12 @@ NEEDED = (100, 80)
 # Small sets are looked up by subsets of this many shingles.
 SUBSET = 2
 # The most frequent shingles known by rank; the order only decides how long lists get, never what is found.
-RANKED = 1 << 16
+RANKED = 1 << 18
 # Shingles counted at a time inside a task.
 TALLY = 4_000_000
-BITS, MOST_BITS = 2048, 1 << 17
+BITS, MOST_BITS = 512, 1 << 17
+# Of its keys each set carries so many, the smallest, by which a pair that meets in several lists is told in the first of them.
+LEADING = 8
 # Members of a list that are compared with each other in one task; longer lists are cut into pairs of such parts.
 PART = 2048
 
@@ -94,7 +96,7 @@ def _frequent(spark: SparkSession, docs: DataFrame) -> tuple[np.ndarray, float]:
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(waiting), return_counts=True)
-            often = times >= max(3, len(waiting) // 500)
+            often = times >= 3
             total = np.array([held], np.int64)
             out = pa.RecordBatch.from_arrays(
                 [
@@ -162,21 +164,29 @@ def may_link(size_a, size_b, apart, needed: tuple[int, int]):
 
 
 class Bitmaps:
-    """The bitmaps of some sets: compared at the common size at once, at full size where both are larger."""
+    """The bitmaps of some sets, each pair compared at the size of the smaller one."""
 
     def __init__(self, rows: list[bytes]) -> None:
         self.rows = [np.frombuffer(r, np.uint8) for r in rows]
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        base = [_halved(r, BITS // 8) for r in self.rows]
-        self.base = np.concatenate(base).view(np.uint64).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint64)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def _table(self, size: int) -> np.ndarray:
+        """All bitmaps of at least this size, halved to it; rows of smaller ones are empty."""
+        if size not in self.tables:
+            table = np.zeros((len(self.rows), size), np.uint8)
+            for i in np.flatnonzero(self.sizes >= size):
+                table[i] = _halved(self.rows[i], size)
+            self.tables[size] = table.view(np.uint64)
+        return self.tables[size]
 
     def may_link(self, size: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tuple[int, int]) -> np.ndarray:
-        apart = np.bitwise_count(self.base[a] ^ self.base[b]).sum(axis=1, dtype=np.int64)
-        ok = may_link(size[a], size[b], apart, needed)
-        smaller = np.minimum(self.sizes[a], self.sizes[b])
-        for i in np.flatnonzero(ok & (smaller > BITS // 8)):
-            x, y = (_halved(self.rows[k], smaller[i]) for k in (a[i], b[i]))
-            ok[i] = may_link(size[a[i]], size[b[i]], int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), needed)
+        smaller, ok = np.minimum(self.sizes[a], self.sizes[b]), np.zeros(len(a), bool)
+        for width in np.unique(smaller):
+            of = np.flatnonzero(smaller == width)
+            table = self._table(int(width))
+            apart = np.bitwise_count(table[a[of]] ^ table[b[of]]).sum(axis=1, dtype=np.int64)
+            ok[of] = may_link(size[a[of]], size[b[of]], apart, needed)
         return ok
 
 
@@ -270,13 +280,25 @@ def _candidates(needed: tuple[int, int]):
     def compared(table: pa.Table) -> pa.RecordBatch:
         name, size, comp = (table.column(c).to_numpy() for c in ("set_id", "n", "comp"))
         bits = Bitmaps(table.column("bits").to_pylist())
+        key = table.column("key").to_numpy()
+        leading = table.column("leading").combine_chunks()
+        own = np.repeat(np.arange(len(name)), leading.value_lengths().to_numpy())
+        keys = np.zeros((len(name), LEADING), np.int64)
+        known = np.zeros((len(name), LEADING), bool)
+        at = np.arange(len(own)) - np.repeat(np.flatnonzero(np.diff(own, prepend=-1)), np.unique(own, return_counts=True)[1])
+        keys[own, at], known[own, at] = leading.flatten().to_numpy(), True
         found = [np.zeros((0, 2), np.int64)]
         for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
             ok = comp[a] != comp[b]
             ok &= np.minimum(size[a], size[b]) * needed[0] >= np.maximum(size[a], size[b]) * needed[1]
             a, b = a[ok], b[ok]
             fits = bits.may_link(size, a, b, needed)
-            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])][fits])
+            a, b = a[fits], b[fits]
+            shared = (keys[a][:, :, None] == keys[b][:, None, :]) & known[a][:, :, None] & known[b][:, None, :]
+            least = np.where(shared.any(axis=2), keys[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            # A pair that shares a leading key is named in the list of the least of those; one that shares none, in all its lists.
+            once = (least == key[a]) | (least == np.iinfo(np.int64).max)
+            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])][once])
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -287,8 +309,8 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     """The documents' sets, and links that join every component of similar sets (not every link inside one).
 
     1. Each different set is listed under its keys. A list of one set is dropped.
-    2. In each list every set is paired with the smallest of about its size. What the whole sets confirm gives components,
-       so that a large group of near copies is joined by a few links each.
+    2. In each list every set is paired with the one of the smallest name of about its size, which is the same in most lists
+       of a group. What the whole sets confirm gives components, so that a large group of near copies is joined by a few links each.
     3. In lists that still hold several components, every pair across components that sizes and bitmaps allow is checked
        against the whole sets. Both filters only drop pairs that cannot link, and so no two similar sets stay apart.
 
@@ -318,8 +340,7 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     stars = None
     for shift in (0.0, 0.5):
         own = Window.partitionBy("key", F.floor(size + shift))
-        pairs = lists.select("set_id", F.min(F.struct("n", "set_id")).over(own).alias("first")).filter("set_id <> first.set_id")
-        pairs = pairs.select(F.col("set_id").alias("a"), F.col("first.set_id").alias("b"))
+        pairs = lists.select(F.col("set_id").alias("a"), F.min("set_id").over(own).alias("b")).filter("a <> b")
         stars = pairs if stars is None else stars.unionByName(pairs)
     stars = stars.distinct()
     links = verified(spark, docs, sets, stars, needed)
@@ -333,8 +354,10 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     held = staged(spark, held.filter("low <> high").select("key", "parts"), "mixed-lists")
     mixed_lists = named.join(held, "key")
     bits = sets.select("set_id", "bits").join(mixed_lists.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    blocks = mixed_lists.join(staged(spark, bits, "bitmaps"), "set_id")
-    blocks = in_parts(blocks, "key", "parts", "set_id", ["set_id", "n", "comp", "bits"])
+    leading = named.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADING).alias("leading"))
+    bits = staged(spark, bits.join(leading, "set_id"), "bitmaps")
+    blocks = mixed_lists.join(bits, "set_id")
+    blocks = in_parts(blocks, "key", "parts", "set_id", ["key", "set_id", "n", "comp", "bits", "leading"])
     candidates = blocks.mapInArrow(_candidates(needed), "a long, b long")
     return sets, links.unionByName(verified(spark, docs, sets, candidates.distinct(), needed))
 
