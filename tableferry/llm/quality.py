@@ -18,7 +18,7 @@ DIMS = 2048
 RANK = 64
 NEIGHBOURS = 15
 # The classifier is fitted on this many labelled rows, the first in a seeded order: its only bound.
-SAMPLE = 8192
+SAMPLE = 4096
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 # Rows of one product of documents and labelled vectors.
