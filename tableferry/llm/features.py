@@ -15,6 +15,8 @@ from tableferry.llm.store import sliced
 # Classes of characters: letters by case, digits, white space, line ends; every other sign by its code.
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _SIGN = 1, 2, 3, 4, 5, 8
 _KNOWN = 0x3000
+# Bins that count repeated words in texts where so many words repeat the one before.
+RESERVED, REPEATED_SHARE = 8, 0.25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +68,7 @@ def _add_grams(out: np.ndarray, symbols: np.ndarray, longest: int, base: int) ->
 
 
 def shape_counts(text: str, dims: int) -> np.ndarray:
-    """N-grams of character classes with runs drawn together, and how often a word repeats the one before it."""
+    """N-grams of character classes with runs drawn together, and how often words repeat the one before them, if many do."""
     out = np.zeros(dims)
     codes = code_points(text)
     if not len(codes):
@@ -74,6 +76,7 @@ def shape_counts(text: str, dims: int) -> np.ndarray:
     kinds = _class_of(codes)
     first = np.r_[True, kinds[1:] != kinds[:-1]]
     _add_grams(out, kinds[first], 5, 67)
+    out[:RESERVED] = 0
     space = (kinds == _SPACE) | (kinds == _LINE)
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
     if len(starts) > 1:
@@ -81,7 +84,9 @@ def shape_counts(text: str, dims: int) -> np.ndarray:
         signs = np.where(space, 0, codes.astype(np.uint64) + np.uint64(1))[starts[0] :]
         terms = signs * (signs + _MIX) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1))
         sums = np.add.reduceat(terms, starts - starts[0])
-        out[0] += np.count_nonzero(sums[1:] == sums[:-1])
+        repeats = np.count_nonzero(sums[1:] == sums[:-1])
+        if repeats >= REPEATED_SHARE * len(starts):
+            out[:RESERVED] = repeats
     return out
 
 
