@@ -337,12 +337,10 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
 
     # Sizes within one class are near enough to link. A second division, half a class off, joins groups that a border cuts.
     size = F.log(needed[0] / needed[1], F.col("n").cast("double"))
-    stars = None
-    for shift in (0.0, 0.5):
-        own = Window.partitionBy("key", F.floor(size + shift))
-        pairs = lists.select(F.col("set_id").alias("a"), F.min("set_id").over(own).alias("b")).filter("a <> b")
-        stars = pairs if stars is None else stars.unionByName(pairs)
-    stars = stars.distinct()
+    classes = [Window.partitionBy("key", F.floor(size + shift)) for shift in (0.0, 0.5)]
+    firsts = F.array(*[F.min("set_id").over(own) for own in classes])
+    stars = lists.select(F.col("set_id").alias("a"), firsts.alias("firsts"))
+    stars = stars.select("a", F.explode(F.array_distinct("firsts")).alias("b")).filter("a <> b").distinct()
     links = verified(spark, docs, sets, stars, needed)
     joined = components(spark, links)
 

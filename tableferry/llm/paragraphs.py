@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableferry.llm.components import components
-from tableferry.llm.shingles import SHINGLE, mixed, shingle_hashes, words_of
+from tableferry.llm.shingles import mixed, shingle_hashes, words_of
 from tableferry.llm.store import sliced, small, staged
 
 STRETCH, WINDOW = 26, 20

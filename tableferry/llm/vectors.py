@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
@@ -133,7 +132,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     hashed = usable(rows).select("uid", "label", "embedding").mapInArrow(_hashed, "uid long, label long, body binary, keys array<long>")
     hashed = staged(spark, hashed, "vector-keys")
     classes = hashed.groupBy("label", "body").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(spark, classes.select("uid", "label", "copies", F.xxhash64("label", "body").alias("name"), "body"), "different-vectors")
+    classes = staged(spark, classes.select("uid", "label", "copies", "body"), "different-vectors")
     entries = classes.select("uid", "copies").join(hashed.select("uid", "keys"), "uid")
     entries = staged(spark, entries.select("uid", "copies", F.posexplode("keys").alias("at", "key")), "buckets")
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -9,7 +9,7 @@ from tableferry.operators.export import export_records, export_result
 from tableferry.operators.jdbc_sink import column_types, drop_statement, key_statement, merge_statement, next_key_statement
 from tableferry.operators.mirror import content_type, mirror, mirror_errors, mirror_stats
 from tableferry.session import scratch_dir
-from tableferry.sources import documents, files, keyspace, messages, responses, sql
+from tableferry.sources import documents, keyspace, messages, responses, sql
 from tableferry.sources.jdbc import table_query
 from tableferry.streaming.watch import Watch
 
