@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableferry.llm.components import components
-from tableferry.llm.shingles import mixed, shingle_hashes, words_of
+from tableferry.llm.shingles import SHINGLE, mixed, shingle_hashes, words_of
 from tableferry.llm.store import sliced, small, staged
 
 STRETCH, WINDOW = 26, 20
@@ -63,24 +63,29 @@ def lines(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, first[long], last[long]
 
 
-def bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band keys of the paragraphs whose shingles follow each other from ``starts`` on."""
-    keys = np.zeros((len(starts), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        low = np.minimum.reduceat(mixed(shingles ^ _SHIFTS[i]) if i % ROWS == 0 else shingles * _TURNS[i] + _SHIFTS[i], starts)
-        keys[:, i // ROWS] = mixed(keys[:, i // ROWS] * np.uint64(3) + low)
-    return keys + np.arange(BANDS, dtype=np.uint64)
+def line_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First and last word of each long line, and its shingles, which are those of the text that lie inside it."""
+    words, first, last = lines(text)
+    own = shingle_hashes(words) if len(first) else words
+    return first, last, [own[a : b - SHINGLE + 1] for a, b in zip(first.tolist(), last.tolist())]
 
 
-def _line_sets(text: str | None) -> Iterator[tuple[int, int, np.ndarray]]:
-    words, first, last = lines(text)
-    for a, b in zip(first, last):
-        yield int(a), int(b), np.unique(shingle_hashes(words[a:b]))
+def names_of(shingles: list[np.ndarray]) -> np.ndarray:
+    """One number for the shingles of each line, in any order."""
+    sizes = np.array([len(s) for s in shingles], np.int64)
+    sums = np.add.reduceat(np.concatenate(shingles), np.r_[0, np.cumsum(sizes)[:-1]])
+    return mixed(sums + sizes.astype(np.uint64))
 
 
-def _name(found: np.ndarray) -> np.ndarray:
-    """One number for a set of shingles."""
-    return mixed(found.sum(keepdims=True, dtype=np.uint64) + np.uint64(len(found)))[0]
+def bands(shingles: list[np.ndarray]) -> np.ndarray:
+    """Band keys of each line, over the lines of many texts at once."""
+    starts = np.r_[0, np.cumsum([len(s) for s in shingles])[:-1]].astype(np.int64)
+    flat = np.concatenate(shingles)
+    keys = np.zeros((len(starts), BANDS), np.uint64)
+    for i in range(BANDS * ROWS):
+        low = np.minimum.reduceat(flat * _TURNS[i] + _SHIFTS[i], starts)
+        keys[:, i // ROWS] = mixed(keys[:, i // ROWS] * np.uint64(3) + low)
+    return keys + np.arange(BANDS, dtype=np.uint64)
 
 
 def _signed(values) -> pa.Array:
@@ -113,25 +118,19 @@ def _banded(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, firsts, lasts, names, keys = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words, first, last = lines(text)
-                if not len(first):
-                    continue
-                sets = [np.unique(shingle_hashes(words[a:b])) for a, b in zip(first, last)]
-                ids.extend([i] * len(sets))
-                firsts.extend(first)
-                lasts.extend(last)
-                names.extend(map(_name, sets))
-                keys.append(bands(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]))
-            flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.uint64)
+            found = [line_shingles(t) for t in batch.column(1).to_pylist()]
+            shingles = [s for *_, own in found for s in own]
+            if not shingles:
+                continue
+            ids = np.repeat(np.arange(len(found)), [len(first) for first, *_ in found])
+            firsts, lasts = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(ids, pa.int32())),
-                    pa.array(np.array(firsts, np.int32)),
-                    pa.array(np.array(lasts, np.int32)),
-                    _signed(names),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), _signed(flat)),
+                    batch.column(0).take(pa.array(ids)),
+                    pa.array(firsts),
+                    pa.array(lasts),
+                    _signed(names_of(shingles)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), _signed(bands(shingles).ravel())),
                 ],
                 ["doc_id", "first", "last", "class", "keys"],
             )
@@ -156,8 +155,10 @@ def _confirmed(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataF
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [s for text in batch.column(0).to_pylist() for _, _, s in _line_sets(text)]
-            yield pa.RecordBatch.from_arrays([_signed([_name(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "body"])
+            shingles = [s for text in batch.column(0).to_pylist() for s in line_shingles(text)[2]]
+            if shingles:
+                sets = pa.array([np.unique(s).tobytes() for s in shingles], pa.binary())
+                yield pa.RecordBatch.from_arrays([_signed(names_of(shingles)), sets], ["class", "body"])
 
     whole = docs.join(small(spark, holders.select("doc_id").distinct(), holders), "doc_id", "left_semi")
     whole = whole.select("text").mapInArrow(bodies, "class long, body binary")
