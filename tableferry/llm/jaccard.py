@@ -27,7 +27,7 @@ RANKED = 1 << 18
 TALLY = 4_000_000
 BITS, MOST_BITS = 512, 1 << 17
 # Of its keys each set carries so many, the smallest, by which a pair that meets in several lists is told in the first of them.
-LEADING = 8
+LEADING = 6
 # Members of a list that are compared with each other in one task; longer lists are cut into pairs of such parts.
 PART = 2048
 
@@ -345,14 +345,16 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     joined = components(spark, links)
 
     named = lists.select("key", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = staged(spark, named.select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp")), "named-lists")
-    held = named.groupBy("key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")
-    )
-    held = staged(spark, held.filter("low <> high").select("key", "parts"), "mixed-lists")
-    mixed_lists = named.join(held, "key")
+    comp = F.coalesce("component", "set_id")
+    # Sets that can link are of one class of size or of neighbouring ones; a set stays if those hold another component.
+    about = Window.partitionBy("key").orderBy("class").rangeBetween(-1, 1)
+    named = named.select("key", "set_id", "n", comp.alias("comp"), F.floor(size).cast("int").alias("class"))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / PART).cast("int")
+    apart = named.withColumn("low", F.min("comp").over(about)).withColumn("high", F.max("comp").over(about)).withColumn("parts", parts)
+    mixed_lists = apart.filter("low <> high").select("key", "set_id", "n", "comp", "parts")
+    mixed_lists = staged(spark, mixed_lists, "mixed-lists")
     bits = sets.select("set_id", "bits").join(mixed_lists.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    leading = named.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADING).alias("leading"))
+    leading = mixed_lists.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADING).alias("leading"))
     bits = staged(spark, bits.join(leading, "set_id"), "bitmaps")
     blocks = mixed_lists.join(bits, "set_id")
     blocks = in_parts(blocks, "key", "parts", "set_id", ["key", "set_id", "n", "comp", "bits", "leading"])
