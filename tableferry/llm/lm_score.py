@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,82 +15,115 @@ from tableferry.llm import tokens
 from tableferry.llm.store import sliced, small, staged
 
 IDS = 1 << 16
-PAIRS = 1 << 18
 START = IDS - 1
 # Weight of a pair's count against its second token's share, and what is added to each token's count.
 MIX, ADDED = 16.0, 0.1
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+# A chunk of documents ends with the one that brings its tokens to this many; a document counts as EACH more.
+CHUNK_TOKENS, EACH = 1 << 20, 16
 
 
 @dataclass
-class Bigrams:
-    """Token and pair counts of one text collection; pairs are counted under a hash of both tokens."""
+class Unigrams:
+    """Counts of the tokens of one text collection, and of the tokens before them."""
 
     single: np.ndarray
     first: np.ndarray
-    pairs: np.ndarray
     vocabulary: int
 
-    def loss(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Negative logarithm of each token's probability after the one before it."""
+    def loss(self, before: np.ndarray, ids: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Negative logarithm of each token's probability after the one before it; ``pair`` is how often both occur."""
         share = (self.single[ids] + ADDED) / (self.single.sum() + ADDED * self.vocabulary)
-        seen = self.first[before]
-        # Other pairs fall on the same place: no pair occurs more often than either of its tokens does.
-        pair = np.minimum(self.pairs[places(before, ids)], np.minimum(seen, self.single[ids]))
-        return -np.log((pair + MIX * share) / (seen + MIX))
-
-
-def places(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    code = (before.astype(np.uint64) << np.uint64(16)) | ids.astype(np.uint64)
-    return ((code * _STEP) >> np.uint64(64 - 18)).astype(np.int64)
+        return -np.log((pair + MIX * share) / (self.first[before] + MIX))
 
 
 def _before(ids: np.ndarray) -> np.ndarray:
     return np.r_[np.uint16(START), ids[:-1]].astype(np.uint16)
 
 
-def models(spark: SparkSession, encoded: DataFrame) -> tuple[Bigrams, Bigrams]:
-    """The target's and the background's model, from all tokens of all documents.
+def pairs_of(rows: list[np.ndarray]) -> np.ndarray:
+    """Each token of each text and the one before it, as one number."""
+    ids, before = np.concatenate(rows), np.concatenate([_before(r) if len(r) else r for r in rows])
+    return (before.astype(np.uint32) << np.uint32(16)) | ids
+
+
+def _signed(codes: np.ndarray) -> pa.Array:
+    return pa.array(codes.view(np.int32))
 
-    Each task counts into arrays of fixed size, which are added over the tasks by place; 2 * (2 * 65,536 + 262,144) sums at most
-    reach the driver. Both models count the same ids under the same hash, with the same smoothing: they differ in text only.
+
+def _encoded(spark: SparkSession, flagged: DataFrame, ranks: str, chunk_tokens: int) -> DataFrame:
+    """The documents' ids by chunk and, beside them, the chunk's different pairs with their counts; written once.
+
+    A chunk's rows have ``doc_id, target, ids``, its pairs ``pair, n, m``: how often the pair occurs in all texts and in the target's.
     """
+    names = ["chunk", "doc_id", "target", "ids", "pair", "n", "m"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        waiting: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            every = [r for own in waiting for r in own]
+            if not sum(map(len, every)):
+                return
+            codes, n = np.unique(pairs_of(every), return_counts=True)
+            m = np.zeros(len(codes), np.int64)
+            if sum(map(len, waiting[1])):
+                own, times = np.unique(pairs_of(waiting[1]), return_counts=True)
+                m[np.searchsorted(codes, own)] = times
+            for at in range(0, len(codes), 100_000):
+                part = slice(at, at + 100_000)
+                size = len(codes[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, chunk)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary()),
+                     _signed(codes[part]), pa.array(n[part]), pa.array(m[part])], names
+                )
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2 * IDS + PAIRS), np.int64)
         for batch in sliced(batches):
-            chosen = np.array(batch.column("target").to_pylist(), bool)
-            rows = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            for kind in (0, 1):
-                own = [r for r, c in zip(rows, chosen) if len(r) and (c or not kind)]
-                if not own:
-                    continue
-                ids, before = np.concatenate(own), np.concatenate([_before(r) for r in own])
-                sums[kind, :IDS] += np.bincount(ids, minlength=IDS)
-                sums[kind, IDS : 2 * IDS] += np.bincount(before, minlength=IDS)
-                sums[kind, 2 * IDS :] += np.bincount(places(before, ids), minlength=PAIRS)
-        kind, place = np.nonzero(sums)
-        for at in range(0, len(kind), 100_000):
-            k, p = kind[at : at + 100_000], place[at : at + 100_000]
+            chosen = batch.column("target").to_pylist()
+            rows = [tokens.encode(t, ranks) for t in batch.column("text").to_pylist()]
+            own = []
+            for ids, target in zip(rows, chosen):
+                own.append(chunk)
+                waiting[target].append(ids)
+                held += len(ids) + EACH
+                if held >= chunk_tokens:
+                    yield from counted()
+                    waiting, chunk, held = ([], []), chunk + 1, 0
+            size = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((k * (2 * IDS + PAIRS) + p).astype(np.int32)), pa.array(sums[k, p])], ["place", "n"]
-            )
-
-    sums = encoded.select("target", "ids").mapInArrow(tally, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(2 * (2 * IDS + PAIRS))
-    flat[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
-    both = flat.reshape(2, -1)
-    vocabulary = max(1, int(np.count_nonzero(both[0, :IDS])))
-    background, target = (Bigrams(x[:IDS], x[IDS : 2 * IDS], x[2 * IDS :], vocabulary) for x in both)
+                [pa.array(own, pa.int64()), batch.column("doc_id"), batch.column("target"), pa.array([r.tobytes() for r in rows], pa.binary()),
+                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names
+            )
+        yield from counted()
+
+    schema = "chunk long, doc_id long, target boolean, ids binary, pair int, n long, m long"
+    return staged(spark, flagged.mapInArrow(encode, schema), "encoded")
+
+
+def _unigrams(counts: DataFrame) -> tuple[Unigrams, Unigrams]:
+    """The target's and the background's tokens, as sums over all pairs: 2 * 65,536 rows at most reach the driver."""
+    flat = np.zeros((2, 2, IDS))
+    for k, place in enumerate((F.col("pair").bitwiseAND(IDS - 1), F.shiftrightunsigned("pair", 16))):
+        sums = counts.groupBy(place.alias("id")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+        at = sums.column("id").to_numpy()
+        flat[0, k, at], flat[1, k, at] = sums.column("n").to_numpy(), sums.column("m").to_numpy()
+    vocabulary = max(1, int(np.count_nonzero(flat[0, 0])))
+    background, target = (Unigrams(x[0], x[1], vocabulary) for x in flat)
     return target, background
 
 
-def scores(spark: SparkSession, docs: DataFrame, targets: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def scores(
+    spark: SparkSession, docs: DataFrame, targets: DataFrame, ranks_path: str | None = None, chunk_tokens: int = CHUNK_TOKENS
+) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, target_loss, background_loss, score``.
 
     ``targets`` names the documents (doc_id) whose text is the target; the background is the text of all documents. Losses are
     means per token in nats, and the score is the target's less the background's: the lower, the more a text is like the
-    target. Both models share the vocabulary of a public tokenizer, its order of two, smoothing and pair hash.
+    target. Both models share the vocabulary of a public tokenizer, its order of two and smoothing.
+
+    Every pair of tokens is counted by itself, and the counts are a table that is never gathered: chunks of documents name their
+    different pairs, which are joined to it, and each chunk is scored where its counts come together. However frequent, a pair
+    has one row per chunk.
 
     Null and empty texts have no tokens and score 0, as does everything if there is no target text. A null doc_id is never a
     target; rows that repeat a doc_id are scored each by its own text. Empty tables give no rows; other columns are not read.
@@ -98,33 +132,33 @@ def scores(spark: SparkSession, docs: DataFrame, targets: DataFrame, ranks_path:
     named = staged(spark, targets.select("doc_id").filter("doc_id is not null").distinct(), "targets")
     named = small(spark, named.withColumn("target", F.lit(True)), named)
     flagged = docs.select("doc_id", "text").join(named, "doc_id", "left")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ids = [tokens.encode(t, ranks).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
-
     flagged = flagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("target", F.lit(False)).alias("target"), "text")
-    encoded = staged(spark, flagged.mapInArrow(encode, "doc_id long, target boolean, ids binary"), "encoded")
-    both = spark.sparkContext.broadcast(models(spark, encoded))
+    encoded = _encoded(spark, flagged, ranks, chunk_tokens)
+    named_pairs = encoded.filter("pair is not null")
+    counts = staged(spark, named_pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "pair-counts")
+    both = spark.sparkContext.broadcast(_unigrams(counts))
 
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def losses(documents: pa.Table, known: pa.Table) -> pa.Table:
         target, background = both.value
-        learned = target.single.sum() > 0
-        for batch in sliced(batches):
-            out = []
-            for row in batch.column("ids").to_pylist():
-                ids = np.frombuffer(row, "<u2")
-                before = _before(ids) if len(ids) else ids
-                near = float(target.loss(before, ids).mean()) if learned and len(ids) else 0.0
-                far = float(background.loss(before, ids).mean()) if learned and len(ids) else 0.0
-                out.append((len(ids), near, far, near - far))
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
+        rows = [np.frombuffer(r, "<u2") for r in documents.column("ids").to_pylist()]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        near, far = np.zeros(len(rows)), np.zeros(len(rows))
+        if sizes.sum() and target.single.sum() > 0:
+            codes = pairs_of(rows)
+            pair = known.column("pair").to_numpy().view(np.uint32)
+            order = np.argsort(pair)
+            at = order[np.searchsorted(pair, codes, sorter=order)]
+            ids, before = (codes & np.uint32(IDS - 1)).astype(np.int64), (codes >> np.uint32(16)).astype(np.int64)
+            some = np.flatnonzero(sizes)
+            starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            near[some] = np.add.reduceat(target.loss(before, ids, known.column("m").to_numpy()[at]), starts) / sizes[some]
+            far[some] = np.add.reduceat(background.loss(before, ids, known.column("n").to_numpy()[at]), starts) / sizes[some]
+        return pa.table(
+            [documents.column("doc_id"), pa.array(sizes), pa.array(near), pa.array(far), pa.array(near - far)],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    known = named_pairs.select(F.col("chunk").alias("asked_by"), "pair").join(counts, "pair").select("asked_by", "pair", "n", "m")
+    documents = encoded.filter("pair is null").select("chunk", "doc_id", "ids")
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return encoded.select("doc_id", "ids").mapInArrow(losses, schema)
+    return documents.groupBy("chunk").cogroup(known.groupBy("asked_by")).applyInArrow(losses, schema)

@@ -137,3 +137,26 @@ def test_lm_scores_against_the_formula(spark, docs):
     assert got[2]["score"] > 0 > got[0]["score"]
     assert {r["score"] for r in lm_score.scores(spark, docs(rows), good.limit(0)).collect()} == {0.0}
     assert lm_score.scores(spark, docs([]), good).count() == 0
+
+
+def test_lm_counts_every_pair_by_itself(spark, docs):
+    """In a table of fixed size many of these pairs would share a place."""
+    rng = np.random.default_rng(5)
+    words = sorted(w[1:] for w in TOKENIZER.get_vocab() if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha())
+    rows = [(i, " ".join(rng.choice(words, 2500))) for i in range(120)]
+    good = spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id bigint")
+    got = {r["doc_id"]: r for r in lm_score.scores(spark, docs(rows).repartition(3), good, chunk_tokens=50_000).collect()}
+    ids = [np.array([lm_score.START, *TOKENIZER.encode(t, add_special_tokens=False).ids]) for _, t in rows]
+    codes = [x[:-1] << 16 | x[1:] for x in ids]
+    assert len(np.unique(np.concatenate(codes))) > 200_000
+    vocabulary = len(np.unique(np.concatenate([x[1:] for x in ids])))
+    for kind, own in (("target_loss", codes[::3]), ("background_loss", codes)):
+        own = np.concatenate(own)
+        single, first = np.bincount(own & 65535, minlength=1 << 16), np.bincount(own >> 16, minlength=1 << 16)
+        pairs, times = np.unique(own, return_counts=True)
+        for i, c in enumerate(codes):
+            at = np.minimum(np.searchsorted(pairs, c), len(pairs) - 1)
+            n = np.where(pairs[at] == c, times[at], 0)
+            share = (single[c & 65535] + lm_score.ADDED) / (single.sum() + lm_score.ADDED * vocabulary)
+            want = -np.log((n + lm_score.MIX * share) / (first[c >> 16] + lm_score.MIX)).mean()
+            assert got[i][kind] == pytest.approx(want, abs=1e-9)
