@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
+from tableferry.llm.jaccard import Bitmaps, bitmap
 from tableferry.llm.shingles import SHINGLE, mixed, shingle_hashes, words_of
 from tableferry.llm.store import sliced, small, staged
 
@@ -24,6 +26,8 @@ STRETCH, WINDOW = 26, 20
 # agrees in all its shingles and has one band of all of them.
 BANDS, ROWS = 10, 3
 NEEDED = (100, 80)
+# Lines of a band that are compared with each other in one task; longer bands are cut into pairs of such parts.
+PART = 2048
 _RANDOM = np.random.default_rng(31)
 _TURNS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64)
@@ -114,7 +118,7 @@ def _copied(docs: DataFrame) -> DataFrame:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """Lines that share a band with a line of another set or document."""
+    """Lines that share a band with a line of another document; ``key`` is the band if it holds different lines."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -140,16 +144,16 @@ def _banded(docs: DataFrame) -> DataFrame:
     band = Window.partitionBy("key")
     entries = (
         entries.withColumn("leader", F.min("class").over(band))
+        .withColumn("key", F.when(F.col("leader") != F.max("class").over(band), F.col("key")))
         .withColumn("low", F.min("doc_id").over(band))
         .withColumn("high", F.max("doc_id").over(band))
     )
-    return entries.filter("low <> high").select("doc_id", "first", "last", "class", "leader")
+    return entries.filter("low <> high").select("doc_id", "first", "last", "class", "leader", "key")
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataFrame:
-    """Links between different lines of one band that their whole shingle sets confirm."""
-    pairs = staged(spark, banded.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct(), "line-pairs")
-    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _bodies(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataFrame:
+    """The whole shingle sets of all lines that share a band with a different line: ``class, body, n, bits``."""
+    names = banded.filter("key is not null").select("class").distinct()
     holders = banded.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(names, "class", "left_semi")
     holders = staged(spark, holders, "line-holders")
 
@@ -157,12 +161,24 @@ def _confirmed(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataF
         for batch in sliced(batches):
             shingles = [s for text in batch.column(0).to_pylist() for s in line_shingles(text)[2]]
             if shingles:
-                sets = pa.array([np.unique(s).tobytes() for s in shingles], pa.binary())
-                yield pa.RecordBatch.from_arrays([_signed(names_of(shingles)), sets], ["class", "body"])
+                sets = [np.unique(s) for s in shingles]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(names_of(shingles)),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(map(bitmap, sets), pa.binary()),
+                    ],
+                    ["class", "body", "n", "bits"],
+                )
 
     whole = docs.join(small(spark, holders.select("doc_id").distinct(), holders), "doc_id", "left_semi")
-    whole = whole.select("text").mapInArrow(bodies, "class long, body binary")
-    whole = staged(spark, whole.join(holders.select("class"), "class", "left_semi").dropDuplicates(["class"]), "line-bodies")
+    whole = whole.select("text").mapInArrow(bodies, "class long, body binary, n long, bits binary")
+    return staged(spark, whole.join(holders.select("class"), "class", "left_semi").dropDuplicates(["class"]), "line-bodies")
+
+
+def _confirmed(spark: SparkSession, whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (columns ``a, b``), those that their whole shingle sets confirm."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -179,6 +195,35 @@ def _confirmed(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataF
     return staged(spark, joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "line-links")
 
 
+def _across(spark: SparkSession, banded: DataFrame, whole: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of lines of one band that are of different components and that sizes and bitmaps allow to be similar."""
+    lists = banded.filter("key is not null").select("key", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
+    band = Window.partitionBy("key")
+    lists = lists.select("key", "class", F.coalesce("component", "class").alias("comp"))
+    lists = (
+        lists.withColumn("low", F.min("comp").over(band))
+        .withColumn("high", F.max("comp").over(band))
+        .withColumn("parts", F.ceil(F.count(F.lit(1)).over(band) / PART).cast("int"))
+    )
+    lists = staged(spark, lists.filter("low <> high").select("key", "class", "comp", "parts"), "mixed-bands")
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        name, size, comp = (table.column(c).to_numpy() for c in ("class", "n", "comp"))
+        bits = Bitmaps(table.column("bits").to_pylist())
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
+            apart = comp[a] != comp[b]
+            a, b = a[apart], b[apart]
+            fits = bits.may_link(size, a, b, NEEDED)
+            a, b = a[fits], b[fits]
+            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])])
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    blocks = in_parts(lists.join(whole.select("class", "n", "bits"), "class"), "key", "parts", "class", ["class", "n", "comp", "bits"])
+    return staged(spark, blocks.mapInArrow(whole_blocks(compared), "a long, b long").distinct(), "pairs-across")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: ``doc_id, first_word, last_word, n_words, keep_doc_id, kept``.
 
@@ -189,12 +234,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents without such a passage have no row, nor have null and empty texts, rows with a null doc_id, and passages that
     repeat only inside one document (rows with the same doc_id are one document). In a band each line is compared with one
-    leader, so that a group of copies costs one pair per line. An empty table gives no rows, other columns are not read.
+    leader first, so that a group of copies costs one pair per line, and then with all lines that these links leave in another
+    component. An empty table gives no rows, other columns are not read.
     """
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").filter("doc_id is not null and text is not null")
     copied = staged(spark, _copied(docs), "copied-stretches")
     banded = staged(spark, _banded(docs).distinct(), "banded-lines")
-    joined = components(spark, _confirmed(spark, docs, banded))
+    whole = _bodies(spark, docs, banded)
+    stars = banded.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
+    links = _confirmed(spark, whole, stars)
+    rest = _confirmed(spark, whole, _across(spark, banded, whole, components(spark, links)))
+    joined = components(spark, links.unionByName(rest))
     alike = banded.select("doc_id", "first", "last", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
     alike = staged(spark, alike.select("doc_id", "first", "last", F.coalesce("component", "class").alias("component")), "alike-lines")
     over = alike.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))

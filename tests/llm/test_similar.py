@@ -160,6 +160,40 @@ def test_repeated_passages(spark, docs):
     assert paragraphs.repeated_passages(spark, docs([])).count() == 0
 
 
+@pytest.mark.parametrize("part", [2048, 7])
+def test_lines_meet_without_the_leader_of_their_band(spark, docs, monkeypatch, part):
+    """Variants of one line, of which few are similar enough; the pairs planted among them differ in the middle word."""
+    monkeypatch.setattr(paragraphs, "PART", part)
+    rng = random.Random(12)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        own = list(base)
+        for at in (rng.randrange(4, 20), rng.randrange(40, 56)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append(own)
+    for own in rows[:40]:
+        twin = list(own)
+        twin[30] = f"y{rng.randrange(10**6)}"
+        rows.append(twin)
+    rows = [(i, " ".join(own)) for i, own in enumerate(rows)]
+    df = docs(rows)
+    banded = paragraphs.staged(spark, paragraphs._banded(df.select("doc_id", "text")), "banded-lines")
+    whole = paragraphs._bodies(spark, df.select("doc_id", "text"), banded)
+    stars = banded.filter("class <> leader").selectExpr("class as a", "leader as b").distinct()
+    links = paragraphs._confirmed(spark, whole, stars)
+    rest = paragraphs._confirmed(spark, whole, paragraphs._across(spark, banded, whole, components(spark, links)))
+    found = {r["node"]: r["component"] for r in components(spark, links.unionByName(rest)).collect()}
+    first = {r["node"]: r["component"] for r in components(spark, links).collect()}
+    name = {i: int(paragraphs.names_of(paragraphs.line_shingles(t)[2]).view(np.int64)[0]) for i, t in rows}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    keys = {i: set(paragraphs.bands(paragraphs.line_shingles(t)[2])[0].tolist()) for i, t in rows}
+    linked = [(i, j) for i, j in linked if keys[i] & keys[j]]
+    together = [sum(c.get(name[i], i) == c.get(name[j], -1 - j) for i, j in linked) for c in (first, found)]
+    assert len(linked) >= 35 and together[0] < len(linked) == together[1]
+
+
 def test_every_run_of_fifty_words_shares_a_stretch():
     rng = np.random.default_rng(2)
     for _ in range(200):
