@@ -7,6 +7,7 @@ paragraph brings its own paragraphs along: every run of ``WINDOW + STRETCH + 4``
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,13 +225,42 @@ def _across(spark: SparkSession, banded: DataFrame, whole: DataFrame, joined: Da
     return staged(spark, blocks.mapInArrow(whole_blocks(compared), "a long, b long").distinct(), "pairs-across")
 
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's passages; the words of those kept elsewhere (``other``) are cut out of those kept here (``own``)."""
+    for batch in sliced(batches):
+        out = []
+        for doc_id, own, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "other"))):
+            starts, ends = [], []
+            for x in other:
+                first, last = x["first_word"], x["last_word"]
+                out.append((doc_id, first, last, x["low"]))
+                if ends and first <= ends[-1]:
+                    ends[-1] = max(ends[-1], last)
+                else:
+                    starts.append(first)
+                    ends.append(last)
+            for x in own:
+                at, last = x["first_word"], x["last_word"]
+                inside = range(bisect_right(ends, at), bisect_left(starts, last))
+                for end, after in [*((starts[k], ends[k]) for k in inside), (last, last)]:
+                    # What is left of a kept passage stays, whether it has a row or not.
+                    if end - at >= STRETCH:
+                        out.append((doc_id, at, end, doc_id))
+                    at = after
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "first_word", "last_word", "keep_doc_id"])
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: ``doc_id, first_word, last_word, n_words, keep_doc_id, kept``.
 
-    A passage is a maximal run of words covered by paragraphs that also stand in another document: stretches word by word,
-    lines of at least 26 words with a Jaccard similarity of 0.8 or more on shingles of five words. It covers words ``first_word``
-    up to, not including, ``last_word``. Similar lines form components; ``keep_doc_id`` is the smallest document that holds one of
-    the paragraphs' component, and only there the passage is ``kept``.
+    A passage is a run of words covered by paragraphs that also stand in another document: stretches word by word, lines of at
+    least 26 words with a Jaccard similarity of 0.8 or more on shingles of five words. It covers words ``first_word`` up to, not
+    including, ``last_word``. Similar lines form components; ``keep_doc_id`` is the smallest document that holds one of the
+    paragraph's component, and only there it is ``kept``. Paragraphs that touch or overlap are one passage if they have the same
+    ``keep_doc_id``. Words that a smaller document keeps are cut out of a kept passage, and what is left of it has a row if it is at
+    least 26 words: without the passages that are not kept, each repeated stretch stays in one document. Passages that are not
+    kept may overlap if different documents keep them.
 
     Documents without such a passage have no row, nor have null and empty texts, rows with a null doc_id, and passages that
     repeat only inside one document (rows with the same doc_id are one document). In a band each line is compared with one
@@ -250,14 +280,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     over = alike.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     over = staged(spark, over.filter("low <> high").select("component", "low"), "line-components")
     spans = copied.select("doc_id", "first", "last", "low").unionByName(alike.join(over, "component").select("doc_id", "first", "last", "low"))
-    inside = Window.partitionBy("doc_id").orderBy("first", "last")
+    inside = Window.partitionBy("doc_id", "low").orderBy("first", "last")
     reach = F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("opens", F.coalesce(F.col("first") > reach, F.lit(True)).cast("int"))
+    spans = spans.repartition("doc_id").withColumn("opens", F.coalesce(F.col("first") > reach, F.lit(True)).cast("int"))
     spans = spans.withColumn("passage", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc_id", "passage").agg(
-        F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"), F.min("low").alias("keep_doc_id")
-    )
-    return merged.select(
+    merged = spans.groupBy("doc_id", "low", "passage").agg(F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"))
+    own = F.when(F.col("doc_id") == F.col("low"), F.struct("first_word", "last_word"))
+    other = F.when(F.col("doc_id") != F.col("low"), F.struct("first_word", "last_word", "low"))
+    whole = merged.groupBy("doc_id").agg(F.collect_list(own).alias("own"), F.sort_array(F.collect_list(other)).alias("other"))
+    passages = whole.mapInArrow(_passages, "doc_id long, first_word long, last_word long, keep_doc_id long")
+    return passages.select(
         "doc_id", "first_word", "last_word", (F.col("last_word") - F.col("first_word")).alias("n_words"), "keep_doc_id",
         (F.col("doc_id") == F.col("keep_doc_id")).alias("kept"),
     )

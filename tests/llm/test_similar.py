@@ -160,6 +160,32 @@ def test_repeated_passages(spark, docs):
     assert paragraphs.repeated_passages(spark, docs([])).count() == 0
 
 
+def test_every_repeated_paragraph_is_kept_once(spark, docs):
+    """A header of one document opens two others that share what follows; a stretch runs over from a line into the next."""
+    rng = random.Random(21)
+
+    def prose(n):
+        return " ".join(f"k{rng.randrange(10**7)}" for _ in range(n))
+
+    head, body, tail = prose(30), prose(60), prose(70)
+    rows = [
+        (1, head + "\n" + prose(40)), (5, head + "\n" + body), (9, head + "\n" + body), (11, body + " " + tail), (12, prose(9) + "\n" + body + " " + tail),
+    ]
+    got = paragraphs.repeated_passages(spark, docs(rows)).collect()
+    texts = {i: t.split() for i, t in rows}
+    stays = {i: [True] * len(t) for i, t in texts.items()}
+    kept = {i: [False] * len(t) for i, t in texts.items()}
+    for r in got:
+        for at in range(r["first_word"], r["last_word"]):
+            kept[r["doc_id"]][at] |= r["kept"]
+            stays[r["doc_id"]][at] &= r["kept"]
+    assert all(s or not k for i in texts for s, k in zip(stays[i], kept[i]))
+    left = [" ".join(w for w, s in zip(texts[i], stays[i]) if s) for i in texts]
+    assert [sum(p in t for t in left) for p in (head, body, tail)] == [1, 1, 1]
+    spans = {(r["doc_id"], r["first_word"], r["last_word"], r["keep_doc_id"]) for r in got}
+    assert {(1, 0, 30, 1), (5, 0, 30, 1), (5, 30, 90, 5), (9, 0, 30, 1)} <= spans
+
+
 @pytest.mark.parametrize("part", [2048, 7])
 def test_lines_meet_without_the_leader_of_their_band(spark, docs, monkeypatch, part):
     """Variants of one line, of which few are similar enough; the pairs planted among them differ in the middle word."""
