@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import exact, jaccard, langid, lm_score, mixing, packing, pages, paragraphs, quality, vectors
+from tableferry.llm import alignment, exact, jaccard, langid, lm_score, mixing, packing, pages, paragraphs, quality, vectors
 from tableferry.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1")
     return lm_score.scores(spark, table(spark, sf_dir, "documents"), good)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(spark, table(spark, sf_dir, "documents"))

@@ -8,11 +8,13 @@ from functools import cache
 import numpy as np
 
 END = 0
+# The added token of ``byte_bpe_50k.json``. By default its string in a text is the token, and splits the text.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 @cache
 def vocabulary(ranks_path: str):
-    """The encoder of one worker; strings of special tokens are ordinary text to it."""
+    """The encoder of one worker; it knows no added tokens."""
     import public_tokenizers
     import tiktoken
 
@@ -30,9 +32,18 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def ordinary(text: str, ranks_path: str) -> list[int]:
+    """The ids of a whole text in which the strings of added tokens are plain text."""
+    return vocabulary(ranks_path).encode_ordinary(text)
+
+
 def encode(text: str | None, ranks_path: str, end: bool = False) -> np.ndarray:
-    """The 16-bit ids of a whole text, with the closing id if asked for."""
-    ids = vocabulary(ranks_path).encode_ordinary(text or "")
+    """The 16-bit ids of a whole text as the tokenizer gives them by default, with the closing id if asked for."""
+    ids: list[int] = []
+    for i, part in enumerate((text or "").split(ADDED)):
+        if i:
+            ids.append(ADDED_ID)
+        ids += ordinary(part, ranks_path)
     if end:
         ids.append(END)
     return np.array(ids, "<u2")
