@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import alignment, exact, jaccard, langid, lm_score, mixing, packing, pages, paragraphs, prefix_trie, quality, vectors
+from tableferry.llm import alignment, exact, jaccard, langid, lm_score, mixing, packing, pages, paragraphs, prefix_trie, quality, topk, vectors
 from tableferry.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_exact_top_k"] = topk.ORACLE
