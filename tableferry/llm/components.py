@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +31,16 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter("label <> old").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
+
+
+def reachable(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """The smallest row that each row reaches over the pairs."""
+    low = np.arange(count)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
-from tableferry.llm.components import components
+from tableferry.llm.components import components, reachable
 from tableferry.llm.shingles import mixed, shingle_set
 from tableferry.llm.store import sliced, small, staged
 
@@ -180,14 +180,19 @@ class Bitmaps:
             self.tables[size] = table.view(np.uint64)
         return self.tables[size]
 
-    def may_link(self, size: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tuple[int, int]) -> np.ndarray:
-        smaller, ok = np.minimum(self.sizes[a], self.sizes[b]), np.zeros(len(a), bool)
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many places the bitmaps differ: no more than the sets do."""
+        smaller, apart = np.minimum(self.sizes[a], self.sizes[b]), np.zeros(len(a), np.int64)
         for width in np.unique(smaller):
-            of = np.flatnonzero(smaller == width)
+            every = np.flatnonzero(smaller == width)
             table = self._table(int(width))
-            apart = np.bitwise_count(table[a[of]] ^ table[b[of]]).sum(axis=1, dtype=np.int64)
-            ok[of] = may_link(size[a[of]], size[b[of]], apart, needed)
-        return ok
+            for at in range(0, len(every), 1 << 16):
+                of = every[at : at + (1 << 16)]
+                apart[of] = np.bitwise_count(table[a[of]] ^ table[b[of]]).sum(axis=1, dtype=np.int64)
+        return apart
+
+    def may_link(self, size: np.ndarray, a: np.ndarray, b: np.ndarray, needed: tuple[int, int]) -> np.ndarray:
+        return may_link(size[a], size[b], self.apart(a, b), needed)
 
 
 def set_name(found: np.ndarray) -> int:
@@ -195,21 +200,24 @@ def set_name(found: np.ndarray) -> int:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int]) -> DataFrame:
-    """Every document's set: ``doc_id, set_id, n, keys, bits``, written once."""
+    """Every document's set: ``doc_id, set_id, n, keys, bits``, written once; a set's copies in one task share one row's keys and bits."""
     frequent, mean = _frequent(spark, docs)
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], order, boundary(mean, needed)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, light = shared.value
+        seen: set[int] = set()
         for batch in sliced(batches):
             names, sizes, keys, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text)
-                names.append(set_name(found))
+                names.append(name := set_name(found))
                 sizes.append(len(found))
-                keys.append(set_keys(in_order(found, known, rank), light, needed).view(np.int64))
-                bits.append(bitmap(found))
+                again = name in seen
+                seen.add(name)
+                keys.append(found[:0].view(np.int64) if again else set_keys(in_order(found, known, rank), light, needed).view(np.int64))
+                bits.append(None if again else bitmap(found))
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -274,21 +282,41 @@ def verified(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
     return staged(spark, joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def _candidates(needed: tuple[int, int]):
-    """Pairs inside lists that are of different components and that sizes and bitmaps allow."""
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs, best first, join the labels of their rows: a forest, found by every label's best pair in each round."""
+    at, chosen = np.arange(len(a)), [np.zeros(0, np.int64)]
+    label = np.unique(label, return_inverse=True)[1]
+    while len(at := at[label[a[at]] != label[b[at]]]):
+        x, y = label[a[at]], label[b[at]]
+        best = np.full(label.max() + 1, len(at))
+        np.minimum.at(best, x, np.arange(len(at)))
+        np.minimum.at(best, y, np.arange(len(at)))
+        pick = np.unique(best[best < len(at)])
+        chosen.append(at[pick])
+        label = reachable(x[pick], y[pick], len(best))[label]
+    return np.concatenate(chosen)
+
+
+def _candidates(needed: tuple[int, int], allowed: int):
+    """Pairs inside lists that are of different components and that sizes and bitmaps allow.
+
+    Of a block with more pairs than ``allowed`` for each member, the closest that join its components are named, and the
+    closest of the others as far as allowed; ``withheld`` says that pairs are left. After the first round pairs are left
+    only where many do not hold, as those that hold have made one component of their sets.
+    """
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         name, size, comp = (table.column(c).to_numpy() for c in ("set_id", "n", "comp"))
         bits = Bitmaps(table.column("bits").to_pylist())
-        key = table.column("key").to_numpy()
+        key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
         leading = table.column("leading").combine_chunks()
         own = np.repeat(np.arange(len(name)), leading.value_lengths().to_numpy())
         keys = np.zeros((len(name), LEADING), np.int64)
         known = np.zeros((len(name), LEADING), bool)
         at = np.arange(len(own)) - np.repeat(np.flatnonzero(np.diff(own, prepend=-1)), np.unique(own, return_counts=True)[1])
         keys[own, at], known[own, at] = leading.flatten().to_numpy(), True
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
+        found = [np.zeros((2, 0), np.int32)]
+        for a, b in pairs_in_blocks(block, table.column("part").to_numpy()):
             ok = comp[a] != comp[b]
             ok &= np.minimum(size[a], size[b]) * needed[0] >= np.maximum(size[a], size[b]) * needed[1]
             a, b = a[ok], b[ok]
@@ -298,9 +326,26 @@ def _candidates(needed: tuple[int, int]):
             least = np.where(shared.any(axis=2), keys[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
             # A pair that shares a leading key is named in the list of the least of those; one that shares none, in all its lists.
             once = (least == key[a]) | (least == np.iinfo(np.int64).max)
-            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])][once])
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            found.append(np.array([a[once], b[once]], np.int32))
+        left, right = np.concatenate(found, axis=1).astype(np.int64)
+        by_block = np.argsort(block[left], kind="stable")
+        bounds = np.flatnonzero(np.diff(block[left[by_block]], prepend=np.iinfo(np.int64).min))
+        rows, lists, held = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for low, high in zip(bounds, [*bounds[1:], len(left)]):
+            a, b = left[by_block[low:high]], right[by_block[low:high]]
+            most = allowed * int((block == block[a[0]]).sum())
+            if withheld := len(a) > most:
+                near = np.argsort(bits.apart(a, b) / (size[a] + size[b]), kind="stable")
+                a, b = a[near], b[near]
+                some = np.union1d(spanning(a, b, comp), np.arange(most if allowed > 1 else 0))
+                a, b = a[some], b[some]
+            rows.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])])
+            lists.append(key[a])
+            held.append(np.full(len(a), withheld))
+        both = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(lists)), pa.array(np.concatenate(held))], ["a", "b", "key", "withheld"]
+        )
 
     return whole_blocks(compared)
 
@@ -311,8 +356,10 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     1. Each different set is listed under its keys. A list of one set is dropped.
     2. In each list every set is paired with the one of the smallest name of about its size, which is the same in most lists
        of a group. What the whole sets confirm gives components, so that a large group of near copies is joined by a few links each.
-    3. In lists that still hold several components, every pair across components that sizes and bitmaps allow is checked
-       against the whole sets. Both filters only drop pairs that cannot link, and so no two similar sets stay apart.
+    3. In lists that still hold several components, pairs across components that sizes and bitmaps allow are checked against
+       the whole sets. Both filters only drop pairs that cannot link. A list with many such pairs names the closest that join its
+       components, at most one for each member, and is looked at again with the components that these made: it names four
+       times as many each time, until it has no other pair across components. So no two similar sets stay apart.
 
     Lists longer than ``PART`` are compared part by part in different tasks. All joins are on ids; whole sets travel only
     for pairs that are left.
@@ -344,22 +391,29 @@ def similar_sets(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] =
     links = verified(spark, docs, sets, stars, needed)
     joined = components(spark, links)
 
-    named = lists.select("key", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
-    comp = F.coalesce("component", "set_id")
     # Sets that can link are of one class of size or of neighbouring ones; a set stays if those hold another component.
     about = Window.partitionBy("key").orderBy("class").rangeBetween(-1, 1)
-    named = named.select("key", "set_id", "n", comp.alias("comp"), F.floor(size).cast("int").alias("class"))
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / PART).cast("int")
-    apart = named.withColumn("low", F.min("comp").over(about)).withColumn("high", F.max("comp").over(about)).withColumn("parts", parts)
-    mixed_lists = apart.filter("low <> high").select("key", "set_id", "n", "comp", "parts")
-    mixed_lists = staged(spark, mixed_lists, "mixed-lists")
-    bits = sets.select("set_id", "bits").join(mixed_lists.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    leading = mixed_lists.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADING).alias("leading"))
-    bits = staged(spark, bits.join(leading, "set_id"), "bitmaps")
-    blocks = mixed_lists.join(bits, "set_id")
-    blocks = in_parts(blocks, "key", "parts", "set_id", ["key", "set_id", "n", "comp", "bits", "leading"])
-    candidates = blocks.mapInArrow(_candidates(needed), "a long, b long")
-    return sets, links.unionByName(verified(spark, docs, sets, candidates.distinct(), needed))
+    comp, allowed = F.coalesce("component", "set_id").alias("comp"), 1
+    while True:
+        named = lists.select("key", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+        named = named.select("key", "set_id", "n", comp, F.floor(size).cast("int").alias("class"))
+        parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / PART).cast("int")
+        apart = named.withColumn("low", F.min("comp").over(about)).withColumn("high", F.max("comp").over(about)).withColumn("parts", parts)
+        lists = staged(spark, apart.filter("low <> high").select("key", "set_id", "n", "comp", "parts"), "mixed-lists")
+        if lists.isEmpty():
+            return sets, links
+        if allowed == 1:
+            bits = sets.filter("bits is not null").select("set_id", "bits").join(lists.select("set_id").distinct(), "set_id", "left_semi")
+            leading = lists.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADING).alias("leading"))
+            bits = staged(spark, bits.dropDuplicates(["set_id"]).join(leading, "set_id"), "bitmaps")
+        blocks = in_parts(lists.join(bits, "set_id"), "key", "parts", "set_id", ["key", "set_id", "n", "comp", "bits", "leading"])
+        found = staged(spark, blocks.mapInArrow(_candidates(needed, allowed), "a long, b long, key long, withheld boolean"), "candidates")
+        links = links.unionByName(verified(spark, docs, sets, found.select("a", "b").distinct(), needed))
+        again = staged(spark, found.filter("withheld").select("key").distinct(), "lists-left")
+        if again.isEmpty():
+            return sets, links
+        joined, allowed = components(spark, links), 4 * allowed
+        lists = lists.select("key", "set_id", "n").join(small(spark, again, again), "key", "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, needed: tuple[int, int] = NEEDED) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
-from tableferry.llm.components import components
+from tableferry.llm.components import components, reachable
 from tableferry.llm.shingles import mixed
 from tableferry.llm.store import staged
 
@@ -66,19 +66,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _reachable(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
-    """The smallest row that each row reaches over the pairs."""
-    low = np.arange(count)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _linked(cosine: float):
     """For each vector of some blocks: how many vectors it links to, and one of its component.
 
@@ -106,7 +93,7 @@ def _linked(cosine: float):
             np.add.at(links, b[first], copies[a[first]])
             lefts.append(a)
             rights.append(b)
-        low = _reachable(np.concatenate(lefts), np.concatenate(rights), len(rows))
+        low = reachable(np.concatenate(lefts), np.concatenate(rights), len(rows))
         out = np.flatnonzero((links > 0) | (low != np.arange(len(low))))
         return pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(links[out]), pa.array(uid[low[out]])], ["a", "links", "b"])
 

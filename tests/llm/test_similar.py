@@ -261,3 +261,53 @@ def test_near_vectors_against_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert len(got) == len(rows) + len(odd)
     assert vectors.near_vectors(spark, df.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def variants():
+    """Variants of one text of 60 words, one word changed in each: many pairs link, and few with any one of them."""
+
+    def make(count):
+        rng, base = random.Random(8), [f"w{i}" for i in range(60)]
+        return [" ".join(base[:at] + [f"x{i}"] + base[at + 1 :]) for i in range(count) for at in [rng.randrange(60)]]
+
+    return make
+
+
+def test_pairs_of_a_group_grow_with_its_size(spark, docs, variants, monkeypatch):
+    named, checked = [], jaccard.verified
+
+    def counted(spark, docs, sets, pairs, needed=jaccard.NEEDED):
+        named[-1] += pairs.count()
+        return checked(spark, docs, sets, pairs, needed)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    for count in (300, 600):
+        texts = variants(count)
+        named.append(0)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark, docs(texts)).collect()}
+        assert got == brute(list(enumerate(texts)))
+        # Each set of 56 shingles has 12 keys at most, and two pairs from the stars.
+        assert named[-1] <= 14 * count
+
+
+def test_pairs_that_do_not_hold_are_all_looked_at(spark, docs, variants, monkeypatch):
+    """Bitmaps of few places let pass pairs that the whole sets refuse; lists are then read several times, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BITS", 64)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 64)
+    rng = random.Random(2)
+    texts = variants(150)
+    texts += [" ".join(t.split()[:20] + [f"y{rng.randrange(40)}" for _ in range(12)] + t.split()[32:]) for t in texts[:80]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark, docs(texts)).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 60, (2, 90))
+    a, b = a[a != b], b[a != b]
+    label = rng.integers(0, 50, 60) * 7
+    some = jaccard.spanning(a, b, label)
+    own = lambda x, y: united(sorted(set(label.tolist())), list(zip(label[x].tolist(), label[y].tolist())))
+    assert own(a[some], b[some]) == own(a, b)
+    assert len(some) == len(set(label.tolist())) - len(set(own(a, b).values()))
