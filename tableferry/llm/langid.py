@@ -16,9 +16,8 @@ from tableferry.llm.features import document_frequencies, has_letter, inverse_fr
 from tableferry.llm.store import sliced
 
 DIMS = 8192
-# At most this many labelled rows of each of at most LANGUAGES languages (the most frequent) are learned from.
-SAMPLE = 1024
-LANGUAGES = 64
+# At most this many labelled rows of each language are learned from, and of all languages together.
+SAMPLE, SAMPLED = 1024, 1 << 16
 FOLDS, HELD_OUT = 4, 2
 # Follow the regularised leader: step size, its start, and the elastic net.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.0005
@@ -95,19 +94,20 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Weights from a bounded, seeded sample of labelled rows for each language; document frequencies from all documents.
+    """Weights from a bounded, seeded sample of labelled rows for each language; document frequencies from all labelled rows.
 
-    The sample is the first ``sample`` rows of each language in the order of a hash of doc_id, for the ``LANGUAGES`` most
-    frequent languages. Ids are ranked without text; only their features reach the driver. One row in five is left out of
-    the training and sets the temperature.
+    Held-out rows and rows without lang are not read. The sample is the first ``sample`` rows of each language in the order of a
+    hash of doc_id, and as many fewer of each as keep all together to ``SAMPLED``. Ids are ranked without text; only their
+    features reach the driver. One row in five is left out of the training and sets the temperature.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
-    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (fold != HELD_OUT))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = sorted(r.lang for r in names.collect())
+    docs = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (fold != HELD_OUT))
+    known = docs.select("doc_id", "lang")
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    sample = max(1, min(sample, SAMPLED // max(1, len(names))))
     # One row of a language in a hash range is enough for the next: ranks are taken inside 64 ranges first.
     place = F.xxhash64("doc_id")
-    near = known.filter(F.col("lang").isin(names)).withColumn("place", place).withColumn("range", F.pmod("place", F.lit(64)))
+    near = known.withColumn("place", place).withColumn("range", F.pmod("place", F.lit(64)))
     first = Window.partitionBy("lang", "range").orderBy("place", "doc_id")
     ids = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= -(-sample // 64)).select("doc_id", "lang")
     ids = ids.distinct()
@@ -119,7 +119,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
                 row = letter_counts(text or "", DIMS)
                 found = np.flatnonzero(row)
                 bins.append(found.astype(np.uint16).tobytes())
-                counts.append(np.minimum(row[found], 65535).astype(np.uint16).tobytes())
+                counts.append(row[found].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())],
                 ["doc_id", "lang", "bins", "counts"],
@@ -141,7 +141,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     learned = []
     for row in rows:
         bins = np.frombuffer(row["bins"], np.uint16).astype(np.int64)
-        values = weighted(np.frombuffer(row["counts"], np.uint16).astype(float), idf[bins])
+        values = weighted(np.frombuffer(row["counts"], np.uint32).astype(float), idf[bins])
         learned.append((bins, values, names.index(row["lang"])))
     if not learned:
         return Model(idf, np.zeros((DIMS + 1, 1)), [], 1.0)

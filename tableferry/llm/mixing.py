@@ -113,20 +113,22 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
 
 
 def repeat_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row as often as it is taken, a last partial one cut after its last word that is taken."""
-    plan = mix(spark, docs, **options).select(F.col("order_key").alias("__key"), "size", "taken")
-    # Rows with one key are equal in doc_id and text; their repetitions are shared out evenly.
-    plan = plan.groupBy("__key").agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    """The mix as documents: each row as often as it is taken, a last partial one cut after its last word that is taken.
+
+    A cut text has single spaces between its words. Rows equal in doc_id and text share their words evenly, each share rounded
+    up. Columns of any name come back as they were; the table is carried as one struct.
+    """
+    plan = mix(spark, docs, **options).select(F.col("order_key").alias("key"), "size", "taken")
+    plan = plan.groupBy("key").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     seed = options.get("seed", SEED)
-    keyed = docs.withColumn("__key", shuffle_key(F.col("doc_id"), F.col("text"), seed))
-    share = F.ceil(F.col("__taken") / F.col("__rows"))
-    rows = keyed.join(plan, "__key").withColumn("__share", share).filter("__share > 0")
-    times = F.ceil(F.col("__share") / F.col("__size")).cast("int")
-    rows = rows.withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("__share") - (F.col("__time") - 1) * F.col("__size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.greatest(left, F.lit(0)).cast("int")), " ")
-    text = F.when(left >= F.col("__size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    keyed = docs.select(shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.struct(*docs.columns).alias("row"))
+    rows = keyed.join(plan, "key").withColumn("share", F.ceil(F.col("taken") / F.col("rows"))).filter("share > 0")
+    times = F.ceil(F.col("share") / F.col("size")).cast("int")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), times)))
+    left = F.col("share") - (F.col("time") - 1) * F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), 1, F.greatest(left, F.lit(0)).cast("int")), " ")
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(cut)
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

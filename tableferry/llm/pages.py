@@ -17,9 +17,10 @@ from tableferry.llm.store import sliced
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "strong sub sup time tt u var math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder "
+    "munderover semantics".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select option button annotation annotation-xml".split())
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre search section table ul".split()
@@ -36,6 +37,12 @@ ASIDE_WORDS = frozenset(
     "pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets contentinfo complementary alert".split()
 )
+# Words that may follow those of a part that is not the article: ``share-links`` names one, ``social-history`` does not.
+PART_WORDS = frozenset(
+    "area bar block body bottom box boxes button buttons col column container content entry feed form group head heading icon icons "
+    "inner item items label left link links list main message messages outer page panel post posts right row section slot small "
+    "strip text thread title top unit wrap wrapper zone".split()
+)
 # Class names that say what a part has or lacks, not what it is; names of the article's own head; and elements too large to drop.
 ABOUT_OTHERS = frozenset("has no with without is not show hide".split())
 ARTICLE_WORDS = frozenset("article content entry main page-title post story".split())
@@ -88,8 +95,11 @@ def _is_aside(name: str, attributes: str) -> bool:
 def _names_aside(words: list[str]) -> bool:
     if not words or words[0] in ABOUT_OTHERS:
         return False
-    found = {w for w in words if w in ASIDE_WORDS}
-    return bool(found - {"header"} if words[0] in ARTICLE_WORDS else found)
+    found = [w for w in words if w in ASIDE_WORDS and not (w == "header" and words[0] in ARTICLE_WORDS)]
+    if not found:
+        return False
+    after = words[len(words) - words[::-1].index(found[-1]) :]
+    return all(w in PART_WORDS for w in after)
 
 
 def blocks(page: str) -> list[Block]:

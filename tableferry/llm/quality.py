@@ -103,8 +103,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     return space
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, into: str = "score", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with one more column: the score of each whole text, 0 to 1; higher means label 1 is likelier.
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, into: str = "score", sample: int = SAMPLE, frame: DataFrame | None = None) -> DataFrame:
+    """``docs``, or ``frame`` if given, with one more column: the score of each whole text, 0 to 1; higher means label 1 is likelier.
 
     Every document is compared with every labelled vector, in blocks; the labelled vectors are at most ``sample`` times
     ``RANK`` numbers, so they are broadcast. Null text counts as empty; a text without a direction gets the share of label 1
@@ -117,7 +117,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, into: str = "
         for texts in columns:
             yield pd.Series(space.value.vote([t or "" for t in texts]), dtype="float64")
 
-    return docs.withColumn(into, F.pandas_udf(votes, "double")("text"))
+    return (docs if frame is None else frame).withColumn(into, F.pandas_udf(votes, "double")("text"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,5 +131,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    return score(spark, docs, labels, "__quality").filter(F.col("__quality") >= THRESHOLD).drop("__quality")
+    """The documents that the classifier does not reject, with all their columns, whatever those are called; nulls as in ``score``."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    kept = score(spark, docs.select("doc_id", "text"), labels, "quality", frame=rows).filter(F.col("quality") >= THRESHOLD)
+    return kept.select("row.*")

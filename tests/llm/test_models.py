@@ -54,7 +54,6 @@ def test_quality_of_odd_rows(spark, docs):
 
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)
@@ -63,6 +62,13 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert tokens.encode(text, tokens.default_ranks()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_the_added_token_is_one_id():
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "x\n\n<|endoftext|><|endoftext|>  y", "<|endoftext|"]
+    for text in texts:
+        assert tokens.encode(text, tokens.default_ranks()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert tokens.encode(texts[0], tokens.default_ranks()).tolist() == [64, 50256, 65]
+
+
 def unpacked(rows):
     """The ids of each document, and the sequences' lengths, from the pieces; every piece is where it should be."""
     sequences, texts = {}, {}

@@ -54,3 +54,9 @@ def test_odd_pages(spark):
 def test_paths_by_ratio():
     found = pages.blocks("<body><div><p>" + "long text, with marks. " * 9 + "</p></div><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>")
     assert pages.content_paths(found) == {("body", "div", "p")}
+
+
+def test_class_words_name_a_part_only_at_their_end():
+    page = f"<article><h1>Title</h1>{ARTICLE}<section class='social-history'><p>Formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, here.</p></section>"
+    page += "<div class='share-links'><p>Share it, now.</p></div><div class='related_posts'><p>Read on, too.</p></div></article>"
+    assert pages.main_text(page) == f"Title {TEXT} Formula x=1 holds, here."
