@@ -115,6 +115,37 @@ def json_array(spark, sf):
     return files.read_json(spark, path)
 
 
+@query("json_one_array", "select event_id, user_id, event_type, value, props from events")
+def json_one_array(spark, sf):
+    """All events as one array in one file and one line, read by many tasks."""
+    path = scratch_dir(spark, "one-array")
+    records = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"value": [mark + ",".join(batch["value"])]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    lines = records.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).mapInPandas(joined, "value string")
+    lines.write.option("lineSep", " ").text(path)
+    return files.read_json(spark, path)
+
+
+@query(
+    "json_lines_with_data",
+    "select c_custkey as id, c_name as name, case when c_acctbal >= 0 then c_nationkey end as nation from customer",
+)
+def json_lines_with_data(spark, sf):
+    """Records, one per line, that have a field called ``data``, filled or empty: each stays a record with its other fields."""
+    data = F.when(F.col("c_acctbal") >= 0, F.array(F.struct(F.col("c_nationkey").alias("nation")))).otherwise(F.array().cast("array<struct<nation:int>>"))
+    records = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), data.alias("data"))
+    found = files.read_json(spark, written(spark, records, "jsonl", "json"))
+    return found.select("id", "name", F.get(found["data"], F.lit(0))["nation"].cast("int").alias("nation"))
+
+
 def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One response body with a ``data`` array per batch of records."""
     for batch in batches:
@@ -126,7 +157,7 @@ def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def json_wrapper(spark, sf):
     records = table(spark, sf, "customer").select(F.to_json(F.struct("*")).alias("value"))
     path = written(spark, records.mapInPandas(wrapped, "value string"), "wrapper", "text")
-    return files.read_json(spark, path, multiline=False)
+    return files.read_json(spark, path, multiline=False, unwrap=True)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from tableferry.functions.infer import WHITESPACE, infer_types, trim_space
 from tableferry.functions.names import name_matches
 from tableferry.session import BROADCAST_BYTES, qualified_path, scratch_dir, stored_bytes
+from tableferry.sources.splits import csv_records, json_records, pin_splits
 
 # Formats by the names a source may give them.
 FORMATS = {"csv": "csv", "txt": "text", "text": "text", "xlsx": "excel", "excel": "excel", "json": "json"}
@@ -106,23 +109,44 @@ def read_csv(
 
     A row with too few or too many fields fails the read (``FAILFAST``), since
     what a short or long row lacks or has too much cannot be known; ``csv_rejects``
-    keeps such rows aside. Line breaks in quoted cells need ``multiline``, which
-    reads each file in one task; unless told, a first look at the quotes of each
-    line finds out, and files without such breaks stay splittable. Without a header the columns are ``column_1`` and so on.
+    keeps such rows aside. Cells may hold line breaks in quotes: where a line has an odd number of quotes, each split is
+    read from the state its predecessors leave, so that files stay splittable; ``multiline`` says beforehand whether
+    there are such cells. Without a header the columns are ``column_1`` and so on.
     """
     if mode != "FAILFAST":
         raise ValueError("ragged rows fail the read; use csv_rejects to keep them aside")
-    if multiline is None:
-        multiline = has_open_quotes(spark, path)
+    if multiline or multiline is None and has_open_quotes(spark, path):
+        return infer_types(_quoted_csv(spark, path, header, sep), string_columns, schema)
     reader = spark.read.option("header", header).option("sep", sep).option("mode", mode)
-    reader = reader.option("multiLine", multiline).option("escape", '"').option("enforceSchema", "false")
+    reader = reader.option("escape", '"').option("enforceSchema", "false")
     # A ragged row must fail also when later steps use only some columns.
     reader = reader.option("columnPruning", "false")
     raw = reader.csv(path)
-    names = [c.strip() if header else f"column_{i + 1}" for i, c in enumerate(raw.columns)]
+    return infer_types(raw.toDF(*_column_names(raw.columns, header)), string_columns, schema)
+
+
+def _column_names(first: list[str], header: bool) -> list[str]:
+    names = [c.strip() if header else f"column_{i + 1}" for i, c in enumerate(first)]
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate headers after trimming: {names}")
-    return infer_types(raw.toDF(*names), string_columns, schema)
+    return names
+
+
+def _quoted_csv(spark: SparkSession, path: str, header: bool, sep: str) -> DataFrame:
+    """All columns as text, from rows whose cells may hold line breaks."""
+    rows = csv_records(spark, path, sep)
+    firsts = [r[0] for r in rows.filter("section = 'first'").select("value").distinct().limit(2 if header else 1).collect()]
+    if header and len(firsts) > 1:
+        raise ValueError(f"files under {path} differ in their headers")
+    if not firsts:
+        return spark.createDataFrame([], T.StructType())
+    names = _column_names(next(csv.reader(io.StringIO(firsts[0], newline=""), delimiter=sep)), header)
+    kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if header:
+        rows = rows.filter("section is null")
+    options = {"sep": sep, "escape": '"', "mode": "FAILFAST", "multiLine": "true"}
+    cells = rows.select(F.from_csv("value", kind.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row"))
+    return cells.select(*[F.col("row")[f"c{i}"].alias(n) for i, n in enumerate(names)])
 
 
 def has_open_quotes(spark: SparkSession, path: str) -> bool:
@@ -183,13 +207,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Files are cut alike by every scan of this session, also when executors come and go in between."""
-    name = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
-
-
 def read_delimited_or_lines(
     spark: SparkSession, path: str, header: bool = True, sep: str = ",", string_columns: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -208,22 +225,39 @@ def read_delimited_or_lines(
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], multiline: bool | None = None, schema: T.StructType | None = None
+    spark: SparkSession, path: str | list[str], multiline: bool | None = None, schema: T.StructType | None = None, unwrap: bool = False
 ) -> DataFrame:
     """Records from an array, a single object, an object that wraps them in ``data``, or one record per line.
 
-    ``multiline=False`` reads one record per line and splits large files, ``True`` one document per file. Unless told, a
-    first pass finds out which files hold lines, and each is read in its own way. Fields missing from some records are NULL there.
+    ``multiline=False`` reads one record per line, ``True`` one document per file; both are split, an array also where all of
+    it stands in one line. Unless told, a first pass finds out which files hold lines, and each is read in its own way. A
+    line is a record, ``data`` one of its fields, unless ``unwrap`` says that lines wrap records. Fields missing
+    from some records are NULL there.
     """
     if multiline is None:
         kinds = file_kinds(spark, path)
         if "csv" in kinds:
             raise ValueError(f"{path} holds files that are not JSON")
-        return _union_records([read_json(spark, p, kind == "json", schema) for kind, p in kinds.items()], spark)
-    reader = spark.read.option("multiLine", multiline).option("mode", "FAILFAST")
+        return _union_records([read_json(spark, p, kind == "json", schema, unwrap) for kind, p in kinds.items()], spark)
+    if multiline:
+        return _documents(spark, path, schema)
+    reader = spark.read.option("mode", "FAILFAST")
     if schema is not None:
         return reader.schema(schema).json(path)
-    return unwrap_data(reader.json(path))
+    return unwrap_data(reader.json(path)) if unwrap else reader.json(path)
+
+
+def _documents(spark: SparkSession, path: str | list[str], schema: T.StructType | None) -> DataFrame:
+    """Arrays and wrapped arrays record by record, written as lines; files that hold one object as that."""
+    records, others = json_records(spark, path)
+    lines = scratch_dir(spark, "json-lines")
+    records.select(F.regexp_replace("value", "[\r\n]+", " ")).write.text(lines)
+    reader = spark.read.option("mode", "FAILFAST")
+    reader = reader if schema is None else reader.schema(schema)
+    parts = [] if spark.read.text(lines).isEmpty() else [reader.json(lines)]
+    if single := [r[0] for r in others.collect()]:
+        parts.append(reader.option("multiLine", True).json(single))
+    return _union_records(parts, spark) if parts or schema is None else spark.createDataFrame([], schema)
 
 
 def _union_records(parts: list[DataFrame], spark: SparkSession) -> DataFrame:

@@ -34,7 +34,3 @@ def rows():
         return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, str(v)) for v in r])
 
     return collect
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 from tableferry.functions.infer import infer_schema
 from tableferry.functions.protect import derive_key
 from tableferry.operators.dedupe import one_per_key
