@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableferry.functions.names import quoted
 
@@ -22,6 +23,7 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
     is sorted or joined, and a key repeated any number of times reaches the
     shuffle once per task.
     """
+    source, target = _hashable(source), _hashable(target)
     columns = list(columns or [c for c in source.columns if c != key and c in target.columns])
     names = {c: f"c{i}" for i, c in enumerate(columns)}
 
@@ -54,5 +56,23 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
     )
 
 
+def _hashable(df: DataFrame) -> DataFrame:
+    """Maps have no order and no hash: they count as their entries, sorted by key, at any depth as JSON text."""
+
+    def has_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.MapType):
+            return True
+        if isinstance(kind, T.ArrayType):
+            return has_map(kind.elementType)
+        return isinstance(kind, T.StructType) and any(has_map(f.dataType) for f in kind.fields)
+
+    def plain(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.MapType) and not has_map(kind.keyType) and not has_map(kind.valueType):
+            return F.array_sort(F.map_entries(column))
+        return F.to_json(F.struct(column.alias("value")), {"sortKeys": "true"}) if has_map(kind) else column
+
+    return df.select(*[plain(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def compare_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("class").agg(F.count(F.lit(1)).alias("keys"))

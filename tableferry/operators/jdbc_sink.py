@@ -67,15 +67,19 @@ def next_key_statement(table: str, key: str = "id") -> str:
     )
 
 
-def execute(spark: SparkSession, url: str, statements: Sequence[str], options: Mapping[str, str] | None = None) -> None:
-    """Run statements on one connection, as one transaction, from the driver."""
+def _connection(spark: SparkSession, url: str, options: Mapping[str, str] | None):
     options = dict(options or {})
     if "driver" in options:
         spark._jvm.java.lang.Class.forName(options["driver"])
     properties = spark._jvm.java.util.Properties()
     for name, value in options.items():
         properties.setProperty(name, value)
-    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    return spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+
+
+def execute(spark: SparkSession, url: str, statements: Sequence[str], options: Mapping[str, str] | None = None) -> None:
+    """Run statements on one connection, as one transaction, from the driver."""
+    connection = _connection(spark, url, options)
     try:
         connection.setAutoCommit(False)
         for sql in statements:
@@ -127,6 +131,17 @@ def key_statement(table: str, key: str, dialect: str) -> str:
     return f"ALTER TABLE {quote(_name(table), dialect)} ADD PRIMARY KEY ({quote(_name(key), dialect)})"
 
 
+def table_exists(spark: SparkSession, url: str, table: str, options: Mapping[str, str] | None = None) -> bool:
+    """Whether the database lists the table; an error of the connection is an error, not a missing table."""
+    connection = _connection(spark, url, options)
+    try:
+        schema, _, name = _name(table).rpartition(".")
+        found = connection.getMetaData().getTables(None, schema or None, name, None)
+        return bool(found.next())
+    finally:
+        connection.close()
+
+
 def jdbc_ensure(
     df: DataFrame, url: str, table: str, key: str, options: Mapping[str, str] | None = None, dialect: str = "postgres"
 ) -> bool:
@@ -135,9 +150,7 @@ def jdbc_ensure(
     A key that is not a number is left without a constraint, which text columns do not take everywhere.
     """
     spark = df.sparkSession
-    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
-    with contextlib.suppress(Exception):
-        reader.option("query", f"SELECT * FROM {quote(_name(table), dialect)} WHERE 1 = 0").load()
+    if table_exists(spark, url, table, options):
         return False
     types = target_types(validate_columns(df))
     jdbc_append(df.limit(0), url, table, options, dialect)

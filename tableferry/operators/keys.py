@@ -21,7 +21,9 @@ def next_key(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, str]]) -
     for name, (df, key) in sorted(tables.items()):
         if key in df.columns:
             number = quoted(key).try_cast("bigint")
-            bad = F.count_if(quoted(key).isNotNull() & number.isNull())
+            # A fraction is cut by the cast, so the value must come back from it.
+            whole = number.isNotNull() & (quoted(key).try_cast("decimal(38,18)") == number.cast("decimal(38,18)"))
+            bad = F.count_if(quoted(key).isNotNull() & ~F.coalesce(whole, F.lit(False)))
             found = df.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_key"), bad.alias("bad"))
             problem = F.concat(F.col("bad").cast("string"), F.lit(f" values of {key} are not whole numbers"))
             parts.append(

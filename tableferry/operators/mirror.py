@@ -58,16 +58,18 @@ def mirror(
     prefix: str = "",
     incremental: bool = True,
     since=None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Copy what ``mirror_plan`` says and return one row per object: ``key, action, bytes, error``.
 
     The plan is written before the first copy and the outcome after the last, so
     a lost executor repeats copies but never sees a half-done tree as its input.
     An object that cannot be copied becomes an error row. ``since`` limits the
-    pass to objects modified later.
+    pass to objects modified later; ``source`` gives their listing (``key, size, modified``) instead.
     """
     source_root, target_root = qualified_path(spark, source_root), qualified_path(spark, target_root)
-    source = list_objects(spark, source_root, prefix, pattern)
+    if source is None:
+        source = list_objects(spark, source_root, prefix, pattern)
     if since is not None:
         source = source.filter(F.col("modified") > F.lit(since))
     if path_exists(spark, target_root):

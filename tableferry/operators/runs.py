@@ -15,14 +15,11 @@ STALE_REASON = "Job was marked as failed (possible agent disconnect)"
 ABORT_REASON = "Aborted by user"
 
 
-def fold_runs(batches: DataFrame) -> DataFrame:
-    """One row per run from its batch reports, whatever order they arrive in.
+def run_parts(batches: DataFrame) -> DataFrame:
+    """What the batch reports of each run say so far, in a form that adds up: one row per run.
 
-    ``batches``: ``log_id, ts, status, record_count, error, partial, sample``
-    and optionally ``started_at``. Counts add up; an error or a failed report
-    makes the run failed for good; else the latest final report decides; without
-    one it is running. Only order-free aggregates are used, so the same code
-    folds a table and a stream, and a heavy run shrinks before the shuffle.
+    ``batches``: ``log_id, ts, status, record_count, error, partial, sample`` and optionally ``started_at``. A heavy run
+    shrinks before the shuffle.
     """
     started = F.col("started_at") if "started_at" in batches.columns else F.col("ts")
     final = ~F.col("partial")
@@ -31,30 +28,55 @@ def fold_runs(batches: DataFrame) -> DataFrame:
 
     def latest(value: str, when: Column) -> Column:
         # Text ends a tie in time, so the pick never depends on arrival.
-        return F.max(F.when(when, F.struct(F.col("ts"), F.col(value)))).getField(value)
+        return F.max(F.when(when, F.struct(F.col("ts"), F.col(value).alias("value"))))
 
-    folded = batches.groupBy("log_id").agg(
+    return batches.groupBy("log_id").agg(
         F.sum("record_count").cast("bigint").alias("record_count"),
         F.bool_or(has_error | (F.col("status") == "failed")).alias("any_failed"),
-        latest("status", final).alias("final_status"),
+        latest("status", final).alias("last_final"),
         F.min(started).alias("started_at"),
-        F.max(F.when(final, F.col("ts"))).alias("completed_at"),
-        latest("sample", has_sample).alias("sample_data"),
-        latest("error", has_error).alias("error_message"),
+        latest("sample", has_sample).alias("last_sample"),
+        latest("error", has_error).alias("last_error"),
     )
-    micros = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
-    return folded.select(
+
+
+def add_parts(parts: DataFrame) -> DataFrame:
+    """Several parts of a run as one, in any order."""
+    return parts.groupBy("log_id").agg(
+        F.sum("record_count").alias("record_count"),
+        F.bool_or("any_failed").alias("any_failed"),
+        F.max("last_final").alias("last_final"),
+        F.min("started_at").alias("started_at"),
+        F.max("last_sample").alias("last_sample"),
+        F.max("last_error").alias("last_error"),
+    )
+
+
+def runs_of(parts: DataFrame) -> DataFrame:
+    """The run log that the parts amount to."""
+    completed = F.col("last_final.ts")
+    micros = F.unix_micros(completed.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    return parts.select(
         "log_id",
-        F.when(F.col("any_failed"), "failed").otherwise(F.coalesce("final_status", F.lit("running"))).alias("status"),
+        F.when(F.col("any_failed"), "failed").otherwise(F.coalesce("last_final.value", F.lit("running"))).alias("status"),
         "record_count",
         "started_at",
-        "completed_at",
+        completed.alias("completed_at"),
         F.floor(micros / 1000).cast("bigint").alias("duration_ms"),
-        "sample_data",
-        "error_message",
+        F.col("last_sample.value").alias("sample_data"),
+        F.col("last_error.value").alias("error_message"),
     )
 
 
+def fold_runs(batches: DataFrame) -> DataFrame:
+    """One row per run from its batch reports, whatever order they arrive in.
+
+    Counts add up; an error or a failed report makes the run failed for good; else the latest final report decides; without
+    one it is running. Only order-free aggregates are used, so a table and any cut of a stream fold alike.
+    """
+    return runs_of(run_parts(batches))
+
+
 def checkpoint_max(df: DataFrame, column: str, mode: str = "typed") -> DataFrame:
     """The greatest non-NULL value of the checkpoint column, as one row.
 

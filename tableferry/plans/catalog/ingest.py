@@ -410,6 +410,26 @@ def response_rejects(spark, sf):
     return responses.response_rejects(landed, "k bigint")
 
 
+@query(
+    "response_bad_cells",
+    """select 'read' as kind, c_custkey as id, c_name as name from customer where c_acctbal >= 0
+    union all select 'rejected', c_custkey, null from customer where c_acctbal < 0""",
+)
+def response_bad_cells(spark, sf):
+    """One response per nation, a list of its customers; the number of those in debt is a text that is no number."""
+    number = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("no "), "c_custkey")).otherwise(F.col("c_custkey").cast("string"))
+    record = F.to_json(F.struct(number.alias("id"), F.col("c_name").alias("name")))
+    bodies = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(record).alias("records"))
+    landed = bodies.select(
+        F.col("c_nationkey").alias("request_id"), F.lit(200).alias("status"), F.lit(1).alias("attempt"),
+        F.concat(F.lit("["), F.array_join("records", ","), F.lit("]")).alias("body"),
+    )
+    good = responses.response_records(landed, "id bigint, name string").select(F.lit("read").alias("kind"), "id", "name")
+    bad = responses.response_rejects(landed, "id bigint, name string")
+    number = F.regexp_extract("body", '"id":"no ([0-9]+)"', 1).cast("bigint")
+    return good.unionByName(bad.select(F.lit("rejected").alias("kind"), number.alias("id"), F.lit(None).cast("string").alias("name")))
+
+
 SECRET = derive_key("fixture secret", b"fixture salt")
 
 

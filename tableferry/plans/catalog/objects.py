@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableferry.operators import mirror
 from tableferry.plans.catalog.registry import query, role, table, with_roles
 from tableferry.session import scratch_dir
-from tableferry.streaming.watch import Watch
+from tableferry.streaming.watch import watch_and_mirror
 
 PLANNED = f"""{with_roles("documents_held", "documents_mirrored")}
 select s.key, s.size, s.modified,
@@ -56,13 +56,11 @@ def mirror_copy(spark, sf):
     "select 'documents' as tree, doc_id as id from documents union all select 'pages', page_id from pages",
 )
 def mirror_watch(spark, sf):
-    """Objects that come between two passes reach the copy with the second."""
-    source, target = scratch_dir(spark, "tree"), scratch_dir(spark, "copy")
-    watch = Watch(spark, source, target, "*.parquet")
-    table(spark, sf, "documents").selectExpr("doc_id as id").write.parquet(f"{source}/tree=documents")
-    watch.poll()
-    table(spark, sf, "pages").selectExpr("page_id as id").write.parquet(f"{source}/tree=pages")
-    watch.poll()
+    """A watch that is stopped and started again copies the objects that came in between, and only those."""
+    source, target, progress = (scratch_dir(spark, n) for n in ("tree", "copy", "progress"))
+    for tree, key in (("documents", "doc_id"), ("pages", "page_id")):
+        table(spark, sf, tree).selectExpr(f"{key} as id").write.parquet(f"{source}/tree={tree}")
+        watch_and_mirror(spark, source, target, progress, "*.parquet", availableNow=True).awaitTermination()
     return spark.read.parquet(target).select("tree", "id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.operators.analytics import node_metrics
+from tableferry.operators.runs import runs_of
 from tableferry.operators.tables import BucketedTable, VersionedTable
 from tableferry.plans.catalog.merging import MERGED, ORDER
 from tableferry.plans.catalog.registry import ORACLES, ROLES, query, role, table
@@ -46,7 +47,7 @@ def upserted_buckets(spark, sf):
 def run_status(spark, sf):
     log = VersionedTable(spark, scratch_dir(spark, "runs"))
     stream_run_status(role_stream(spark, sf, "batches"), log, scratch_dir(spark, "progress")).awaitTermination()
-    return log.read()
+    return runs_of(log.read())
 
 
 @query("stream_node_state", ORACLES["node_state"])

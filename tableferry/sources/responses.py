@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableferry.operators.dedupe import one_per_key
 
@@ -23,26 +24,40 @@ def final_responses(responses: DataFrame) -> DataFrame:
     return last.withColumn("outcome", response_class(F.col("status")))
 
 
-def _read(responses: DataFrame, schema: str) -> DataFrame:
-    """Responses that succeeded, with their records in ``records``; NULL if the body cannot be read."""
+def _read(responses: DataFrame, schema: str) -> tuple[DataFrame, list[str]]:
+    """One row per record of the responses that succeeded, with its fields and ``bad``; a body that cannot be read is one bad row."""
     inner = F.get_json_object("body", "$.data")
     # A field called ``data`` wraps the records only if it is an array; otherwise it is a field of the one record.
     body = F.when(F.startswith(F.ltrim(inner), F.lit("[")), inner).otherwise(F.col("body"))
-    ok = final_responses(responses).filter(F.col("outcome") == "ok")
-    return ok.withColumn("records", F.from_json(body, f"array<struct<{schema}>>"))
+    ok = final_responses(responses).filter(F.col("outcome") == "ok").select("request_id", "status", "attempt", "body", F.try_parse_json(body).alias("whole"))
+    kind = F.schema_of_variant("whole")
+    many = F.expr("cast(whole as array<variant>)")
+    parts = F.when(F.startswith(kind, F.lit("ARRAY")), many).when(F.startswith(kind, F.lit("OBJECT")), F.array("whole"))
+    nothing = F.array(F.lit(None).cast("variant"))
+    rows = ok.withColumn("record", F.explode(F.coalesce(parts, nothing)))
+    fields, read, wrong = T.StructType.fromDDL(schema).fields, [], ~F.startswith(F.schema_of_variant("record"), F.lit("OBJECT"))
+    for i, field in enumerate(fields):
+        place = "$['" + field.name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        value = F.try_variant_get("record", place, field.dataType.simpleString())
+        there = F.try_variant_get("record", place, "variant")
+        read.append(value.alias(f"f{i}"))
+        wrong = wrong | (there.isNotNull() & ~F.is_variant_null(there) & value.isNull())
+    bad = F.coalesce(wrong, F.lit(True)).alias("bad")
+    return rows.select("request_id", "status", "attempt", "body", F.to_json("record").alias("text"), bad, *read), [f.name for f in fields]
 
 
 def response_records(responses: DataFrame, schema: str) -> DataFrame:
     """Records of the responses that succeeded.
 
     ``schema`` is the DDL of one record. A body is an array, a single object, or
-    an object that wraps the records in an array ``data``. What cannot be read
-    is in ``response_rejects``.
+    an object that wraps the records in an array ``data``. What cannot be read, be it a body, a record or one of its
+    fields, is in ``response_rejects``.
     """
-    parsed = _read(responses, schema).select("request_id", F.explode("records").alias("record"))
-    return parsed.select("request_id", "record.*")
+    rows, names = _read(responses, schema)
+    return rows.filter(~F.col("bad")).select("request_id", *[F.col(f"f{i}").alias(n) for i, n in enumerate(names)])
 
 
 def response_rejects(responses: DataFrame, schema: str) -> DataFrame:
-    """Responses that succeeded, yet whose body cannot be read: ``request_id, status, attempt, body``."""
-    return _read(responses, schema).filter(F.col("records").isNull()).select("request_id", "status", "attempt", "body")
+    """What cannot be read of responses that succeeded: ``request_id, status, attempt, body``, the body whole or one record of it."""
+    rows, _ = _read(responses, schema)
+    return rows.filter("bad").select("request_id", "status", "attempt", F.coalesce("text", "body").alias("body"))

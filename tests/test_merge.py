@@ -270,3 +270,10 @@ def test_compare(spark):
         5: ("only_target", None),
         None: ("equal", None),
     }
+
+
+def test_compare_takes_maps(spark):
+    s = spark.sql("select * from values (1, map('a', 1, 'b', 2), array(map('x', 1))), (2, map('a', 1), null), (3, null, null) t(k, m, n)")
+    t = spark.sql("select * from values (1, map('b', 2, 'a', 1), array(map('x', 1))), (2, map('a', 2), array()), (3, null, null) t(k, m, n)")
+    got = {r["k"]: (r["class"], r["changed_columns"]) for r in compare(s, t, "k").collect()}
+    assert got == {1: ("equal", None), 2: ("changed", "m, n"), 3: ("equal", None)}

@@ -286,3 +286,9 @@ def test_preview_and_observation(spark):
     df, seen = sql.observe_rows(spark.range(7))
     df.write.format("noop").mode("overwrite").save()
     assert seen.get["rows"] == 7
+
+
+def test_next_key_of_fractions_is_an_error(spark):
+    tables = {"d": (spark.sql("select * from values (1.5d), (2d) t(id)"), "id"), "e": (spark.sql("select * from values ('7'), ('8.25') t(id)"), "id"), "f": (spark.sql("select 3d as id"), "id")}
+    got = {r["table_name"]: (r["next_key"], r["error"]) for r in next_key(spark, tables).collect()}
+    assert got == {"d": (None, "1 values of id are not whole numbers"), "e": (None, "1 values of id are not whole numbers"), "f": (4, None)}

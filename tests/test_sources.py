@@ -238,3 +238,10 @@ def test_statements_around_a_merge():
     assert key_statement("t", "id", "mysql") == "ALTER TABLE `t` ADD PRIMARY KEY (`id`)"
     with pytest.raises(ValueError):
         drop_statement("t; drop", "postgres")
+
+
+def test_cells_that_cannot_be_read_are_rejected(spark, rows):
+    bodies = ['{"id":"x"}', '[{"id":1},{"id":"bad"},{"id":null},{"other":2},5]', '{"data":[{"id":7}],"ok":true}', "[]", "12"]
+    df = spark.createDataFrame([(f"r{i}", 200, 1, b) for i, b in enumerate(bodies)], "request_id string, status int, attempt int, body string")
+    assert rows(responses.response_records(df, "id bigint")) == [("r1", None), ("r1", None), ("r1", 1), ("r2", 7)]
+    assert rows(responses.response_rejects(df, "id bigint").select("request_id", "body")) == [("r0", '{"id":"x"}'), ("r1", "5"), ("r1", '{"id":"bad"}'), ("r4", "12")]
