@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tableferry.functions import search, status, text
 from tableferry.functions.protect import find_tokens, token_hash, token_prefix
 from tableferry.operators import analytics
+from tableferry.operators.paging import PageDirectory
 from tableferry.plans.catalog.registry import query, role, table, with_roles
+from tableferry.session import scratch_dir
+
 
 def _jobs_found(spark, sf):
     jobs = analytics.jobs_with_network(
@@ -351,3 +354,16 @@ def node_state(spark, sf):
 def node_metrics_window(spark, sf):
     metrics = analytics.node_metrics(role(spark, sf, "heartbeats"), "1 hour")
     return metrics.withColumn("avg_cpu", F.round("avg_cpu", 6))
+
+
+@query(
+    "audit_deep_page",
+    f"""{with_roles("audit")}, placed as (
+      select id, username, action, entity, created_at, row_number() over (order by created_at desc, id desc) - 1 as place from audit)
+    select id, username, action, entity, created_at from placed where place // 50 = (select count(*) * 3 // 4 // 50 from audit)""",
+)
+def audit_deep_page(spark, sf):
+    """A page far down all audit events, looked up in the range that holds it."""
+    events = role(spark, sf, "audit").select("id", "username", "action", "entity", "created_at")
+    pages = PageDirectory(spark, scratch_dir(spark, "pages")).build(events, [F.desc("created_at"), F.desc("id")], rows_a_range=2_000)
+    return pages.page(pages.total() * 3 // 4 // 50 + 1, 50)
