@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +18,8 @@ from tableferry.llm.store import sliced
 # Classes of characters: letters by case, digits, white space, line ends; every other sign by its code.
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _SIGN = 1, 2, 3, 4, 5, 8
 _KNOWN = 0x3000
-# Bins that count repeated words in texts where so many words repeat the one before.
-RESERVED, REPEATED_SHARE = 8, 0.25
+# Runs of letters and digits; in scripts written without spaces every sign is a word.
+_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff]|[^\\W_\u3040-\u30ff\u3400-\u9fff]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,28 +71,24 @@ def _add_grams(out: np.ndarray, symbols: np.ndarray, longest: int, base: int) ->
 
 
 def shape_counts(text: str, dims: int) -> np.ndarray:
-    """N-grams of character classes with runs drawn together, and how often words repeat the one before them, if many do."""
+    """N-grams of up to five character classes with runs drawn together."""
     out = np.zeros(dims)
     codes = code_points(text)
-    if not len(codes):
-        return out
-    kinds = _class_of(codes)
-    first = np.r_[True, kinds[1:] != kinds[:-1]]
-    _add_grams(out, kinds[first], 5, 67)
-    out[:RESERVED] = 0
-    space = (kinds == _SPACE) | (kinds == _LINE)
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    if len(starts) > 1:
-        place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-        signs = np.where(space, 0, codes.astype(np.uint64) + np.uint64(1))[starts[0] :]
-        terms = signs * (signs + _MIX) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1))
-        sums = np.add.reduceat(terms, starts - starts[0])
-        repeats = np.count_nonzero(sums[1:] == sums[:-1])
-        if repeats >= REPEATED_SHARE * len(starts):
-            out[:RESERVED] = repeats
+    if len(codes):
+        kinds = _class_of(codes)
+        _add_grams(out, kinds[np.r_[True, kinds[1:] != kinds[:-1]]], 5, 67)
     return out
 
 
+def word_counts(text: str, dims: int) -> tuple[np.ndarray, int]:
+    """Lower-cased words, hashed, and how many of them repeat the one before."""
+    out = np.zeros(dims)
+    words = _WORD.findall(text.lower())
+    for word, n in Counter(words).items():
+        out[zlib.crc32(word.encode("utf-8", "replace")) % dims] += n
+    return out, sum(map(str.__eq__, words, words[1:]))
+
+
 def letter_counts(text: str, dims: int) -> np.ndarray:
     """N-grams of up to four characters of the lower-cased letters; everything between words is one space."""
     out = np.zeros(dims)

@@ -11,11 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm.features import document_frequencies, inverse_frequencies, shape_counts, weighted
+from tableferry.llm.features import document_frequencies, inverse_frequencies, shape_counts, word_counts
 from tableferry.llm.store import sliced
 
-DIMS = 2048
+# Terms: hashed words, n-grams of character classes, and the shares of words that repeat and do not repeat the one before.
+WORDS, SHAPES = 1 << 14, 1 << 11
+DIMS = WORDS + SHAPES + 2
+# The squared length of each kind of terms in the vector of a text that has all three.
+WORD_PART, SHAPE_PART, REPEAT_PART = 0.4, 0.4, 0.2
 RANK = 64
+# Steps of the subspace iteration that finds the axes, and directions it carries besides.
+STEPS, SPARE = 6, 8
 NEIGHBOURS = 15
 # The classifier is fitted on this many labelled rows, the first in a seeded order: its only bound.
 SAMPLE = 4096
@@ -25,6 +31,42 @@ FOLDS, HELD_OUT = 5, 0
 BLOCK = 256
 
 
+def term_counts(text: str, dims: int = DIMS) -> np.ndarray:
+    words, repeats = word_counts(text, WORDS)
+    return np.concatenate([words, shape_counts(text, SHAPES), [repeats, words.sum() - repeats]])
+
+
+def term_weights(bins: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF of the words and of the shapes, each scaled to its part, and the roots of both shares of words."""
+    out = np.log1p(counts) * idf[bins]
+    words, shapes = np.searchsorted(bins, [WORDS, WORDS + SHAPES])
+    for part, length in ((out[:words], WORD_PART), (out[words:shapes], SHAPE_PART)):
+        part *= np.sqrt(length) / max(np.linalg.norm(part), 1e-12)
+    out[shapes:] = np.sqrt(REPEAT_PART * counts[shapes:] / max(counts[shapes:].sum(), 1.0))
+    return out
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def main_axes(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The leading right singular vectors of sparse rows (bins, weights), by seeded subspace iteration over dense blocks."""
+
+    def applied(turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(rows), BLOCK):
+            dense = np.zeros((len(rows[at : at + BLOCK]), DIMS), np.float32)
+            for line, (bins, weights) in zip(dense, rows[at : at + BLOCK]):
+                line[bins] = weights
+            yield dense, dense @ turn
+
+    turn = np.random.default_rng(7).standard_normal((DIMS, RANK + SPARE)).astype(np.float32)
+    for _ in range(STEPS):
+        turn = np.linalg.qr(sum(dense.T @ seen for dense, seen in applied(turn)))[0]
+    products = sum(seen.T @ seen for _, seen in applied(turn))
+    return (turn @ np.linalg.eigh(products.astype(float))[1][:, -RANK:]).astype(np.float32)
+
+
 @dataclass
 class Space:
     idf: np.ndarray
@@ -33,9 +75,12 @@ class Space:
     labels: np.ndarray
 
     def place(self, texts: list[str]) -> np.ndarray:
-        raw = np.stack([shape_counts(t, DIMS) for t in texts])
-        flat = weighted(raw, self.idf) @ self.axes
-        return (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        flat = np.zeros((len(texts), self.axes.shape[1]))
+        for row, text in zip(flat, texts):
+            counts = term_counts(text)
+            bins = np.flatnonzero(counts)
+            row[:] = term_weights(bins, counts[bins], self.idf) @ self.axes[bins]
+        return unit(flat)
 
     def vote(self, texts: list[str]) -> np.ndarray:
         """The share of label 1 among the nearest, each with the eighth power of its cosine as its weight."""
@@ -59,10 +104,10 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
-    """Axes and labelled vectors. Document frequencies come from all documents, axes from the labelled sample.
+    """Axes and labelled vectors of word TF-IDF, with shapes as further terms. Document frequencies come from all documents, axes from the labelled sample.
 
     The sample is chosen among the labels before any text is read, so only ``sample`` ids are broadcast and only their
-    features (at most ``DIMS`` numbers each) reach the driver. Labels that are null or whose doc_id is null or held out
+    terms (at most ``DIMS`` pairs of bin and count each) reach the driver. Labels that are null or whose doc_id is null or held out
     are not learned from; a doc_id with several labels takes the smallest.
     """
     usable = labels.filter(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(
@@ -72,33 +117,37 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [
-                np.minimum(shape_counts(t or "", DIMS), 65535).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "counts"])
+            bins, counts = [], []
+            for text in batch.column("text").to_pylist():
+                row = term_counts(text or "")
+                found = np.flatnonzero(row)
+                bins.append(found.astype(np.uint16).tobytes())
+                counts.append(row[found].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())],
+                ["doc_id", "label", "bins", "counts"],
+            )
 
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", F.col("label").cast("long").alias("label"), "text")
-        .mapInArrow(features, "doc_id long, label long, counts binary")
+        .mapInArrow(features, "doc_id long, label long, bins binary, counts binary")
         .groupBy("doc_id")
-        .agg(F.min("label").alias("label"), F.min("counts").alias("counts"))
+        .agg(F.min("label").alias("label"), F.min(F.struct("bins", "counts")).alias("terms"))
+        .select("doc_id", "label", "terms.*")
         .toArrow()
         .sort_by("doc_id")
     )
-    seen, texts = document_frequencies(docs, shape_counts, DIMS)
-    space = Space(inverse_frequencies(seen, texts), np.zeros((DIMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0))
+    seen, texts = document_frequencies(docs, term_counts, DIMS)
+    space = Space(inverse_frequencies(seen, texts), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     if rows.num_rows:
-        counts, size = rows.column("counts").to_pylist(), 256
-        blocks = [np.stack([np.frombuffer(c, np.uint16) for c in counts[at : at + size]]) for at in range(0, len(counts), size)]
-        products = np.zeros((DIMS, DIMS), np.float32)
-        for block in blocks:
-            flat = weighted(block, space.idf).astype(np.float32)
-            products += flat.T @ flat
-        space.axes = np.linalg.eigh(products)[1][:, -RANK:].astype(float)
-        vectors = np.concatenate([weighted(block, space.idf) @ space.axes for block in blocks])
-        space.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        learned = []
+        for bins, counts in zip(rows.column("bins").to_pylist(), rows.column("counts").to_pylist()):
+            at = np.frombuffer(bins, np.uint16)
+            learned.append((at, term_weights(at, np.frombuffer(counts, np.uint32), space.idf).astype(np.float32)))
+        space.axes = main_axes(learned)
+        space.vectors = unit(np.stack([weights @ space.axes[bins] for bins, weights in learned]))
         space.labels = (np.array(rows.column("label").to_pylist()) > 0).astype(float)
     return space
 

@@ -43,6 +43,33 @@ def test_quality_held_out(spark):
     assert kept.join(labels.filter("quality = 1"), "doc_id", "left_semi").count() >= 0.99 * clean
 
 
+def test_quality_by_wording_alone(spark, docs):
+    """Texts of one layout: five-letter words in sentences of eight; only which words are used tells the labels apart."""
+    draw = np.random.default_rng(3)
+    pool = np.array(["".join(w) for w in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (900, 5))])
+    texts = []
+    for i in range(500):
+        own = pool[300:600] if i % 2 else pool[600:]
+        words = np.where(draw.random(80) < 0.4, draw.choice(own, 80), draw.choice(pool[:300], 80))
+        texts.append(" ".join(" ".join(words[k : k + 8]).capitalize() + "." for k in range(0, 80, 8)))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(500)], "doc_id bigint, quality int, toxic int")
+    assert len({tuple(np.flatnonzero(quality.shape_counts(t, 64))) for t in texts}) == 1
+    found = quality.classify(spark, docs(list(enumerate(texts))), labels).filter("held_out").collect()
+    assert len(found) > 60 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in found]) >= 0.95
+
+
+def test_axes_are_singular_vectors():
+    draw = np.random.default_rng(5)
+    rows = [(np.sort(draw.choice(400, 30, replace=False)), draw.random(30).astype(np.float32) * (1 + i % 3)) for i in range(90)]
+    dense = np.zeros((90, quality.DIMS), np.float32)
+    for line, (bins, weights) in zip(dense, rows):
+        line[bins] = weights
+    axes = quality.main_axes(rows)
+    assert np.allclose(axes.T @ axes, np.eye(quality.RANK), atol=1e-3)
+    exact = np.linalg.svd(dense, full_matrices=False)[1]
+    assert np.linalg.norm(dense @ axes) >= 0.99 * np.linalg.norm(exact[: quality.RANK])
+
+
 def test_quality_of_odd_rows(spark, docs):
     rows = docs([(1, None), (2, ""), (None, "a b"), (3, "x" * 100_000), (3, "y")])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
