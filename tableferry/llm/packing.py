@@ -19,8 +19,8 @@ WINDOW = 1024
 IDS = 1 << 16
 # A shard ends with the document that brings the tokens still to be packed to this many.
 SHARD_TOKENS = 1 << 20
-# A query is the seed's terms of greatest weight; the window is filled from this many neighbours at a time.
-QUERY_TERMS, NEIGHBOURS = 32, 64
+# Neighbours are ranked so many at a time: a window seldom needs more.
+NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 
 
@@ -99,21 +99,20 @@ class Shard:
         self.left = self.lengths.copy()
         self.next = 0
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused parts by falling BM25 score for the seed; ties by place."""
-        pairs = self.by_part[self.first[seed] : self.first[seed + 1]]
-        if len(pairs) > QUERY_TERMS:
-            pairs = pairs[np.argpartition(-self.weights[pairs], QUERY_TERMS - 1)[:QUERY_TERMS]]
-        query = self.terms[pairs]
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in query]
-        score = np.bincount(
-            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.left)
-        )
-        score[self.left == 0] = 0
-        found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS - 1)[:NEIGHBOURS]]
-        return found[np.argsort(-score[found], kind="stable")]
+    def neighbours(self, seed: int) -> Iterator[np.ndarray]:
+        """Unused parts by falling BM25 score for all terms of the seed, some at a time down the whole ranking; ties by place."""
+        query = self.terms[self.by_part[self.first[seed] : self.first[seed + 1]]]
+        first, sizes = self.ends[query], self.ends[query + 1] - self.ends[query]
+        pairs = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.docs[pairs], self.weights[pairs], len(self.left))
+        found = np.flatnonzero((score > 0) & (self.left > 0))
+        while len(found) > NEIGHBOURS:
+            # All that tie with the last of the block come with it, so that places decide among them.
+            lowest = np.partition(score[found], -NEIGHBOURS)[-NEIGHBOURS]
+            near = score[found] >= lowest
+            block, found = found[near], found[~near]
+            yield block[np.argsort(-score[block], kind="stable")]
+        yield found[np.argsort(-score[found], kind="stable")]
 
     def unused(self) -> int:
         while self.next < len(self.left) and not self.left[self.next]:
@@ -133,17 +132,19 @@ class Shard:
             piece = take(seed, room)
             room -= piece[2]
             yield piece
-            near = self.neighbours(seed) if room else []
-            for part in near:
-                if 0 < self.left[part] <= room:
-                    piece = take(part, room)
-                    room -= piece[2]
-                    yield piece
-            for part in near:
-                if room and self.left[part]:
-                    piece = take(part, room)
-                    room -= piece[2]
-                    yield piece
+            for near in self.neighbours(seed) if room else ():
+                for part in near:
+                    if 0 < self.left[part] <= room:
+                        piece = take(part, room)
+                        room -= piece[2]
+                        yield piece
+                for part in near:
+                    if room and self.left[part]:
+                        piece = take(part, room)
+                        room -= piece[2]
+                        yield piece
+                if not room:
+                    break
 
 
 def pack(

@@ -129,6 +129,30 @@ def test_packing_of_odd_rows(spark, docs):
     assert sorted(r["length"] for r in twice) == [2, 3, 3] and packing.pack(spark, docs([])).count() == 0
 
 
+def test_neighbours_are_all_of_bm25():
+    """Every unused part that shares a term with the seed, ranked by a plain BM25 over all terms of the seed."""
+    draw = np.random.default_rng(11)
+    parts = [draw.zipf(1.3, int(draw.integers(1, 200))).clip(max=400).astype(np.uint16) for _ in range(300)]
+    parts += [parts[4], parts[4]]
+    seen = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=packing.IDS)
+    corpus = packing.Corpus(np.log(1 + (len(parts) - seen + 0.5) / (seen + 0.5)), float(np.mean([len(p) for p in parts])))
+    shard = packing.Shard(parts, corpus)
+    shard.left[[4, 7, 8]] = 0
+    for seed in (4, 7):
+        scores = {}
+        for place, part in enumerate(parts):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(part) / corpus.mean_length)
+            times = {t: int((part == t).sum()) for t in set(parts[seed].tolist())}
+            score = sum(corpus.idf[t] * n * (packing.K1 + 1) / (n + norm) for t, n in times.items() if n)
+            if score and place not in (4, 7, 8):
+                scores[place] = score
+        ranking = np.concatenate(list(shard.neighbours(seed))).tolist()
+        assert sorted(ranking) == sorted(scores) and len(ranking) > packing.NEIGHBOURS
+        falling = [scores[p] for p in ranking]
+        assert all(a >= b - 1e-9 for a, b in zip(falling, falling[1:]))
+        assert ranking.index(300) < ranking.index(301)
+
+
 def test_packing_puts_like_texts_together(spark, docs):
     kinds = ["red apple pear fruit juice " * 4, "motor wheel engine brake gear " * 4]
     rows = packing.pack(spark, docs([(i, f"{kinds[i % 2]} n{i}") for i in range(40)]).coalesce(1), window=128).collect()
