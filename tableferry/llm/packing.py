@@ -93,18 +93,32 @@ class Shard:
         self.weights = corpus.idf[terms] * times * (K1 + 1) / (times + norm[self.docs])
         self.ends = np.searchsorted(terms, np.arange(IDS + 1))
         # The same pairs by part, for queries.
-        self.by_part = np.argsort(self.docs, kind="stable")
+        by_part = np.argsort(self.docs, kind="stable")
+        self.queries = terms[by_part]
+        self.first = np.searchsorted(self.docs[by_part], np.arange(len(parts) + 1))
         self.terms = terms
-        self.first = np.searchsorted(self.docs[self.by_part], np.arange(len(parts) + 1))
         self.left = self.lengths.copy()
-        self.next = 0
+        self.next, self.indexed = 0, len(parts)
+
+    def shrink(self) -> None:
+        """Leave parts that are used up out of the lists, once a fifth of those in them is."""
+        unused = np.count_nonzero(self.left)
+        if 5 * unused <= 4 * self.indexed:
+            kept = self.left[self.docs] > 0
+            self.terms, self.docs, self.weights = self.terms[kept], self.docs[kept], self.weights[kept]
+            self.ends = np.searchsorted(self.terms, np.arange(IDS + 1))
+            self.indexed = unused
 
     def neighbours(self, seed: int) -> Iterator[np.ndarray]:
         """Unused parts by falling BM25 score for all terms of the seed, some at a time down the whole ranking; ties by place."""
-        query = self.terms[self.by_part[self.first[seed] : self.first[seed + 1]]]
-        first, sizes = self.ends[query], self.ends[query + 1] - self.ends[query]
-        pairs = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        score = np.bincount(self.docs[pairs], self.weights[pairs], len(self.left))
+        self.shrink()
+        query = self.queries[self.first[seed] : self.first[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.ends[query].tolist(), self.ends[query + 1].tolist()) if a < b]
+        if not spans:
+            return
+        score = np.bincount(
+            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.left)
+        )
         found = np.flatnonzero((score > 0) & (self.left > 0))
         while len(found) > NEIGHBOURS:
             # All that tie with the last of the block come with it, so that places decide among them.
