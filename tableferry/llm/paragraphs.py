@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
 from tableferry.llm.components import components
-from tableferry.llm.jaccard import Bitmaps, bitmap
+from tableferry.llm.jaccard import Bitmaps, bitmap, spanning
 from tableferry.llm.shingles import SHINGLE, mixed, shingle_hashes, words_of
 from tableferry.llm.store import sliced, small, staged
 
@@ -26,6 +26,7 @@ STRETCH, WINDOW = 26, 20
 # At similarity 0.8 one of 10 bands of 3 agrees with probability 1 - (1 - 0.8**3) ** 10 = 0.999. A stretch copied word by word
 # agrees in all its shingles and has one band of all of them.
 BANDS, ROWS = 10, 3
+KEYS = [f"key{k}" for k in range(BANDS)]
 NEEDED = (100, 80)
 # Lines of a band that are compared with each other in one task; longer bands are cut into pairs of such parts.
 PART = 2048
@@ -35,9 +36,9 @@ _SHIFTS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64)
 _STEPS = _RANDOM.integers(1, 1 << 63, (2, STRETCH), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(words: np.ndarray, shingles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchored stretches of a text: first words, and two independent hashes of their words."""
-    shingles = shingle_hashes(words)
+    shingles = shingle_hashes(words) if shingles is None else shingles
     if len(words) < STRETCH or len(shingles) < WINDOW:
         empty = np.zeros(0, np.uint64)
         return np.zeros(0, np.int64), empty, empty
@@ -59,20 +60,24 @@ def runs(at: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray,
     return at[first], at[last] + STRETCH, one[first], two[first]
 
 
-def lines(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a text, and first and last (exclusive) word of each line of at least ``STRETCH`` words."""
-    raw, starts, words = words_of(text)
-    edges = np.r_[0, np.searchsorted(starts, np.flatnonzero(raw == 10)), len(words)]
+def lines(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) word of each line of at least ``STRETCH`` words."""
+    edges = np.r_[0, np.searchsorted(starts, np.flatnonzero(raw == 10)), len(starts)]
     first, last = edges[:-1], edges[1:]
     long = last - first >= STRETCH
-    return words, first[long], last[long]
+    return first[long], last[long]
+
+
+def inside(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """The shingles of each line, which are those of the text that lie inside it."""
+    return [shingles[a : b - SHINGLE + 1] for a, b in zip(first.tolist(), last.tolist())]
 
 
 def line_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """First and last word of each long line, and its shingles, which are those of the text that lie inside it."""
-    words, first, last = lines(text)
-    own = shingle_hashes(words) if len(first) else words
-    return first, last, [own[a : b - SHINGLE + 1] for a, b in zip(first.tolist(), last.tolist())]
+    """First and last word of each long line, and its shingles."""
+    raw, starts, words = words_of(text)
+    first, last = lines(raw, starts)
+    return first, last, inside(shingle_hashes(words), first, last) if len(first) else []
 
 
 def names_of(shingles: list[np.ndarray]) -> np.ndarray:
@@ -97,65 +102,69 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _copied(docs: DataFrame) -> DataFrame:
-    """Stretches that stand in several documents word by word."""
+def _units(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All paragraphs, from one pass over the texts. A stretch has a ``check``, a line has its band keys."""
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [runs(*stretches(words_of(t)[2])) for t in batch.column(1).to_pylist()]
-            if not found:
+            parts, held = [], []
+            for text in batch.column(1).to_pylist():
+                raw, starts, words = words_of(text)
+                shingles = shingle_hashes(words)
+                first, last = lines(raw, starts) if len(words) else nothing
+                parts.append(runs(*stretches(words, shingles)))
+                held.append((first, last, inside(shingles, first, last)))
+            copies = [len(p[0]) for p in parts]
+            counts = [len(h[0]) for h in held]
+            total = sum(copies), sum(counts)
+            if not sum(total):
                 continue
-            counts = [len(first) for first, *_ in found]
-            first, last, one, two = (np.concatenate(x) for x in zip(*found))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            places = [pa.array(x.astype(np.int32)) for x in (first, last)]
-            check = pa.array((two >> np.uint64(33)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, *places, _signed(one), check], ["doc_id", "first", "last", "name", "check"])
+            at = np.arange(len(parts))
+            ids = batch.column(0).take(pa.array(np.r_[np.repeat(at, copies), np.repeat(at, counts)]))
+            places = [pa.array(np.concatenate([p[k] for p in parts] + [h[k] for h in held]).astype(np.int32)) for k in (0, 1)]
+            own = [s for *_, found in held for s in found]
+            names = np.concatenate([p[2] for p in parts] + ([names_of(own)] if own else []))
+            checks = pa.array((np.concatenate([p[3] for p in parts]) >> np.uint64(33)).astype(np.int32))
+            checks = pa.concat_arrays([checks, pa.nulls(total[1], pa.int32())])
+            keys = bands(own) if own else np.zeros((0, BANDS), np.uint64)
+            keys = [pa.concat_arrays([pa.nulls(total[0], pa.int64()), _signed(keys[:, k])]) for k in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([ids, *places, _signed(names), checks, *keys], ["doc_id", "first", "last", "name", "check", *KEYS])
 
-    units = docs.mapInArrow(rows, "doc_id long, first int, last int, name long, check int")
-    same = Window.partitionBy("name", "check")
-    units = units.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
-    return units.filter("low <> high").select("doc_id", "first", "last", "low")
+    kinds = ", ".join(f"{k} long" for k in KEYS)
+    return staged(spark, docs.mapInArrow(rows, f"doc_id long, first int, last int, name long, check int, {kinds}"), "paragraphs")
 
 
-def _banded(docs: DataFrame) -> DataFrame:
-    """Lines that share a band with a line of another document; ``key`` is the band if it holds different lines."""
+def _copied(spark: SparkSession, units: DataFrame) -> DataFrame:
+    """Stretches that stand in several documents word by word, with the smallest of these."""
+    units = units.filter("check is not null").select("doc_id", "first", "last", "name", "check")
+    names = units.groupBy("name", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    names = staged(spark, names.filter("low <> high").select("name", "check", "low"), "copied-names")
+    return units.join(small(spark, names, names), ["name", "check"]).select("doc_id", "first", "last", "low")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = [line_shingles(t) for t in batch.column(1).to_pylist()]
-            shingles = [s for *_, own in found for s in own]
-            if not shingles:
-                continue
-            ids = np.repeat(np.arange(len(found)), [len(first) for first, *_ in found])
-            firsts, lasts = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(ids)),
-                    pa.array(firsts),
-                    pa.array(lasts),
-                    _signed(names_of(shingles)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), _signed(bands(shingles).ravel())),
-                ],
-                ["doc_id", "first", "last", "class", "keys"],
-            )
-
-    units = docs.mapInArrow(rows, "doc_id long, first int, last int, class long, keys array<long>")
-    entries = units.select("doc_id", "first", "last", "class", F.explode("keys").alias("key"))
-    band = Window.partitionBy("key")
-    entries = (
-        entries.withColumn("leader", F.min("class").over(band))
-        .withColumn("key", F.when(F.col("leader") != F.max("class").over(band), F.col("key")))
-        .withColumn("low", F.min("doc_id").over(band))
-        .withColumn("high", F.max("doc_id").over(band))
-    )
-    return entries.filter("low <> high").select("doc_id", "first", "last", "class", "leader", "key")
+
+def _classes(spark: SparkSession, units: DataFrame) -> DataFrame:
+    """The different lines: ``class, low, high`` (smallest and largest document) and their band keys."""
+    found = units.filter("check is null").groupBy(F.col("name").alias("class"))
+    found = found.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.min(k).alias(k) for k in KEYS])
+    return staged(spark, found, "line-classes")
 
 
-def _bodies(spark: SparkSession, docs: DataFrame, banded: DataFrame) -> DataFrame:
+def _banded(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """``key, class, leader`` for bands that hold different lines, of several documents; the leader is a band's smallest line.
+
+    Copies of a line are one entry, and what is known of a band comes from partial aggregates, so no task needs a whole band.
+    """
+    entries = classes.select("class", "low", "high", F.explode(F.array(*KEYS)).alias("key"))
+    held = entries.groupBy("key").agg(F.min("class").alias("leader"), F.max("class").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = staged(spark, held.filter("leader <> end and low <> high").select("key", "leader"), "mixed-bands")
+    return staged(spark, entries.select("key", "class").join(small(spark, held, held), "key"), "banded-lines")
+
+
+def _bodies(spark: SparkSession, docs: DataFrame, classes: DataFrame, banded: DataFrame) -> DataFrame:
     """The whole shingle sets of all lines that share a band with a different line: ``class, body, n, bits``."""
-    names = banded.filter("key is not null").select("class").distinct()
-    holders = banded.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(names, "class", "left_semi")
+    names = staged(spark, banded.select("class").distinct(), "banded-classes")
+    holders = classes.select("class", F.col("low").alias("doc_id")).join(small(spark, names, names), "class", "left_semi")
     holders = staged(spark, holders, "line-holders")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,33 +205,70 @@ def _confirmed(spark: SparkSession, whole: DataFrame, pairs: DataFrame) -> DataF
     return staged(spark, joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "line-links")
 
 
-def _across(spark: SparkSession, banded: DataFrame, whole: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of lines of one band that are of different components and that sizes and bitmaps allow to be similar."""
-    lists = banded.filter("key is not null").select("key", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
-    band = Window.partitionBy("key")
-    lists = lists.select("key", "class", F.coalesce("component", "class").alias("comp"))
-    lists = (
-        lists.withColumn("low", F.min("comp").over(band))
-        .withColumn("high", F.max("comp").over(band))
-        .withColumn("parts", F.ceil(F.count(F.lit(1)).over(band) / PART).cast("int"))
-    )
-    lists = staged(spark, lists.filter("low <> high").select("key", "class", "comp", "parts"), "mixed-bands")
+def _compared(allowed: int):
+    """Pairs of lines of one band that are of different components and that sizes and bitmaps allow to be similar.
+
+    Of a block with more of them than ``allowed`` for each member, the closest that join its components are named, and the closest
+    of the others as far as allowed; ``withheld`` says that pairs are left.
+    """
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        name, size, comp = (table.column(c).to_numpy() for c in ("class", "n", "comp"))
+        name, size, comp, key, block = (table.column(c).to_numpy() for c in ("class", "n", "comp", "key", "block"))
         bits = Bitmaps(table.column("bits").to_pylist())
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in pairs_in_blocks(table.column("block").to_numpy(), table.column("part").to_numpy()):
+        found = [np.zeros((2, 0), np.int32)]
+        for a, b in pairs_in_blocks(block, table.column("part").to_numpy()):
             apart = comp[a] != comp[b]
             a, b = a[apart], b[apart]
             fits = bits.may_link(size, a, b, NEEDED)
-            a, b = a[fits], b[fits]
-            found.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])])
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    blocks = in_parts(lists.join(whole.select("class", "n", "bits"), "class"), "key", "parts", "class", ["class", "n", "comp", "bits"])
-    return staged(spark, blocks.mapInArrow(whole_blocks(compared), "a long, b long").distinct(), "pairs-across")
+            found.append(np.array([a[fits], b[fits]], np.int32))
+        left, right = np.concatenate(found, axis=1).astype(np.int64)
+        order = np.argsort(block[left], kind="stable")
+        left, right = left[order], right[order]
+        rows, lists, held = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        edges = np.flatnonzero(np.diff(block[left])) + 1
+        for a, b in zip(np.split(left, edges), np.split(right, edges)):
+            most = allowed * int((block == block[a[0]]).sum()) if len(a) else 0
+            if withheld := len(a) > most:
+                near = np.argsort(bits.apart(a, b) / (size[a] + size[b]), kind="stable")
+                a, b = a[near], b[near]
+                some = np.union1d(spanning(a, b, comp), np.arange(most if allowed > 1 else 0))
+                a, b = a[some], b[some]
+            rows.append(np.c_[np.minimum(name[a], name[b]), np.maximum(name[a], name[b])])
+            lists.append(key[a])
+            held.append(np.full(len(a), withheld))
+        both = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(lists)), pa.array(np.concatenate(held))], ["a", "b", "key", "withheld"]
+        )
+
+    return whole_blocks(compared)
+
+
+def _across(spark: SparkSession, banded: DataFrame, whole: DataFrame, links: DataFrame) -> DataFrame:
+    """``links``, and confirmed ones between lines of one band that those leave in different components.
+
+    A band with many pairs across components names those that join them, one for each member at most, and is read again with the
+    components that these made; it names four times as many each time, until it has no other pair. So the pairs of a group of
+    near copies grow with its size, and none is lost.
+    """
+    lists, allowed = banded.select("key", "class"), 1
+    while True:
+        named = lists.join(components(spark, links).withColumnRenamed("node", "class"), "class", "left")
+        named = staged(spark, named.select("key", "class", F.coalesce("component", "class").alias("comp")), "named-bands")
+        apart = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+        apart = apart.filter("low <> high").select("key", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
+        apart = staged(spark, apart, "bands-apart")
+        lists = staged(spark, named.join(small(spark, apart, apart), "key"), "entries-apart")
+        if lists.isEmpty():
+            return links
+        blocks = lists.join(whole.select("class", "n", "bits"), "class")
+        blocks = in_parts(blocks, "key", "parts", "class", ["key", "class", "n", "comp", "bits"])
+        found = staged(spark, blocks.mapInArrow(_compared(allowed), "a long, b long, key long, withheld boolean"), "pairs-across")
+        links = links.unionByName(_confirmed(spark, whole, found.select("a", "b").distinct()))
+        again = staged(spark, found.filter("withheld").select("key").distinct(), "bands-left")
+        if again.isEmpty():
+            return links
+        lists, allowed = lists.select("key", "class").join(small(spark, again, again), "key", "left_semi"), 4 * allowed
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,22 +314,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     component. An empty table gives no rows, other columns are not read.
     """
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").filter("doc_id is not null and text is not null")
-    copied = staged(spark, _copied(docs), "copied-stretches")
-    banded = staged(spark, _banded(docs).distinct(), "banded-lines")
-    whole = _bodies(spark, docs, banded)
+    units = _units(spark, docs)
+    classes = _classes(spark, units)
+    banded = _banded(spark, classes)
+    whole = _bodies(spark, docs, classes, banded)
     stars = banded.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _confirmed(spark, whole, stars)
-    rest = _confirmed(spark, whole, _across(spark, banded, whole, components(spark, links)))
-    joined = components(spark, links.unionByName(rest))
-    alike = banded.select("doc_id", "first", "last", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
-    alike = staged(spark, alike.select("doc_id", "first", "last", F.coalesce("component", "class").alias("component")), "alike-lines")
-    over = alike.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    joined = components(spark, _across(spark, banded, whole, _confirmed(spark, whole, stars)))
+    named = classes.select("class", "low", "high").join(joined.withColumnRenamed("node", "class"), "class", "left")
+    named = staged(spark, named.withColumn("component", F.coalesce("component", "class")), "named-lines")
+    over = named.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     over = staged(spark, over.filter("low <> high").select("component", "low"), "line-components")
-    spans = copied.select("doc_id", "first", "last", "low").unionByName(alike.join(over, "component").select("doc_id", "first", "last", "low"))
-    inside = Window.partitionBy("doc_id", "low").orderBy("first", "last")
-    reach = F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    alike = named.select("component", F.col("class").alias("name")).join(small(spark, over, over), "component")
+    alike = staged(spark, alike.select("name", "low"), "alike-lines")
+    repeated = units.filter("check is null").select("doc_id", "first", "last", "name").join(small(spark, alike, alike), "name")
+    spans = _copied(spark, units).unionByName(repeated.select("doc_id", "first", "last", "low"))
+    order = Window.partitionBy("doc_id", "low").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.repartition("doc_id").withColumn("opens", F.coalesce(F.col("first") > reach, F.lit(True)).cast("int"))
-    spans = spans.withColumn("passage", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "low", "passage").agg(F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"))
     own = F.when(F.col("doc_id") == F.col("low"), F.struct("first_word", "last_word"))
     other = F.when(F.col("doc_id") != F.col("low"), F.struct("first_word", "last_word", "low"))

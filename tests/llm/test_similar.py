@@ -204,12 +204,14 @@ def test_lines_meet_without_the_leader_of_their_band(spark, docs, monkeypatch, p
         rows.append(twin)
     rows = [(i, " ".join(own)) for i, own in enumerate(rows)]
     df = docs(rows)
-    banded = paragraphs.staged(spark, paragraphs._banded(df.select("doc_id", "text")), "banded-lines")
-    whole = paragraphs._bodies(spark, df.select("doc_id", "text"), banded)
+    df = df.select("doc_id", "text")
+    classes = paragraphs._classes(spark, paragraphs._units(spark, df))
+    banded = paragraphs._banded(spark, classes)
+    whole = paragraphs._bodies(spark, df, classes, banded)
     stars = banded.filter("class <> leader").selectExpr("class as a", "leader as b").distinct()
     links = paragraphs._confirmed(spark, whole, stars)
-    rest = paragraphs._confirmed(spark, whole, paragraphs._across(spark, banded, whole, components(spark, links)))
-    found = {r["node"]: r["component"] for r in components(spark, links.unionByName(rest)).collect()}
+    rest = paragraphs._across(spark, banded, whole, links)
+    found = {r["node"]: r["component"] for r in components(spark, rest).collect()}
     first = {r["node"]: r["component"] for r in components(spark, links).collect()}
     name = {i: int(paragraphs.names_of(paragraphs.line_shingles(t)[2]).view(np.int64)[0]) for i, t in rows}
     sets = {i: shingles(t) for i, t in rows}
@@ -291,6 +293,35 @@ def test_pairs_of_a_group_grow_with_its_size(spark, docs, variants, monkeypatch)
         assert named[-1] <= 14 * count
 
 
+def test_pairs_of_similar_lines_grow_with_their_number(spark, docs, variants, monkeypatch):
+    """Variants of one line, in as many documents: few pairs are checked, and all that share a band end up in one component."""
+    named, checked = [], paragraphs._confirmed
+
+    def counted(spark, whole, pairs):
+        named[-1] += pairs.count()
+        return checked(spark, whole, pairs)
+
+    monkeypatch.setattr(paragraphs, "_confirmed", counted)
+    for count in (300, 600):
+        texts = variants(count)
+        named.append(0)
+        got = paragraphs.repeated_passages(spark, docs(texts)).collect()
+        keys = [paragraphs.bands(paragraphs.line_shingles(t)[2])[0].tolist() for t in texts]
+        sets, lists = [shingles(t) for t in texts], defaultdict(set)
+        for i, own in enumerate(keys):
+            for k in own:
+                lists[k].add(i)
+        links = {(i, j) for own in lists.values() for i in own for j in own if j < i}
+        links = [(i, j) for i, j in links if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        want = united(range(count), links)
+        sizes = Counter(want.values())
+        lows = {(r["doc_id"], r["keep_doc_id"]) for r in got if r["n_words"] == 60}
+        assert {(i, c) for i, c in want.items() if sizes[c] > 1} <= lows
+        # A line has a pair with the leader of each band at most, and one in each band that still holds other components.
+        assert named[-1] <= 2 * paragraphs.BANDS * count
+    assert named[1] <= 2.5 * named[0]
+
+
 def test_pairs_that_do_not_hold_are_all_looked_at(spark, docs, variants, monkeypatch):
     """Bitmaps of few places let pass pairs that the whole sets refuse; lists are then read several times, and no link is lost."""
     monkeypatch.setattr(jaccard, "BITS", 64)
