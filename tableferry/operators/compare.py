@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tableferry.functions.names import quoted
 
 
-def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None, by_value: bool = False) -> DataFrame:
     """Every key with its ``class`` and, if changed, the ``changed_columns``.
 
     Classes: ``only_source``, ``only_target``, ``changed``, ``equal``, and
@@ -21,7 +21,9 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
     aggregate, in which a row is two counts and 96 bits of hash per column: the
     hashes of a key's two rows cancel out where the values are equal. So no row
     is sorted or joined, and a key repeated any number of times reaches the
-    shuffle once per task.
+    shuffle once per task. ``by_value`` lets the values decide instead: a key's
+    smallest and largest value of each column meet, which costs a shuffle of
+    whole values, and a sort where they are of no fixed length.
     """
     source, target = _hashable(source), _hashable(target)
     columns = list(columns or [c for c in source.columns if c != key and c in target.columns])
@@ -33,10 +35,14 @@ def compare(source: DataFrame, target: DataFrame, key: str, columns: Sequence[st
 
     # The union brings both sides to common types before anything is hashed.
     both = side(source, 1).unionByName(side(target, 0))
-    hashes = [F.bit_xor(F.xxhash64(n)).alias(f"x_{n}") for n in names.values()]
-    hashes += [F.bit_xor(F.hash(n)).alias(f"h_{n}") for n in names.values()]
-    met = both.groupBy("key").agg(F.sum("s").alias("s_rows"), F.sum("t").alias("t_rows"), *hashes)
-    differs = [(F.col(f"x_{n}") != 0) | (F.col(f"h_{n}") != 0) for n in names.values()]
+    if by_value:
+        # Of a key with one row on each side: a value and a NULL are one value in all, and two equal values have no other between them.
+        facts = [f(n).alias(f"{a}_{n}") for n in names.values() for a, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+        differs = [(F.col(f"n_{n}") == 1) | ~F.col(f"low_{n}").eqNullSafe(F.col(f"high_{n}")) for n in names.values()]
+    else:
+        facts = [F.bit_xor(f(n)).alias(f"{a}_{n}") for n in names.values() for a, f in (("x", F.xxhash64), ("h", F.hash))]
+        differs = [(F.col(f"x_{n}") != 0) | (F.col(f"h_{n}") != 0) for n in names.values()]
+    met = both.groupBy("key").agg(F.sum("s").alias("s_rows"), F.sum("t").alias("t_rows"), *facts)
     any_differs = reduce(lambda a, b: a | b, differs, F.lit(False))
     s_rows, t_rows = F.col("s_rows"), F.col("t_rows")
     kind = (

@@ -161,6 +161,12 @@ def compare_tables(spark, sf):
     return compare(feed, target, "o_orderkey", ["o_totalprice", "o_orderpriority"])
 
 
+@query("compare_tables_by_value", COMPARED)
+def compare_values(spark, sf):
+    target, feed = inputs(spark, sf)
+    return compare(feed, target, "o_orderkey", ["o_totalprice", "o_orderpriority"], by_value=True)
+
+
 @query(
     "compare_summary",
     """select class, count(*) as keys from (

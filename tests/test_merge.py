@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plans import plan_of
 from tableferry.operators.compare import compare
 from tableferry.operators.dedupe import latest_per_key, one_per_key
 from tableferry.operators.documents import document_upsert, document_upsert_counts, to_document
@@ -258,10 +259,11 @@ def test_documents_that_share_a_key(spark):
     ]
 
 
-def test_compare(spark):
+@pytest.mark.parametrize("by_value", [False, True])
+def test_compare(spark, by_value):
     s = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "x", 1), (4, "d", 1), (4, "d", 1), (None, "n", 1)], "k int, v string, w int")
     t = spark.createDataFrame([(1, "a", 1), (2, None, 2), (5, "x", 1), (4, "d", 1), (None, "n", 1)], "k int, v string, w int")
-    got = {r["k"]: (r["class"], r["changed_columns"]) for r in compare(s, t, "k").collect()}
+    got = {r["k"]: (r["class"], r["changed_columns"]) for r in compare(s, t, "k", by_value=by_value).collect()}
     assert got == {
         1: ("equal", None),
         2: ("changed", "w"),
@@ -272,8 +274,24 @@ def test_compare(spark):
     }
 
 
-def test_compare_takes_maps(spark):
+@pytest.mark.parametrize("by_value", [False, True])
+def test_compare_takes_maps(spark, by_value):
     s = spark.sql("select * from values (1, map('a', 1, 'b', 2), array(map('x', 1))), (2, map('a', 1), null), (3, null, null) t(k, m, n)")
     t = spark.sql("select * from values (1, map('b', 2, 'a', 1), array(map('x', 1))), (2, map('a', 2), array()), (3, null, null) t(k, m, n)")
-    got = {r["k"]: (r["class"], r["changed_columns"]) for r in compare(s, t, "k").collect()}
+    got = {r["k"]: (r["class"], r["changed_columns"]) for r in compare(s, t, "k", by_value=by_value).collect()}
     assert got == {1: ("equal", None), 2: ("changed", "m, n"), 3: ("equal", None)}
+
+
+def test_compare_by_value(spark):
+    """A NULL on one side is a change, NaN equals NaN, 0.0 equals -0.0; no hash of a value is in the plan."""
+    rows = "(1, 'a', double('NaN'), array(1)), (2, null, 0.0, null), (3, 'c', 1.0, array(1, 2)), (4, null, null, null)"
+    s = spark.sql(f"select * from values {rows} t(k, v, d, l)")
+    t = spark.sql("select * from values (1, 'a', double('NaN'), array(1)), (2, '', -0.0, array()), (3, null, 2.0, array(2, 1)), (4, null, null, null) t(k, v, d, l)")
+    found = compare(s, t, "k", by_value=True)
+    assert {r["k"]: (r["class"], r["changed_columns"]) for r in found.collect()} == {
+        1: ("equal", None),
+        2: ("changed", "v, l"),
+        3: ("changed", "v, d, l"),
+        4: ("equal", None),
+    }
+    assert "xxhash64" not in plan_of(found)
