@@ -331,10 +331,11 @@ def _run_once(spark, source: Endpoint, rule: Rule) -> str:
 
 @query("run_file_source", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
 def run_file_source(spark, sf):
+    """All files of an export, however many tasks wrote it."""
     path = scratch_dir(spark, "csv")
     table(spark, sf, "customer").withColumnRenamed("c_name", " c_name ").write.csv(path, header=True)
     rule = Rule("customers", "*.csv", key="c_custkey")
-    return VersionedTable(spark, _run_once(spark, Endpoint("file", path=path), rule)).read()
+    return VersionedTable(spark, _run_once(spark, Endpoint("file", path=path, options={"pick": "all"}), rule)).read()
 
 
 @query(

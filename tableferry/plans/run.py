@@ -43,7 +43,8 @@ def extract(spark: SparkSession, spec: SyncSpec, rule: Rule, checkpoint: Any = N
     """A rule's rows, lazily, by the kind of its source.
 
     In the lake the checkpoint is bound; at a database it is a literal of its type. ``options`` of a file source may name
-    ``format``, ``header`` and ``sep``; those of documents and responses the column that holds them.
+    ``format``, ``header``, ``sep`` and ``pick``: ``first``, the first file that matches, or ``all``, for a table that lies in
+    many files; those of documents and responses the column that holds them.
     """
     kind, options = spec.source.kind, dict(spec.source.options)
     if kind == "database":
@@ -61,8 +62,8 @@ def extract(spark: SparkSession, spec: SyncSpec, rule: Rule, checkpoint: Any = N
         header = options.get("header", "true").lower() == "true"
         path = spec.source.path
         if rule.source_query:
-            found = files.select_files(spark, path, rule.source_query, pick="first")
-            path = found.select("path").first()[0]
+            found = files.select_files(spark, path, rule.source_query, pick=options.get("pick", "first"))
+            path = sorted(r[0] for r in found.select("path").collect())
         return files.read_file(spark, path, options.get("format"), header, options.get("sep", ","))
     landed = spark.read.format(spec.source.format).load(spec.source.path)
     if kind == "api":

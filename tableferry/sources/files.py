@@ -97,7 +97,7 @@ def select_files(
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     header: bool = True,
     sep: str = ",",
     mode: str = "FAILFAST",
@@ -132,7 +132,7 @@ def _column_names(first: list[str], header: bool) -> list[str]:
     return names
 
 
-def _quoted_csv(spark: SparkSession, path: str, header: bool, sep: str) -> DataFrame:
+def _quoted_csv(spark: SparkSession, path: str | list[str], header: bool, sep: str) -> DataFrame:
     """All columns as text, from rows whose cells may hold line breaks."""
     rows = csv_records(spark, path, sep)
     firsts = [r[0] for r in rows.filter("section = 'first'").select("value").distinct().limit(2 if header else 1).collect()]
@@ -149,7 +149,7 @@ def _quoted_csv(spark: SparkSession, path: str, header: bool, sep: str) -> DataF
     return cells.select(*[F.col("row")[f"c{i}"].alias(n) for i, n in enumerate(names)])
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
+def has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a line has an odd number of quotes, as the first line of a cell with a line break has."""
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
@@ -172,7 +172,7 @@ def csv_rejects(
     return good, rows.filter(F.col("_rejected").isNotNull()).select(F.col("_rejected").alias("line"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, line_number, content)`` of every non-blank line; blank lines count in the numbering.
 
     Files stay splittable. Each split's line count (one row per split) gives the
@@ -208,7 +208,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited_or_lines(
-    spark: SparkSession, path: str, header: bool = True, sep: str = ",", string_columns: tuple[str, ...] = ()
+    spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",", string_columns: tuple[str, ...] = ()
 ) -> DataFrame:
     """A text file as a table if every row has the same fields, else as its lines."""
     try:
@@ -312,7 +312,7 @@ def file_kinds(spark: SparkSession, path: str | list[str]) -> dict[str, list[str
 
 def read_file(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     format: str | None = None,
     header: bool = True,
     sep: str = ",",

@@ -255,6 +255,31 @@ def test_run_reads_every_kind_of_source(spark, tmp_path):
         assert sorted(tuple(r) for r in VersionedTable(spark, f"{target}/t").read().select(*columns).collect()) == want
 
 
+def test_run_reads_one_matching_file_or_all(spark, tmp_path):
+    for name, text in (("a.csv", "id,v\n1,x\n"), ("b.csv", "id,v\n2,y\n"), ("c.txt", "no")):
+        (tmp_path / name).write_text(text)
+    for options, want in (({}, [(1, "x")]), ({"pick": "all"}, [(1, "x"), (2, "y")])):
+        target, source = scratch_dir(spark, "target"), Endpoint("file", path=str(tmp_path), options=options)
+        event = run(spark, SyncSpec("s", source, Endpoint(path=target), (Rule("t", "*.csv"),)), scratch_dir(spark, "state"), at(0)).first()
+        assert (event["status"], event["record_count"]) == ("completed", len(want))
+        assert sorted(tuple(r) for r in VersionedTable(spark, f"{target}/t").read().select("id", "v").collect()) == want
+
+
+def test_query_of_a_file_source_reads_all_parts(spark, tmp_path):
+    from tableferry.plans.catalog.extraction import run_file_source
+
+    customers = ["id as c_custkey", "concat('c', id) as c_name", "cast(id % 5 as int) as c_nationkey", "id / 4 as c_acctbal", "'S' as c_mktsegment"]
+    path = f"{tmp_path}/customer.parquet"
+    spark.range(40).selectExpr(*customers).repartition(4).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))
+    try:
+        found = run_file_source(spark, str(tmp_path)).select("c_custkey").collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(r[0] for r in found) == list(range(40))
+
+
 def test_bulk_sync_collects_failures(spark):
     bad = spark.range(1).select(F.raise_error(F.lit("broken")).alias("x"))
     got = {r["table_name"]: (r["status"], r["row_count"]) for r in bulk_sync(spark, {"a": spark.range(3), "b": bad}, scratch_dir(spark, "bulk")).collect()}
