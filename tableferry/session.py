@@ -81,6 +81,17 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength()) if fs.exists(hpath) else 0
 
 
+def first_bytes(spark: SparkSession, path: str, count: int) -> bytes:
+    """The start of a file, unpacked as Spark's readers unpack it."""
+    fs, hpath = _hadoop_path(spark, path)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hpath)
+    stream = fs.open(hpath)
+    try:
+        return bytes((codec.createInputStream(stream) if codec else stream).readNBytes(count))
+    finally:
+        stream.close()
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, hpath = _hadoop_path(spark, path)
     fs.delete(hpath, True)

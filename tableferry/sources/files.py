@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +16,12 @@ from pyspark.sql import types as T
 
 from tableferry.functions.infer import WHITESPACE, infer_types, trim_space
 from tableferry.functions.names import name_matches
-from tableferry.session import BROADCAST_BYTES, qualified_path, scratch_dir, stored_bytes
-from tableferry.sources.splits import csv_records, json_records, pin_splits
+from tableferry.session import BROADCAST_BYTES, first_bytes, qualified_path, scratch_dir, stored_bytes
+from tableferry.sources.splits import csv_records, json_records, lines_of_records, pin_splits
 
-# Formats by the names a source may give them.
+# The size up to which a file may be one line, what tells a larger one, formats by the names a source may give them.
+WHOLE_LINES = 8 * 1024 * 1024
+HEAD_BYTES = 64 * 1024
 FORMATS = {"csv": "csv", "txt": "text", "text": "text", "xlsx": "excel", "excel": "excel", "json": "json"}
 
 
@@ -255,7 +259,7 @@ def _documents(spark: SparkSession, path: str | list[str], schema: T.StructType
     reader = spark.read.option("mode", "FAILFAST")
     reader = reader if schema is None else reader.schema(schema)
     parts = [] if spark.read.text(lines).isEmpty() else [reader.json(lines)]
-    if single := [r[0] for r in others.collect()]:
+    if single := [unquote(r[0]) for r in others.collect()]:
         parts.append(reader.option("multiLine", True).json(single))
     return _union_records(parts, spark) if parts or schema is None else spark.createDataFrame([], schema)
 
@@ -290,10 +294,14 @@ def file_kinds(spark: SparkSession, path: str | list[str]) -> dict[str, list[str
     """The files of a path by what they hold: ``csv``, ``json`` (one document) or ``lines`` (a record per line).
 
     A file whose first filled line is a whole JSON object, and that has more filled lines, holds lines. If all files agree,
-    the path itself stands for them; only otherwise are they named one by one.
+    the path itself stands for them; only otherwise are they named one by one. A file above ``WHOLE_LINES`` may be one line,
+    so that its lines are not read before its start has told what it holds.
     """
+    stored = spark.read.format("binaryFile").load(path)
+    large = _large_kinds(spark, [r[0] for r in stored.filter(F.col("length") > WHOLE_LINES).select("path").collect()])
     value = trim_space(F.regexp_replace("value", "^\ufeff", ""))
-    filled = spark.read.text(path).select(
+    texts = spark.read.text(path)
+    filled = texts.filter(F.col("_metadata.file_size") <= WHOLE_LINES).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), value.alias("line")).alias("first"),
     )
@@ -304,10 +312,42 @@ def file_kinds(spark: SparkSession, path: str | list[str]) -> dict[str, list[str
         F.when(~F.substring(line, 1, 1).isin("{", "["), "csv").when(whole & (F.col("lines") > 1), "lines").otherwise("json")
     )
     kinds = heads.select("file", kind.alias("kind"))
-    found = sorted(r[0] for r in kinds.select("kind").distinct().collect())
+    found = sorted({r[0] for r in kinds.select("kind").distinct().collect()} | set(large.values()))
     if len(found) <= 1:
         return {k: path for k in found}
-    return {k: [r[0] for r in kinds.filter(F.col("kind") == k).select("file").collect()] for k in found}
+    small = {k: [unquote(r[0]) for r in kinds.filter(F.col("kind") == k).select("file").collect()] for k in found}
+    return {k: small[k] + [f for f, v in large.items() if v == k] for k in found}
+
+
+def _large_kinds(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The kinds of large files, by their first bytes; blank ones have none.
+
+    Behind a closing brace, a line break and no comma or bracket there is only another record. Files that begin with an object
+    and a longer line are read up to the first break of their lines, by closing braces and in the tasks.
+    """
+    kinds, unknown = {}, []
+    for path in paths:
+        count, text = HEAD_BYTES, ""
+        while not text:
+            head = first_bytes(spark, path, count)
+            text = head.decode("utf-8", "ignore").lstrip(WHITESPACE + "\ufeff")
+            if len(head) < count:
+                break
+            count *= 16
+        if not text:
+            continue
+        line, _, rest = re.sub("[\r\n]", "\n", text).partition("\n")
+        rest = rest.lstrip(WHITESPACE)
+        if text[0] not in "{[":
+            kinds[path] = "csv"
+        elif text[0] == "[":
+            kinds[path] = "json"
+        elif rest:
+            kinds[path] = "lines" if line.rstrip(WHITESPACE).endswith("}") and rest[0] not in ",]}" else "json"
+        else:
+            unknown.append(path)
+    of_lines = lines_of_records(spark, unknown) if unknown else []
+    return kinds | {p: "lines" if p in of_lines else "json" for p in unknown}
 
 
 def read_file(

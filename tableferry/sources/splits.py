@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -284,6 +285,27 @@ class Walk:
         yield from out
 
 
+def lines_of_records(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the files, each of which begins with an object, whose first line is a whole object and not the last line."""
+
+    def first_breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, block, values, memory in by_split(batches):
+            for value in values if "done" not in memory else ():
+                if block == 0 and "seen" not in memory:
+                    # What stands before the first object is no line; the object itself is none that ends here.
+                    memory["seen"], value = True, value.lstrip("\ufeff \t\r\n")
+                if "\n" in value or "\r" in value:
+                    memory["done"] = True
+                    after = value.lstrip(" \t")
+                    ended = after[:1] in ("\r", "\n") and after.lstrip()[:1] not in ("", ",", "]")
+                    yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "ended": [ended]})
+                    break
+
+    breaks = pieces(spark, paths, "}").mapInArrow(first_breaks, "file string, block bigint, ended boolean")
+    first = breaks.groupBy("file").agg(F.min_by("ended", "block").alias("ended")).filter("ended")
+    return [unquote(r[0]) for r in first.select("file").collect()]
+
+
 def json_records(spark: SparkSession, path: str | list[str], wrapper: str = "data") -> tuple[DataFrame, DataFrame]:
     """Records of JSON documents that are an array or wrap one in ``data``: ``file, value``, and the files that are neither.
 

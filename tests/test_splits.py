@@ -86,3 +86,47 @@ def test_lines_with_a_field_called_data(spark, tmp_path, rows):
     assert set(got.columns) == {"id", "data"}
     wrapped = files.read_json(spark, str(tmp_path), multiline=False, unwrap=True)
     assert rows(wrapped) == [(1,), (2,)]
+
+
+def test_a_long_line_is_never_read_as_a_line(spark, tmp_path):
+    """Lines above 1 MB are skipped by the reader here, as a stand-in for those that no task can hold."""
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"id":{i},"text":"{"x" * 100}"}}' for i in range(90_000)) + "]")
+    conf, name = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.input.linerecordreader.line.maxlength"
+    conf.set(name, str(2**20))
+    try:
+        assert files.read_json(spark, str(tmp_path)).count() == 90_000
+    finally:
+        conf.unset(name)
+
+
+KINDS = {
+    "array": '[{"a":{"b":1}},\n{"a":2}]',
+    "array in a line": '[{"a":{"b":1}},{"a":2}]',
+    "wrapper in a line": '{"data":[{"a":1},{"a":2}]}\n\n',
+    "wrapper with a long line": '{"data":[{"a":1},{"a":2}\n,{"a":3}]}',
+    "wrapper that ends a line in an object": '{"data":[{"a":{"b":1}\n},\n{"a":2}]}',
+    "indented": '\n\n {\n "data": [\n  {"a": 1},\n  {"a": 2}\n ]\n}\n',
+    "lines": '{"a":{"b":1}}\n{"a":2}\n',
+    "lines with blanks": '\ufeff \r\n\r\n{"a":{"b":1},"c":"long, long"} \r\n\r\n  {"a":2}\r\n',
+    "one line": '{"a":1,"b":"long, long, long"}\n \n',
+    "csv": "\n" + " " * 40 + "a,b\n1,{2}\n",
+    "blank": " \n" * 30,
+}
+
+
+@pytest.mark.parametrize("head", [4, 64])
+def test_large_files_are_told_as_small_ones(spark, tmp_path, monkeypatch, head):
+    for name, text in KINDS.items():
+        (tmp_path / f"{name}.json").write_text(text, newline="")
+    want = {name: files.file_kinds(spark, str(tmp_path / f"{name}.json")).keys() for name in KINDS}
+    monkeypatch.setattr(files, "WHOLE_LINES", 0)
+    monkeypatch.setattr(files, "HEAD_BYTES", head)
+    assert {name: files.file_kinds(spark, str(tmp_path / f"{name}.json")).keys() for name in KINDS} == want
+    together = {k: sorted(p.rsplit("/", 1)[1][:-5] for p in paths) for k, paths in files.file_kinds(spark, str(tmp_path)).items()}
+    assert together == {k: sorted(n for n in KINDS if k in want[n]) for k in ("csv", "json", "lines")}
+
+
+def test_files_of_several_kinds_with_spaces_in_their_names(spark, tmp_path, rows):
+    (tmp_path / "a b%.json").write_text('{"a":1}\n{"a":2}\n')
+    (tmp_path / "c d.json").write_text('[{"a":3}]')
+    assert rows(files.read_json(spark, str(tmp_path))) == [(1,), (2,), (3,)]
