@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import gzip
 import hashlib
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,25 +58,22 @@ def decrypt(col: Column, key: bytes) -> Column:
     return F.when(col.startswith(ENCRYPTED_MARK), F.decode(opened, "UTF-8")).otherwise(col)
 
 
-@F.pandas_udf(T.StringType())
-def gunzip_base64(packed: pd.Series) -> pd.Series:
+# Payloads may be long: plain functions get 100 rows at once, Arrow batches 10,000 whatever their length.
+@F.udf(T.StringType(), useArrow=False)
+def gunzip_base64(packed: str | None) -> str | None:
     """Base64 + gzip to text; Spark has no built-in for gzip. Broken values become NULL."""
+    if packed is None:
+        return None
+    try:
+        return gzip.decompress(base64.b64decode(packed, validate=True)).decode("utf-8")
+    except (ValueError, OSError, EOFError, zlib.error):
+        return None
 
-    def unpack(value):
-        if value is None:
-            return None
-        try:
-            return gzip.decompress(base64.b64decode(value, validate=True)).decode("utf-8")
-        except (binascii.Error, OSError, EOFError, zlib.error, UnicodeDecodeError):
-            return None
 
-    return packed.map(unpack)
-
-
-@F.pandas_udf(T.StringType())
-def gzip_base64(text: pd.Series) -> pd.Series:
+@F.udf(T.StringType(), useArrow=False)
+def gzip_base64(text: str | None) -> str | None:
     """Text to gzip + base64, the packed form of a payload."""
-    return text.map(lambda v: None if v is None else base64.b64encode(gzip.compress(v.encode(), 1)).decode())
+    return None if text is None else base64.b64encode(gzip.compress(text.encode(), 1)).decode()
 
 
 def unpack(col: Column) -> Column:

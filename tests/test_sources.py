@@ -125,6 +125,16 @@ def test_protection(spark, rows):
     assert packed.select(unpack(F.col("p")).eqNullSafe(F.col("v"))).distinct().collect() == [(True,)]
 
 
+def test_payloads_are_handed_over_in_small_batches(spark):
+    df = spark.range(3).select(F.concat(F.lit("GZ:"), gzip_base64(F.col("id").cast("string"))).alias("p"))
+    plan = df.select(unpack(F.col("p")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 2 and "ArrowEvalPython" not in plan
+
+
+def test_payloads_that_are_no_ascii_are_broken(spark):
+    assert spark.createDataFrame([("GZ:é",)], "v string").select(unpack(F.col("v"))).first()[0] is None
+
+
 def test_messages(spark):
     lines = [
         '{"type":"HEARTBEAT","agent_name":"n","status":"online","timestamp":"2024-01-01T00:00:00Z","data":{"cpu_usage":1.5,"version":"v1"}}',
