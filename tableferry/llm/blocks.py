@@ -6,9 +6,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A group that covers more than one row in this many, and more rows than ``LEAST``, is crowded: there are no more of them than that.
+CROWDED_SHARE, LEAST = 1024, 256
+BUCKETS = 4096
+
+
+def crowded(rows: DataFrame, key: str) -> list[int]:
+    """The crowded values of ``key``, a column of 64-bit hashes: only hashes in full buckets are counted by themselves."""
+    bucket = F.pmod(F.col(key), F.lit(BUCKETS))
+    counts = {r["bucket"]: r["count"] for r in rows.groupBy(bucket.alias("bucket")).count().collect()}
+    most = max(LEAST, sum(counts.values()) // CROWDED_SHARE)
+    full = [k for k, n in counts.items() if n > most]
+    return [r[key] for r in rows.filter(bucket.isin(full)).groupBy(key).count().filter(F.col("count") > most).collect()] if full else []
+
+
+def told_groups(rows: DataFrame, by: list[str], told: dict[str, Column], keep: str) -> DataFrame:
+    """The rows of the groups that ``keep`` holds for, with the aggregates ``told`` of their groups.
+
+    Rows are shuffled once, whatever their number: groups are read as windows. Those of a crowded value of the first column of
+    ``by`` are not shuffled at all: their aggregates are combined in the tasks before they meet, and sent back to all.
+    """
+    many, own = crowded(rows, by[0]), Window.partitionBy(*by)
+    few = rows.filter(~F.col(by[0]).isin(many)).select("*", *[c.over(own).alias(name) for name, c in told.items()]).filter(keep)
+    if not many:
+        return few
+    rows = rows.filter(F.col(by[0]).isin(many))
+    return few.unionByName(rows.join(F.broadcast(rows.groupBy(*by).agg(*[c.alias(name) for name, c in told.items()]).filter(keep)), by))
+
 
 def in_parts(rows: DataFrame, key: str, parts: str, member: str, keep: list[str | Column]) -> DataFrame:
     """Give each row a ``block`` and a ``part``.

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tableferry.llm.blocks import in_parts, pairs_in_blocks, whole_blocks
+from tableferry.llm.blocks import in_parts, pairs_in_blocks, told_groups, whole_blocks
 from tableferry.llm.components import components
 from tableferry.llm.jaccard import Bitmaps, bitmap, spanning
 from tableferry.llm.shingles import SHINGLE, mixed, shingle_hashes, words_of
-from tableferry.llm.store import sliced, small, staged
+from tableferry.llm.store import sliced, small, staged, thinned
 
 STRETCH, WINDOW = 26, 20
 # At similarity 0.8 one of 10 bands of 3 agrees with probability 1 - (1 - 0.8**3) ** 10 = 0.999. A stretch copied word by word
@@ -135,12 +135,11 @@ def _units(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return staged(spark, docs.mapInArrow(rows, f"doc_id long, first int, last int, name long, check int, {kinds}"), "paragraphs")
 
 
-def _copied(spark: SparkSession, units: DataFrame) -> DataFrame:
+def _copied(units: DataFrame) -> DataFrame:
     """Stretches that stand in several documents word by word, with the smallest of these."""
     units = units.filter("check is not null").select("doc_id", "first", "last", "name", "check")
-    names = units.groupBy("name", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    names = staged(spark, names.filter("low <> high").select("name", "check", "low"), "copied-names")
-    return units.join(small(spark, names, names), ["name", "check"]).select("doc_id", "first", "last", "low")
+    told = {"low": F.min("doc_id"), "high": F.max("doc_id")}
+    return told_groups(units, ["name", "check"], told, "low <> high").select("doc_id", "first", "last", "low")
 
 
 def _classes(spark: SparkSession, units: DataFrame) -> DataFrame:
@@ -153,28 +152,32 @@ def _classes(spark: SparkSession, units: DataFrame) -> DataFrame:
 def _banded(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """``key, class, leader`` for bands that hold different lines, of several documents; the leader is a band's smallest line.
 
-    Copies of a line are one entry, and what is known of a band comes from partial aggregates, so no task needs a whole band.
+    Copies of a line are one entry, and what is known of a crowded band comes from partial aggregates, so no task needs all of it.
     """
     entries = classes.select("class", "low", "high", F.explode(F.array(*KEYS)).alias("key"))
-    held = entries.groupBy("key").agg(F.min("class").alias("leader"), F.max("class").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
-    held = staged(spark, held.filter("leader <> end and low <> high").select("key", "leader"), "mixed-bands")
-    return staged(spark, entries.select("key", "class").join(small(spark, held, held), "key"), "banded-lines")
+    told = {"leader": F.min("class"), "end": F.max("class"), "least": F.min("low"), "most": F.max("high")}
+    return staged(spark, told_groups(entries, ["key"], told, "leader <> end and least <> most").select("key", "class", "leader"), "banded-lines")
 
 
 def _bodies(spark: SparkSession, docs: DataFrame, classes: DataFrame, banded: DataFrame) -> DataFrame:
     """The whole shingle sets of all lines that share a band with a different line: ``class, body, n, bits``."""
     names = staged(spark, banded.select("class").distinct(), "banded-classes")
-    holders = classes.select("class", F.col("low").alias("doc_id")).join(small(spark, names, names), "class", "left_semi")
-    holders = staged(spark, holders, "line-holders")
+    holders = thinned(classes.select("class", F.col("low").alias("doc_id")), names)
+    # No left semi join, which Spark would move to before the table of bits.
+    holders = staged(spark, holders.join(small(spark, names, names), "class"), "line-holders")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            shingles = [s for text in batch.column(0).to_pylist() for s in line_shingles(text)[2]]
-            if shingles:
-                sets = [np.unique(s) for s in shingles]
+            names, sets = [], []
+            for text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted"))):
+                held = line_shingles(text)[2]
+                own = dict(zip(names_of(held).view(np.int64).tolist(), held)) if held else {}
+                names += (found := own.keys() & set(wanted))
+                sets += [np.unique(own[name]) for name in found]
+            if sets:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _signed(names_of(shingles)),
+                        pa.array(names, pa.int64()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(map(bitmap, sets), pa.binary()),
@@ -182,9 +185,14 @@ def _bodies(spark: SparkSession, docs: DataFrame, classes: DataFrame, banded: Da
                     ["class", "body", "n", "bits"],
                 )
 
-    whole = docs.join(small(spark, holders.select("doc_id").distinct(), holders), "doc_id", "left_semi")
-    whole = whole.select("text").mapInArrow(bodies, "class long, body binary, n long, bits binary")
-    return staged(spark, whole.join(holders.select("class"), "class", "left_semi").dropDuplicates(["class"]), "line-bodies")
+    # Only texts that hold a wanted line are shuffled, and of these only the wanted lines go on.
+    wanted = holders.groupBy("doc_id").agg(F.collect_set("class").alias("wanted"))
+    whole = thinned(docs, holders.select("doc_id")).join(small(spark, wanted, holders), "doc_id")
+    whole = staged(spark, whole.select("text", "wanted").mapInArrow(bodies, "class long, body binary, n long, bits binary"), "line-bodies")
+    # Rows that repeat a doc_id may repeat its lines; the sets are shuffled only then.
+    if whole.groupBy("class").count().filter("count > 1").isEmpty():
+        return whole
+    return staged(spark, whole.dropDuplicates(["class"]), "line-bodies")
 
 
 def _confirmed(spark: SparkSession, whole: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,9 +207,9 @@ def _confirmed(spark: SparkSession, whole: DataFrame, pairs: DataFrame) -> DataF
                 keep.append(NEEDED[0] * common >= NEEDED[1] * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(whole.select(F.col("class").alias("a"), F.col("body").alias("x")), "a").join(
-        whole.select(F.col("class").alias("b"), F.col("body").alias("y")), "b"
-    )
+    pairs = staged(spark, pairs, "line-pairs")
+    x, y = (whole.select(F.col("class").alias(c), F.col("body").alias(body)) for c, body in (("a", "x"), ("b", "y")))
+    joined = pairs.join(thinned(x, pairs.select("a")), "a").join(thinned(y, pairs.select("b")), "b")
     return staged(spark, joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "line-links")
 
 
@@ -271,6 +279,17 @@ def _across(spark: SparkSession, banded: DataFrame, whole: DataFrame, links: Dat
         lists, allowed = lists.select("key", "class").join(small(spark, again, again), "key", "left_semi"), 4 * allowed
 
 
+def _alike(spark: SparkSession, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``name, low`` of the lines whose component stands in several documents; a line that has no link is a component by itself."""
+    linked = thinned(classes.select("class", "low", "high"), joined.select("class")).join(joined, "class")
+    linked = staged(spark, linked, "linked-lines")
+    over = linked.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    over = staged(spark, over.filter("low <> high").select("component", "low"), "line-components")
+    alike = linked.drop("low", "high").join(small(spark, over, over), "component").select("class", "low")
+    alone = classes.filter("low <> high").select("class", "low").join(small(spark, joined.select("class"), joined), "class", "left_anti")
+    return staged(spark, alike.unionByName(alone).withColumnRenamed("class", "name"), "alike-lines")
+
+
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's passages; the words of those kept elsewhere (``other``) are cut out of those kept here (``own``)."""
     for batch in sliced(batches):
@@ -320,14 +339,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = _bodies(spark, docs, classes, banded)
     stars = banded.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
     joined = components(spark, _across(spark, banded, whole, _confirmed(spark, whole, stars)))
-    named = classes.select("class", "low", "high").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    named = staged(spark, named.withColumn("component", F.coalesce("component", "class")), "named-lines")
-    over = named.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    over = staged(spark, over.filter("low <> high").select("component", "low"), "line-components")
-    alike = named.select("component", F.col("class").alias("name")).join(small(spark, over, over), "component")
-    alike = staged(spark, alike.select("name", "low"), "alike-lines")
+    alike = _alike(spark, classes, joined.withColumnRenamed("node", "class"))
     repeated = units.filter("check is null").select("doc_id", "first", "last", "name").join(small(spark, alike, alike), "name")
-    spans = _copied(spark, units).unionByName(repeated.select("doc_id", "first", "last", "low"))
+    spans = _copied(units).unionByName(repeated.select("doc_id", "first", "last", "low"))
     order = Window.partitionBy("doc_id", "low").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.repartition("doc_id").withColumn("opens", F.coalesce(F.col("first") > reach, F.lit(True)).cast("int"))

@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tableferry.llm import jaccard, paragraphs, vectors
+from tableferry.llm import blocks, jaccard, paragraphs, store, vectors
 from tableferry.llm.components import components
 from tableferry.llm.shingles import shingle_set, word_hashes
 
@@ -222,6 +223,66 @@ def test_lines_meet_without_the_leader_of_their_band(spark, docs, monkeypatch, p
     assert len(linked) >= 35 and together[0] < len(linked) == together[1]
 
 
+def test_band_entries_are_shuffled_once(spark, docs, monkeypatch):
+    """Where no side of a join is small, as with large tables, each entry of a band still travels once, not for a count and for a join."""
+    plans, write = [], paragraphs.staged
+
+    def noted(session, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(session, df, name)
+
+    monkeypatch.setattr(paragraphs, "small", lambda session, df, stored: df)
+    rows = docs(near_copies(20, 60, 2, 7)).select("doc_id", "text")
+    classes = paragraphs._classes(spark, paragraphs._units(spark, rows))
+    monkeypatch.setattr(paragraphs, "staged", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not paragraphs._banded(spark, classes).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(plan.count("Exchange hashpartitioning(key") for plan in plans) == 1
+
+
+@pytest.mark.parametrize("least", [5, 10**6])
+def test_crowded_groups_are_told_like_others(spark, monkeypatch, least):
+    monkeypatch.setattr(blocks, "LEAST", least)
+    rng = random.Random(4)
+    rows = [(rng.randrange(1 << 62), i % 7, i) for i in range(300)] + [(77, i % 2, i) for i in range(60)] + [(78, 0, 5)] * 40
+    rows += [(rows[i][0], rows[i][1], 900 + i) for i in range(0, 300, 10)]
+    df = spark.createDataFrame(rows, "name long, check int, doc_id long")
+    assert set(blocks.crowded(df, "name")) == ({77, 78} if least == 5 else set())
+    told = {"low": F.min("doc_id"), "high": F.max("doc_id")}
+    got = sorted(tuple(r) for r in blocks.told_groups(df, ["name", "check"], told, "low <> high").select("name", "check", "doc_id", "low", "high").collect())
+    held = {}
+    for name, check, doc_id in rows:
+        held.setdefault((name, check), []).append(doc_id)
+    assert got == sorted((*k, d, min(v), max(v)) for k, v in held.items() if min(v) != max(v) for d in v)
+
+
+@pytest.mark.parametrize("words", [1 << 18, 1])
+def test_thinned_rows_hold_all_partners(spark, monkeypatch, words):
+    monkeypatch.setattr(store, "WORDS", words)
+    rows = spark.range(-2000, 2000).selectExpr("id as k", "id * 2 as v").unionByName(spark.sql("select cast(null as bigint) as k, 0L as v"))
+    keys = spark.range(-300, 300, 20).toDF("k")
+    got = store.thinned(rows, keys)
+    assert got.columns == rows.columns
+    left = {r["k"] for r in got.collect()}
+    assert set(range(-300, 300, 20)) <= left and (words == 1 or len(left) < 600)
+    assert store.thinned(rows, keys.limit(0)).count() == 0
+
+
+def test_repeated_rows_of_a_document_change_nothing(spark, docs):
+    """A doc_id with several rows, and a row that holds a line twice; each line's set is read once all the same."""
+    lines = near_copies(12, 60, 2, 8)
+    rows = [(i, t) for i, t in enumerate(lines)] + [(50, lines[3] + "\n" + lines[4] + "\n" + lines[3])]
+    df = docs(rows + rows[:6] + rows[-1:]).select("doc_id", "text")
+    classes = paragraphs._classes(spark, paragraphs._units(spark, df))
+    whole = paragraphs._bodies(spark, df, classes, paragraphs._banded(spark, classes))
+    assert whole.count() == whole.select("class").distinct().count() == len(set(lines))
+    once, twice = (sorted(tuple(r) for r in paragraphs.repeated_passages(spark, docs(x)).collect()) for x in (rows, rows + rows[:6] + rows[-1:]))
+    assert once and set(once) == set(twice)
+
+
 def test_every_run_of_fifty_words_shares_a_stretch():
     rng = np.random.default_rng(2)
     for _ in range(200):
